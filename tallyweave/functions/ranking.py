@@ -81,6 +81,13 @@ def id_slice(df: DataFrame, id_col: str, groups: Sequence[str], first: int, last
     )
 
 
+def group_sizes(pool: DataFrame, groups: Sequence[str], key: Column, size: str) -> DataFrame:
+    """Rows per group, summed from the same bucket counts ``take_quota`` needs, so Spark can reuse that exchange."""
+    bucketed = pool.withColumn("_key", key).withColumn("_bucket", _hash_bucket("_key"))
+    sizes = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    return sizes.groupBy(*groups).agg(F.sum("_size").alias(size))
+
+
 def take_quota(
     pool: DataFrame, quotas: DataFrame, groups: Sequence[str], quota: str, key: Column, tie: str, rank: str = "rank"
 ) -> DataFrame:

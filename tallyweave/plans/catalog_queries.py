@@ -1 +1,521 @@
-"""Placeholder."""
+"""Queries over the catalog: reads, filters, joins, counts, listings and quality rules."""
+
+from pyspark.sql import functions as F
+
+from tallyweave.operators import filters as fl
+from tallyweave.operators import listings as ls
+from tallyweave.operators import lookups as lk
+from tallyweave.operators import quality
+from tallyweave.plans.registry import query
+from tallyweave.schemas import BACKBONES, PRE_MODELS, STATUSES
+from tallyweave.sources import catalog, exports, ingest
+
+
+def studies(d):
+    return d.region.select(F.col("r_regionkey").alias("study_id"), F.col("r_name").alias("name"))
+
+
+_IMAGE = "image_id, label_id, dataset_id, image_path, used_for_training, used_for_testing"
+
+# ---- sources ----
+
+
+@query("a1_read_catalog", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def _(d):
+    # the reader applies a fixed schema; here the schema of the event table stands in for an entity
+    return catalog.read_table(d.spark, d.path("events"), d.events.schema)
+
+
+_UPLOAD_OK = """WITH ok AS (SELECT u.*, d.name FROM fx_upload u JOIN fx_dataset d ON d.dataset_id = u.dataset_id
+  JOIN fx_label l ON l.label_id = u.label_id)"""
+
+
+@query(
+    "a3_ingest_images",
+    _UPLOAD_OK
+    + """ SELECT (SELECT max(image_id) FROM fx_image) + row_number() OVER (ORDER BY upload_id) AS image_id, dataset_id, label_id,
+   concat('datasets/', lower(replace(name, ' ', '_')), '-', CAST(dataset_id AS VARCHAR), '/', file_name) AS image_path,
+   FALSE AS used_for_training, FALSE AS used_for_testing FROM ok""",
+)
+def _(d):
+    accepted, _rejected = ingest.ingest_images(d.fx_upload, d.fx_dataset, d.fx_label, d.fx_image)
+    return accepted.select("image_id", "dataset_id", "label_id", "image_path", "used_for_training", "used_for_testing")
+
+
+@query(
+    "a3_ingest_rejects",
+    """SELECT dataset_id, label_id, count(*) AS files,
+  CASE WHEN dataset_id NOT IN (SELECT dataset_id FROM fx_dataset) THEN 'unknown dataset' ELSE 'unknown label' END AS reason
+FROM fx_upload WHERE dataset_id NOT IN (SELECT dataset_id FROM fx_dataset) OR label_id NOT IN (SELECT label_id FROM fx_label)
+GROUP BY ALL""",
+)
+def _(d):
+    return ingest.ingest_images(d.fx_upload, d.fx_dataset, d.fx_label, d.fx_image)[1]
+
+
+@query(
+    "a5_export_manifest",
+    """WITH pairs AS (SELECT dl.dataset_id, dl.label_id, lower(replace(d.name, ' ', '_')) AS dataset_slug, lower(replace(l.name, ' ', '_')) AS label_slug
+  FROM fx_dataset_label dl JOIN fx_dataset d ON d.dataset_id = dl.dataset_id JOIN fx_label l ON l.label_id = dl.label_id),
+files AS (SELECT p.dataset_id, p.label_slug, regexp_extract(i.image_path, '[^/]*$') AS file_name, min(i.image_id) AS image_id
+  FROM fx_image i JOIN pairs p ON p.dataset_id = i.dataset_id AND p.label_id = i.label_id GROUP BY ALL)
+SELECT p.dataset_id, p.dataset_slug, p.label_slug, f.file_name, f.image_id, i.image_path
+FROM (SELECT DISTINCT dataset_id, dataset_slug, label_slug FROM pairs) p
+LEFT JOIN files f ON f.dataset_id = p.dataset_id AND f.label_slug = p.label_slug LEFT JOIN fx_image i ON i.image_id = f.image_id""",
+)
+def _(d):
+    return exports.export_manifest(d.fx_image, d.fx_dataset, d.fx_label, d.fx_dataset_label)
+
+
+# ---- filters ----
+
+
+@query("c1_sessions_by_status", "SELECT * FROM fx_session WHERE status = 'Completed'")
+def _(d):
+    return fl.sessions_by_status(d.fx_session, "Completed")
+
+
+@query("c1_sessions_any_status", "SELECT * FROM fx_session")
+def _(d):
+    return fl.sessions_by_status(d.fx_session)
+
+
+@query("c2_images_by", f"SELECT {_IMAGE} FROM fx_image WHERE dataset_id = 11 AND label_id = 2")
+def _(d):
+    return fl.images_by(d.fx_image, dataset_id=11, label_id=2).select(*_IMAGE.split(", "))
+
+
+@query(
+    "c3_labels_of_dataset",
+    "SELECT dl.dataset_id, l.label_id, l.name FROM fx_dataset_label dl JOIN fx_label l ON l.label_id = dl.label_id",
+)
+def _(d):
+    return fl.labels_of_dataset(d.fx_label, d.fx_dataset_label)
+
+
+@query("c4_epochs_of_session", "SELECT session_id, number, round(accuracy, 6) AS accuracy, val_loss FROM fx_epoch WHERE session_id = 7")
+def _(d):
+    return fl.epochs_of_session(d.fx_epoch, 7).select("session_id", "number", F.round("accuracy", 6).alias("accuracy"), "val_loss")
+
+
+@query("c5_results_of_test", "SELECT * FROM fx_result WHERE test_id = 3")
+def _(d):
+    return fl.results_of_test(d.fx_result, 3)
+
+
+@query("c6_unused_images", f"SELECT {_IMAGE} FROM fx_image WHERE NOT used_for_training AND NOT used_for_testing")
+def _(d):
+    return fl.unused_images(d.fx_image).select(*_IMAGE.split(", "))
+
+
+_VISIBLE = """SELECT g.study_id, d.dataset_id, d.study_id AS owner_id, d.name, d.resolution, d.base, d.for_testing
+FROM (SELECT dataset_id, study_id FROM fx_dataset UNION SELECT dataset_id, study_id FROM fx_shared) g
+JOIN fx_dataset d ON d.dataset_id = g.dataset_id"""
+_SHARED = """SELECT s.study_id, d.dataset_id, d.study_id AS owner_id, d.name, d.resolution, d.base, d.for_testing
+FROM (SELECT DISTINCT dataset_id, study_id FROM fx_shared) s JOIN fx_dataset d ON d.dataset_id = s.dataset_id"""
+
+
+@query("c7_visible_datasets", _VISIBLE)
+def _(d):
+    return fl.visible_datasets(d.fx_dataset, d.fx_shared, studies(d))
+
+
+@query("c8_trainable_datasets", _SHARED + " WHERE NOT for_testing AND NOT base")
+def _(d):
+    return fl.trainable_datasets(d.fx_dataset, d.fx_shared, studies(d))
+
+
+@query("c9_testable_datasets", _SHARED + " WHERE for_testing")
+def _(d):
+    return fl.testable_datasets(d.fx_dataset, d.fx_shared, studies(d))
+
+
+@query("c10_sessions_of_study", "SELECT * FROM fx_session WHERE study_id = 2")
+def _(d):
+    return fl.sessions_of_study(d.fx_session, 2)
+
+
+@query(
+    "c10_tests_of_study",
+    "SELECT t.* FROM fx_test t JOIN fx_session s ON s.session_id = t.session_id WHERE s.study_id = 2",
+)
+def _(d):
+    return fl.tests_of_study(d.fx_test, d.fx_session, 2)
+
+
+@query(
+    "c12_search",
+    """SELECT d.* , r.r_name AS study_name FROM fx_dataset d JOIN region r ON r.r_regionkey = d.study_id
+WHERE (contains(lower(d.name), 'a') OR contains(lower(r.r_name), 'a')) AND (contains(lower(d.name), 'set') OR contains(lower(r.r_name), 'set'))""",
+)
+def _(d):
+    named = d.fx_dataset.join(studies(d).withColumnRenamed("name", "study_name"), "study_id")
+    return fl.search(named, ["name", "study_name"], " A  SET ")
+
+
+@query("c12_facet", "SELECT * FROM fx_dataset WHERE resolution = '384'")
+def _(d):
+    return fl.facet(d.fx_dataset, "resolution", "384")
+
+
+@query("c13_has_base", f"SELECT study_id, bool_or(base) AS has_base FROM ({_VISIBLE}) v GROUP BY study_id")
+def _(d):
+    return fl.has_base(d.fx_dataset, d.fx_shared, studies(d))
+
+
+@query("c14_get_by_id", "SELECT * FROM fx_session WHERE session_id = 7")
+def _(d):
+    return fl.get_by_id(d.fx_session, "session_id", 7)
+
+
+# ---- joins ----
+
+
+def _session_documents(d):
+    return lk.session_documents(d.fx_session, studies(d), d.fx_dataset, d.fx_model, d.fx_epoch)
+
+
+_SESSION_DOC = """SELECT s.session_id, s.name, s.status, r.r_name AS study_name, d.name AS dataset_name, m.pre_model,
+  coalesce(e.epochs, 0) AS epoch_count, e.numbers FROM fx_session s LEFT JOIN region r ON r.r_regionkey = s.study_id
+LEFT JOIN fx_dataset d ON d.dataset_id = s.dataset_id LEFT JOIN fx_model m ON m.model_id = s.model_id
+LEFT JOIN (SELECT session_id, CAST(count(*) AS INT) AS epochs, string_agg(CAST(number AS VARCHAR), ',' ORDER BY number) AS numbers
+  FROM fx_epoch GROUP BY session_id) e ON e.session_id = s.session_id"""
+
+
+def _numbers(epochs):
+    return F.array_join(F.transform(epochs, lambda e: e["number"].cast("string")), ",")
+
+
+@query("d1_session_documents", _SESSION_DOC)
+def _(d):
+    return _session_documents(d).select(
+        "session_id",
+        "name",
+        "status",
+        F.col("study.name").alias("study_name"),
+        F.col("dataset.name").alias("dataset_name"),
+        "model.pre_model",
+        F.size("epochs").alias("epoch_count"),
+        F.when(F.size("epochs") > 0, _numbers(F.col("epochs"))).alias("numbers"),
+    )
+
+
+@query(
+    "d2_test_documents",
+    f"""SELECT t.test_id, t.status, s.session_id, s.name AS session_name, s.dataset_name, s.pre_model, s.epoch_count
+FROM fx_test t JOIN ({_SESSION_DOC}) s ON s.session_id = t.session_id""",
+)
+def _(d):
+    return lk.test_documents(d.fx_test, _session_documents(d)).select(
+        "test_id",
+        "status",
+        "session_id",
+        F.col("training_session.name").alias("session_name"),
+        F.col("training_session.dataset.name").alias("dataset_name"),
+        "training_session.model.pre_model",
+        F.size("training_session.epochs").alias("epoch_count"),
+    )
+
+
+@query(
+    "d3_result_documents",
+    """SELECT r.test_id, r.image_id, r.prediction, r.confidence, td.name AS test_dataset, s.name AS session_name,
+  i.image_path, d.name AS image_dataset, l.name AS image_label
+FROM fx_result r JOIN fx_test t ON t.test_id = r.test_id JOIN fx_dataset td ON td.dataset_id = t.dataset_id
+JOIN fx_session s ON s.session_id = t.session_id LEFT JOIN fx_image i ON i.image_id = r.image_id
+LEFT JOIN fx_dataset d ON d.dataset_id = i.dataset_id LEFT JOIN fx_label l ON l.label_id = i.label_id""",
+)
+def _(d):
+    docs = lk.result_documents(d.fx_result, d.fx_test, d.fx_session, d.fx_image, d.fx_dataset, d.fx_label)
+    return docs.select(
+        "test_id",
+        "image_id",
+        "prediction",
+        "confidence",
+        F.col("test.dataset.name").alias("test_dataset"),
+        F.col("test.training_session.name").alias("session_name"),
+        "image.image_path",
+        F.col("image.dataset.name").alias("image_dataset"),
+        F.col("image.label.name").alias("image_label"),
+    )
+
+
+_DATASET_DOC = """SELECT d.dataset_id, d.name, coalesce(l.labels, '') AS labels, coalesce(s.shared, '') AS shared FROM fx_dataset d
+LEFT JOIN (SELECT dataset_id, string_agg(CAST(label_id AS VARCHAR), ',' ORDER BY label_id) AS labels FROM fx_dataset_label GROUP BY dataset_id) l
+  ON l.dataset_id = d.dataset_id
+LEFT JOIN (SELECT dataset_id, string_agg(CAST(study_id AS VARCHAR), ',' ORDER BY study_id) AS shared FROM fx_shared GROUP BY dataset_id) s
+  ON s.dataset_id = d.dataset_id"""
+
+
+@query("d4_dataset_documents", _DATASET_DOC)
+def _(d):
+    docs = lk.dataset_documents(d.fx_dataset, d.fx_dataset_label, d.fx_shared)
+    return docs.select("dataset_id", "name", F.array_join("labels", ",").alias("labels"), F.array_join("shared", ",").alias("shared"))
+
+
+@query("d4_flatten_documents", "SELECT dataset_id, label_id FROM fx_dataset_label")
+def _(d):
+    return lk.flatten_documents(lk.dataset_documents(d.fx_dataset, d.fx_dataset_label, d.fx_shared))[0]
+
+
+# Every image outside a base dataset against the base images of the next study, as a clone would ask.
+_SOURCES = "SELECT (study_id + 1) % 5 AS scope, image_id, image_path FROM fx_image WHERE dataset_id % 10 <> 1"
+_BASES = "SELECT study_id AS scope, image_id, image_path FROM fx_image WHERE dataset_id % 10 = 1"
+_MATCH = f"""WITH src AS ({_SOURCES}), base AS ({_BASES}),
+s AS (SELECT *, regexp_extract(image_path, '[^/]*$') AS file_name FROM src)
+SELECT s.scope, s.image_id, s.file_name, count(b.image_id) AS matches, min(b.image_id) AS base_image_id
+FROM s LEFT JOIN base b ON b.scope = s.scope AND {{condition}} GROUP BY ALL"""
+
+
+@query("d5_match_by_filename", _MATCH.format(condition="regexp_extract(b.image_path, '[^/]*$') = s.file_name"))
+def _(d):
+    return lk.match_by_filename(d.sql(_SOURCES), d.sql(_BASES), "scope")
+
+
+# Short names in the suffix query: "5.png" ends "img_5.png", "img_15.png" and so on.
+_SHORT_SOURCES = """SELECT (study_id + 1) % 5 AS scope, image_id,
+  concat('short/', CAST(image_id - image_id % 5 AS STRING), '.png') AS image_path FROM fx_image WHERE dataset_id % 10 <> 1"""
+
+
+@query(
+    "d5_match_by_suffix",
+    # the same rule stated over distinct names, so that the check does not pair up all images
+    f"""WITH s AS (SELECT *, regexp_extract(image_path, '[^/]*$') AS file_name FROM ({_SHORT_SOURCES}) x),
+base AS (SELECT scope, image_path, count(*) AS copies, min(image_id) AS first_id FROM ({_BASES}) y GROUP BY ALL),
+tails AS (SELECT scope, copies, first_id, unnest(list_transform(range(1, len(image_path) + 1), lambda k: right(image_path, k))) AS tail FROM base),
+m AS (SELECT scope, tail, CAST(sum(copies) AS BIGINT) AS matches, min(first_id) AS base_image_id FROM tails GROUP BY ALL)
+SELECT s.scope, s.image_id, s.file_name, coalesce(m.matches, 0) AS matches, m.base_image_id
+FROM s LEFT JOIN m ON m.scope = s.scope AND m.tail = s.file_name""",
+)
+def _(d):
+    return lk.match_by_filename(d.sql(_SHORT_SOURCES), d.sql(_BASES), "scope", mode="suffix")
+
+
+@query(
+    "d6_exclude_used",
+    "SELECT image_id, label_id, study_id FROM fx_image WHERE dataset_id % 10 = 1 AND NOT used_for_testing",
+)
+def _(d):
+    base = d.fx_image.join(d.fx_dataset.filter("base").select("dataset_id"), "dataset_id", "left_semi")
+    used = d.fx_image.filter("used_for_testing")
+    return lk.exclude_used(base, used).select("image_id", "label_id", "study_id")
+
+
+_CATALOG = ", ".join(f"('{n}', '{h}', {p if p else 'NULL'})" for n, h, p in BACKBONES)
+
+
+@query(
+    "d7_backbone_lookup",
+    f"""SELECT s.session_id, m.pre_model, c.handle, coalesce(c.pixels, 224) AS pixels FROM fx_session s
+JOIN fx_model m ON m.model_id = s.model_id LEFT JOIN (VALUES {_CATALOG}) c(name, handle, pixels) ON c.name = m.pre_model""",
+)
+def _(d):
+    models = lk.backbone_lookup(d.fx_model, lk.backbone_catalog(d.spark))
+    return d.fx_session.select("session_id", "model_id").join(models, "model_id").select("session_id", "pre_model", "handle", "pixels")
+
+
+@query(
+    "d8_resolve_model",
+    """SELECT request_id, coalesce(nullif(model_id, 0), (SELECT min(model_id) FROM fx_model WHERE is_default)) AS model_id FROM fx_request""",
+)
+def _(d):
+    return lk.resolve_model(d.fx_request, d.fx_model)[0].select("request_id", "model_id")
+
+
+# ---- counts ----
+
+
+@query(
+    "e1_label_counts",
+    """SELECT l.label_id, l.name, count(i.image_id) AS image_count FROM fx_label l LEFT JOIN fx_image i ON i.label_id = l.label_id GROUP BY ALL""",
+)
+def _(d):
+    return ls.label_counts(d.fx_label, d.fx_image)
+
+
+@query(
+    "e1_label_counts_by_dataset",
+    """SELECT dl.dataset_id, l.label_id, l.name, count(i.image_id) AS image_count FROM fx_dataset_label dl
+JOIN fx_label l ON l.label_id = dl.label_id LEFT JOIN fx_image i ON i.label_id = l.label_id AND i.dataset_id = dl.dataset_id GROUP BY ALL""",
+)
+def _(d):
+    return ls.label_counts_by_dataset(d.fx_dataset_label, d.fx_label, d.fx_image)
+
+
+@query(
+    "e2_eligibility",
+    """WITH c AS (SELECT dataset_id, label_id, count(*) AS available FROM fx_image GROUP BY ALL),
+r AS (SELECT study_id * 10 + 1 AS dataset_id, n * 2 + 10 AS n FROM fx_generate),
+t AS (SELECT dataset_id, CAST(sum(available) AS BIGINT) AS total FROM c GROUP BY ALL)
+SELECT c.dataset_id, c.label_id, r.n, c.available, t.total FROM c JOIN t ON t.dataset_id = c.dataset_id JOIN r ON r.dataset_id = c.dataset_id
+JOIN fx_dataset_label dl ON dl.dataset_id = c.dataset_id AND dl.label_id = c.label_id WHERE c.available >= r.n AND t.total >= r.n""",
+)
+def _(d):
+    bases = d.sql("SELECT study_id * 10 + 1 AS dataset_id, n * 2 + 10 AS n FROM fx_generate")
+    return ls.eligibility(bases, d.fx_dataset_label, d.fx_image)
+
+
+@query(
+    "e3_label_union",
+    "SELECT DISTINCT d.study_id, dl.label_id FROM fx_dataset_label dl JOIN fx_dataset d ON d.dataset_id = dl.dataset_id",
+)
+def _(d):
+    return ls.label_union(d.fx_dataset, d.fx_dataset_label)
+
+
+@query(
+    "e4_class_names",
+    """WITH n AS (SELECT DISTINCT dl.dataset_id, lower(replace(l.name, ' ', '_')) AS class_name FROM fx_dataset_label dl JOIN fx_label l ON l.label_id = dl.label_id)
+SELECT dataset_id, class_name, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY class_name) - 1 AS INT) AS class_idx FROM n""",
+)
+def _(d):
+    names = ls.class_names(d.fx_dataset_label, d.fx_label)
+    return names.select("dataset_id", F.posexplode("class_names").alias("class_idx", "class_name"))
+
+
+# ---- listings ----
+
+
+def _timed_sessions(d):
+    return d.fx_session.join(d.fx_session_time, "session_id", "left")
+
+
+@query(
+    "f1_sessions_listing",
+    "SELECT s.session_id, s.name, s.status, t.created_at FROM fx_session s LEFT JOIN fx_session_time t ON t.session_id = s.session_id",
+)
+def _(d):
+    return ls.oldest_first(_timed_sessions(d).select("session_id", "name", "status", "created_at"), "session_id")
+
+
+@query(
+    "f1_tests_listing",
+    "SELECT s.test_id, s.status, t.created_at FROM fx_test s LEFT JOIN fx_session_time t ON t.session_id = s.session_id",
+)
+def _(d):
+    timed = d.fx_test.join(d.fx_session_time, "session_id", "left")
+    return ls.oldest_first(timed.select("test_id", "status", "created_at"), "test_id")
+
+
+@query(
+    "f2_paginate",
+    """WITH r AS (SELECT image_id, dataset_id, label_id, image_path,
+  row_number() OVER (PARTITION BY dataset_id, label_id ORDER BY image_id) AS position,
+  count(*) OVER (PARTITION BY dataset_id, label_id) AS total FROM fx_image WHERE dataset_id IS NOT NULL)
+SELECT *, total > 20 AS has_next FROM r WHERE position BETWEEN 11 AND 20""",
+)
+def _(d):
+    images = d.fx_image.select("image_id", "dataset_id", "label_id", "image_path")
+    return ls.paginate_all(images, page=2)
+
+
+@query(
+    "f2_paginate_one",
+    "SELECT image_id, image_path FROM fx_image WHERE dataset_id = 11 AND label_id = 2 ORDER BY image_id LIMIT 100 OFFSET 0",
+)
+def _(d):
+    # the asked size of 500 is cut to the maximum of 100
+    images = fl.images_by(d.fx_image, dataset_id=11, label_id=2).select("image_id", "image_path")
+    return ls.paginate(images, page=1, size=500)
+
+
+@query(
+    "f3_last_completed_session",
+    "SELECT * FROM fx_session WHERE session_id = (SELECT max(session_id) FROM fx_session WHERE status = 'Completed')",
+)
+def _(d):
+    return ls.last_by_pk(d.fx_session, "session_id", condition=F.col("status") == "Completed")
+
+
+@query(
+    "f3_first_base_of_study",
+    "SELECT * FROM fx_dataset WHERE dataset_id IN (SELECT min(dataset_id) FROM fx_dataset WHERE base GROUP BY study_id)",
+)
+def _(d):
+    return ls.first_by_pk(d.fx_dataset, "dataset_id", ["study_id"], F.col("base"))
+
+
+@query(
+    "f3_first_default_model",
+    "SELECT * FROM fx_model WHERE model_id = (SELECT min(model_id) FROM fx_model WHERE is_default)",
+)
+def _(d):
+    return ls.first_by_pk(d.fx_model, "model_id", condition=F.col("is_default"))
+
+
+@query(
+    "f4_latest_training_dataset",
+    """SELECT study_id, dataset_id FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY created_at DESC NULLS LAST, dataset_id DESC) AS rn
+FROM fx_dataset_dated WHERE NOT base AND NOT for_testing) x WHERE rn = 1""",
+)
+def _(d):
+    return ls.latest_training_dataset(d.fx_dataset_dated)
+
+
+# ---- declared constraints ----
+
+
+def _in(values):
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@query(
+    "h1_violations",
+    f"""SELECT 'dangling dataset_id' AS rule, 'image' AS entity, image_id AS id FROM fx_image WHERE dataset_id IS NOT NULL AND dataset_id % 10 = 3
+UNION ALL SELECT 'unknown status', 'session', session_id FROM fx_session WHERE status NOT IN ({_in(STATUSES[:4])})
+UNION ALL SELECT 'unknown pre_model', 'model', model_id FROM fx_model WHERE pre_model NOT IN ({_in(p for p in PRE_MODELS if p != 'resnet_v2_50')})
+UNION ALL SELECT 'unknown resolution', 'dataset', dataset_id FROM fx_dataset WHERE resolution NOT IN ('224', '384')
+UNION ALL SELECT 'name not unique', 'dataset', dataset_id FROM fx_dataset WHERE (study_id % 2) IN (0, 1)
+UNION ALL SELECT 'name too long', 'session', session_id FROM fx_session WHERE length(name) > 17""",
+)
+def _(d):
+    # tightened rules and doubled names so that every rule meets breaches in the test tables
+    named = d.fx_dataset.withColumn("name", F.concat(F.lit("study "), (F.col("study_id") % 2).cast("string")))
+    kept = d.fx_dataset.filter(~F.col("for_testing"))
+    return quality.collect(
+        quality.dangling(d.fx_image, "image", "image_id", "dataset_id", kept),
+        quality.not_allowed(d.fx_session, "session", "session_id", "status", STATUSES[:4]),
+        quality.not_allowed(d.fx_model, "model", "model_id", "pre_model", [p for p in PRE_MODELS if p != "resnet_v2_50"]),
+        quality.not_allowed(d.fx_dataset, "dataset", "dataset_id", "resolution", ["224", "384"]),
+        quality.duplicated(named, "dataset", "dataset_id", "name"),
+        quality.too_long(d.fx_session, "session", "session_id", "name", 17),
+    )
+
+
+@query(
+    "h1_violations_catalog",
+    """SELECT 'dangling dataset_id' AS rule, 'image' AS entity, image_id AS id FROM fx_image WHERE dataset_id NOT IN (SELECT dataset_id FROM fx_dataset)
+UNION ALL SELECT 'dangling model_id', 'session', session_id FROM fx_session WHERE model_id NOT IN (SELECT model_id FROM fx_model)
+UNION ALL SELECT 'dangling session_id', 'epoch', session_id FROM fx_epoch WHERE session_id NOT IN (SELECT session_id FROM fx_session)
+UNION ALL SELECT 'dangling test_id', 'result', image_id FROM fx_result WHERE test_id NOT IN (SELECT test_id FROM fx_test)""",
+)
+def _(d):
+    tables = {
+        "study": studies(d),
+        "label": d.fx_label,
+        "dataset": d.fx_dataset,
+        "image": d.fx_image.drop("study_id"),
+        "model": d.fx_model,
+        "session": d.fx_session,
+        "epoch": d.fx_epoch.withColumn("epoch_id", F.col("session_id")),
+        "test": d.fx_test.drop("study_id"),
+        "result": d.fx_result.withColumnRenamed("image_id", "result_id"),
+    }
+    return quality.violations(tables)
+
+
+_REQUEST = """SELECT *, CASE WHEN study_id IS NULL THEN 'study_id is required.'
+ WHEN study_id NOT IN (SELECT r_regionkey FROM region) THEN 'study_id does not exist.'
+ WHEN coalesce(hotdataset, 0) = 0 AND coalesce(dataset_id, 0) = 0 THEN 'Either ''hotdataset'' or ''dataset_id'' must be provided.'
+ END AS reason FROM fx_request"""
+
+
+@query("h2_accepted_requests", f"SELECT request_id, dataset_id, hotdataset, study_id FROM ({_REQUEST}) r WHERE reason IS NULL")
+def _(d):
+    accepted, _rejected = quality.validate_session_requests(d.fx_request, studies(d))
+    return accepted.select("request_id", "dataset_id", "hotdataset", "study_id")
+
+
+@query("h2_rejected_requests", f"SELECT request_id, reason FROM ({_REQUEST}) r WHERE reason IS NOT NULL")
+def _(d):
+    return quality.validate_session_requests(d.fx_request, studies(d))[1].select("request_id", "reason")

@@ -110,9 +110,18 @@ SELECT g.study_id, g.dataset_id, g.n + c.carried AS n FROM fx_generate g JOIN (
     "fx_generate_label": """
 SELECT 100 + d.study_id AS dataset_id, dl.label_id FROM fx_dataset_label dl JOIN fx_dataset d ON d.dataset_id = dl.dataset_id
 WHERE d.base""",
+    # 8 x 8 grey and 4 x 4 RGBA pictures from the feature vectors.
+    "fx_gray": """
+SELECT image_id, class_idx, 8 AS h, 8 AS w, 1 AS c,
+  list_transform(features, lambda v: CAST(least(greatest(floor((CAST(v AS DOUBLE) + 1) * 127.5E0 + 0.5E0), 0), 255) AS FLOAT)) AS px FROM fx_feature""",
+    "fx_rgba": """
+SELECT image_id, class_idx, 4 AS h, 4 AS w, 4 AS c, px FROM fx_gray""",
 }
 
 SPARK_VIEWS: dict[str, str] = {
+    "fx_gray": """
+SELECT image_id, class_idx, 8 AS h, 8 AS w, 1 AS c,
+  transform(features, v -> CAST(least(greatest(floor((CAST(v AS DOUBLE) + 1) * 127.5E0 + 0.5E0), 0), 255) AS FLOAT)) AS px FROM fx_feature""",
     "fx_dataset": """
 SELECT r_regionkey * 10 + kind AS dataset_id, r_regionkey AS study_id,
        concat(r_name, CASE kind WHEN 1 THEN ' Base' WHEN 2 THEN ' Train Set' ELSE ' Test Set' END) AS name,

@@ -1 +1,44 @@
-"""Placeholder."""
+"""Streaming queries: each consumes a table as a file stream and returns the final state."""
+
+
+
+from tallyweave.plans.evaluation_queries import METRICS, report_sql, rounded
+from tallyweave.plans.registry import query
+from tallyweave.streaming import jobs
+
+
+@query(
+    "s1_stream_label_counts",
+    "SELECT dataset_id, label_id, count(*) AS image_count FROM fx_image WHERE dataset_id IS NOT NULL GROUP BY ALL",
+)
+def _(d):
+    return jobs.stream_label_counts(d.sql("SELECT * FROM fx_image", orders=d.stream("orders")))
+
+
+@query(
+    "s2_stream_status",
+    "SELECT session_id, arg_max(status, ts) AS status, max(ts) AS updated_at FROM fx_status_event GROUP BY ALL",
+)
+def _(d):
+    return jobs.stream_status(d.sql("SELECT * FROM fx_status_event", events=d.stream("events")))
+
+
+@query("s3_stream_test_reports", report_sql())
+def _(d):
+    return rounded(jobs.stream_test_reports(d.sql("SELECT * FROM fx_result", lineitem=d.stream("lineitem"))), *METRICS)
+
+
+@query(
+    "s4_stream_reexport",
+    """WITH pairs AS (SELECT dl.dataset_id, dl.label_id, lower(replace(d.name, ' ', '_')) AS dataset_slug, lower(replace(l.name, ' ', '_')) AS label_slug
+  FROM fx_dataset_label dl JOIN fx_dataset d ON d.dataset_id = dl.dataset_id JOIN fx_label l ON l.label_id = dl.label_id
+  WHERE dl.dataset_id IN (SELECT dataset_id FROM fx_image WHERE dataset_id IS NOT NULL)),
+files AS (SELECT p.dataset_id, p.label_slug, regexp_extract(i.image_path, '[^/]*$') AS file_name, min(i.image_id) AS image_id
+  FROM fx_image i JOIN pairs p ON p.dataset_id = i.dataset_id AND p.label_id = i.label_id GROUP BY ALL)
+SELECT p.dataset_id, p.dataset_slug, p.label_slug, f.file_name, f.image_id, i.image_path
+FROM (SELECT DISTINCT dataset_id, dataset_slug, label_slug FROM pairs) p
+LEFT JOIN files f ON f.dataset_id = p.dataset_id AND f.label_slug = p.label_slug LEFT JOIN fx_image i ON i.image_id = f.image_id""",
+)
+def _(d):
+    tables = {"image": d.fx_image, "dataset": d.fx_dataset, "label": d.fx_label, "dataset_label": d.fx_dataset_label}
+    return jobs.stream_reexport(d.sql("SELECT * FROM fx_image", orders=d.stream("orders")), lambda: tables)

@@ -33,17 +33,20 @@ def uniform(seed: object, *parts: Column | str) -> Column:
     return F.conv(F.substring(shuffle_key(seed, *parts), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _hash_bucket(key: str) -> Column:
-    return F.substring(F.col(key), 1, HASH_DIGITS)
+def _bucket_sizes(bucketed: DataFrame, groups: Sequence[str]) -> DataFrame:
+    return bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
 
 
 def _bucket_offsets(bucketed: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """(groups, _bucket, _offset): how many rows of the group lie in earlier buckets."""
-    sizes = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = (
-        Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    """(groups, _bucket, _size, _offset, _total): rows in the bucket, in earlier buckets, and in the whole group.
+
+    The windows run over bucket counts, not over rows of the data.
+    """
+    whole = Window.partitionBy(*(groups or [F.lit(0)]))
+    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return _bucket_sizes(bucketed, groups).withColumns(
+        {"_offset": F.coalesce(F.sum("_size").over(earlier), F.lit(0)), "_total": F.sum("_size").over(whole)}
     )
-    return sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
 
 
 def _number_within(df: DataFrame, groups: Sequence[str], order: Sequence[str], rank: str) -> DataFrame:
@@ -51,41 +54,50 @@ def _number_within(df: DataFrame, groups: Sequence[str], order: Sequence[str], r
     return df.withColumn(rank, F.col("_offset") + F.row_number().over(inside).cast("long"))
 
 
-def shuffled_rank(df: DataFrame, key: Column, tie: str, groups: Sequence[str] = (), rank: str = "rank") -> DataFrame:
-    """1-based rank of every row by (key, tie) within its group (no null groups)."""
-    bucketed = df.withColumn("_key", key).withColumn("_bucket", _hash_bucket("_key"))
-    offsets = _bucket_offsets(bucketed, list(groups)).drop("_size")
-    joined = bucketed.join(offsets, [*groups, "_bucket"])
-    return _number_within(joined, list(groups), ["_key", tie], rank).drop("_key", "_bucket", "_offset")
+def _by_hash(df: DataFrame, key: Column) -> DataFrame:
+    return df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, HASH_DIGITS))
+
+
+def _by_id(df: DataFrame, id_col: str) -> DataFrame:
+    return df.withColumn("_bucket", F.shiftright(F.col(id_col).cast("long"), ID_SPAN_BITS))
+
+
+def _finish(df: DataFrame, total: str | None, *extra: str) -> DataFrame:
+    kept = df.withColumnRenamed("_total", total) if total else df.drop("_total")
+    return kept.drop("_bucket", "_offset", "_size", *extra)
+
+
+def shuffled_rank(
+    df: DataFrame, key: Column, tie: str, groups: Sequence[str] = (), rank: str = "rank", total: str | None = None
+) -> DataFrame:
+    """1-based rank of every row by (key, tie) within its group (no null groups), optionally with the group's size."""
+    bucketed = _by_hash(df, key)
+    joined = bucketed.join(_bucket_offsets(bucketed, list(groups)), [*groups, "_bucket"])
+    return _finish(_number_within(joined, list(groups), ["_key", tie], rank), total, "_key")
 
 
 def id_rank(df: DataFrame, id_col: str, groups: Sequence[str] = (), rank: str = "rank") -> DataFrame:
     """1-based rank by a unique non-null 64-bit id within its group (no null groups)."""
-    bucketed = df.withColumn("_bucket", F.shiftright(F.col(id_col).cast("long"), ID_SPAN_BITS))
-    offsets = _bucket_offsets(bucketed, list(groups)).drop("_size")
-    joined = bucketed.join(offsets, [*groups, "_bucket"])
-    return _number_within(joined, list(groups), [id_col], rank).drop("_bucket", "_offset")
+    bucketed = _by_id(df, id_col)
+    joined = bucketed.join(_bucket_offsets(bucketed, list(groups)), [*groups, "_bucket"])
+    return _finish(_number_within(joined, list(groups), [id_col], rank), None)
 
 
-def id_slice(df: DataFrame, id_col: str, groups: Sequence[str], first: int, last: int, rank: str = "rank") -> DataFrame:
+def id_slice(
+    df: DataFrame, id_col: str, groups: Sequence[str], first: int, last: int, rank: str = "rank", total: str | None = None
+) -> DataFrame:
     """Rows whose id rank within the group lies in [first, last]; other buckets are dropped before the sort."""
-    bucketed = df.withColumn("_bucket", F.shiftright(F.col(id_col).cast("long"), ID_SPAN_BITS))
+    bucketed = _by_id(df, id_col)
     live = _bucket_offsets(bucketed, list(groups)).filter(
         (F.col("_offset") < last) & (F.col("_offset") + F.col("_size") >= first)
     )
-    joined = bucketed.join(live.drop("_size"), [*groups, "_bucket"])
-    return (
-        _number_within(joined, list(groups), [id_col], rank)
-        .filter(F.col(rank).between(first, last))
-        .drop("_bucket", "_offset")
-    )
+    joined = bucketed.join(live, [*groups, "_bucket"])
+    return _finish(_number_within(joined, list(groups), [id_col], rank).filter(F.col(rank).between(first, last)), total)
 
 
 def group_sizes(pool: DataFrame, groups: Sequence[str], key: Column, size: str) -> DataFrame:
     """Rows per group, summed from the same bucket counts ``take_quota`` needs, so Spark can reuse that exchange."""
-    bucketed = pool.withColumn("_key", key).withColumn("_bucket", _hash_bucket("_key"))
-    sizes = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    return sizes.groupBy(*groups).agg(F.sum("_size").alias(size))
+    return _bucket_sizes(_by_hash(pool, key), groups).groupBy(*groups).agg(F.sum("_size").alias(size))
 
 
 def take_quota(
@@ -96,16 +108,12 @@ def take_quota(
     Buckets that start beyond the quota are removed by a join before any sorting, so at most
     ``quota`` buckets per group survive, whatever the group's size.
     """
-    bucketed = pool.withColumn("_key", key).withColumn("_bucket", _hash_bucket("_key"))
+    bucketed = _by_hash(pool, key)
     live = (
         _bucket_offsets(bucketed, list(groups))
         .join(quotas.select(*groups, F.col(quota).cast("long").alias("_quota")), list(groups))
         .filter(F.col("_offset") < F.col("_quota"))
-        .drop("_size")
     )
     joined = bucketed.join(live, [*groups, "_bucket"])
-    return (
-        _number_within(joined, list(groups), ["_key", tie], rank)
-        .filter(F.col(rank) <= F.col("_quota"))
-        .drop("_key", "_bucket", "_offset", "_quota")
-    )
+    numbered = _number_within(joined, list(groups), ["_key", tie], rank)
+    return _finish(numbered.filter(F.col(rank) <= F.col("_quota")), None, "_key", "_quota")

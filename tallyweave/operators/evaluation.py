@@ -52,34 +52,20 @@ def sparse_cells(results: DataFrame, by: str = "test_id") -> DataFrame:
     return results.groupBy(by, "true_label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_rows(results: DataFrame, by: str = "test_id") -> DataFrame:
-    """Dense confusion matrix, one row per actual label: (by, true_label, labels, counts).
+def confusion_cells(results: DataFrame, by: str = "test_id") -> DataFrame:
+    """Dense cells including zeros: (by, true_label, prediction, n), over every label seen on either side.
 
-    ``labels`` lists every label seen on either side, in alphabetical order, and ``counts`` is
-    aligned with it. Both arrays are bounded by the number of classes of one test.
+    The full matrix is the output itself; it is laid out from the label list of each test, which is
+    bounded by its number of classes, and filled by an equality join.
     """
-    # a missing label cannot be a map key; it is shown as an empty name
-    named = results.withColumns({c: F.coalesce(c, F.lit("")) for c in ("true_label", "prediction")})
-    cells = sparse_cells(named, by)
-    sided = cells.select(
-        by, F.explode(F.array("true_label", "prediction")).alias("label")
-    )
-    # one row per (test, actual label) with its predictions as a map, empty for a label only predicted
-    filled = cells.groupBy(by, F.col("true_label").alias("label")).agg(
-        F.map_from_entries(F.collect_list(F.struct("prediction", "n"))).alias("filled")
-    )
-    labels = sided.groupBy(by).agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    rows = labels.select(by, "labels", F.explode("labels").alias("label")).join(filled, [by, "label"], "left")
-    count_of = lambda label: F.coalesce(F.element_at("filled", label), F.lit(0).cast("long"))
-    return rows.select(by, F.col("label").alias("true_label"), "labels", F.transform("labels", count_of).alias("counts"))
-
-
-def confusion_cells(results: DataFrame, by: str = "test_id") -> DataFrame:
-    """Dense cells including zeros: (by, true_label, prediction, n). The output itself is the full matrix."""
-    rows = confusion_rows(results, by)
-    return rows.select(by, "true_label", F.explode(F.arrays_zip("labels", "counts")).alias("cell")).select(
-        by, "true_label", F.col("cell.labels").alias("prediction"), F.col("cell.counts").alias("n")
+    cells = sparse_cells(results, by)
+    sides = cells.select(by, F.explode(F.array("true_label", "prediction")).alias("label"))
+    labels = sides.groupBy(by).agg(F.collect_set("label").alias("labels"))
+    grid = labels.select(by, "labels", F.explode("labels").alias("true_label")).select(
+        by, "true_label", F.explode("labels").alias("prediction")
     )
+    filled = grid.join(cells, [by, "true_label", "prediction"], "left")
+    return filled.select(by, "true_label", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def confusion_matrix(results: DataFrame, labels: list[str], by: str | None = None) -> DataFrame:
@@ -88,48 +74,63 @@ def confusion_matrix(results: DataFrame, labels: list[str], by: str | None = Non
     return results.groupBy(*keys).pivot("prediction", labels).count().na.fill(0, labels)
 
 
-def label_marginals(cells: DataFrame, by: str = "test_id") -> DataFrame:
-    """Per label: diagonal, row sum (actual), column sum (predicted) and the test's total.
+def label_marginals(cells: DataFrame, by: str = "test_id", carried: list[str] | None = None) -> DataFrame:
+    """Per label: diagonal, row sum (actual), column sum (predicted), and the sums of ``carried`` cell columns.
 
     Each cell contributes one row-side and one column-side record, so no labels are paired up.
+    Carried columns ride on the row side only and are therefore counted once.
     """
     zero = F.lit(0).cast("long")
-    row_side = F.struct(
-        F.col("true_label").alias("label"),
-        F.col("n").alias("actual"),
-        zero.alias("predicted"),
-        F.when(F.col("true_label").eqNullSafe(F.col("prediction")), F.col("n")).otherwise(zero).alias("diagonal"),
-    )
-    column_side = F.struct(
-        F.col("prediction").alias("label"), zero.alias("actual"), F.col("n").alias("predicted"), zero.alias("diagonal")
-    )
+    carried = carried or []
+
+    def side(label: str, actual, predicted, diagonal, keep: bool) -> Column:
+        rest = [(F.col(c) if keep else F.lit(None)).cast(cells.schema[c].dataType).alias(c) for c in carried]
+        return F.struct(
+            F.col(label).alias("label"),
+            actual.alias("actual"),
+            predicted.alias("predicted"),
+            diagonal.alias("diagonal"),
+            *rest,
+        )
+
+    n = F.col("n")
+    same = F.col("true_label").eqNullSafe(F.col("prediction"))
+    row_side = side("true_label", n, zero, F.when(same, n).otherwise(zero), True)
+    column_side = side("prediction", zero, n, zero, False)
     sides = cells.select(by, F.explode(F.array(row_side, column_side)).alias("s")).select(by, "s.*")
-    return sides.groupBy(by, "label").agg(
-        F.sum("actual").alias("actual"), F.sum("predicted").alias("predicted"), F.sum("diagonal").alias("diagonal")
-    )
+    return sides.groupBy(by, "label").agg(*[F.sum(c).alias(c) for c in ["actual", "predicted", "diagonal", *carried]])
 
 
-def macro_metrics(marginals: DataFrame, by: str = "test_id") -> DataFrame:
+def macro_metrics(marginals: DataFrame, by: str = "test_id", carried: list[str] | None = None) -> DataFrame:
     """Macro precision, recall, F1 and both specificities, plus accuracy and the label count.
 
     ``specificity`` keeps the denominator of the behaviour to be matched (cells whose *column* is
     another label, which makes it the negative predictive value); ``specificity_true`` is
-    TN / (TN + FP). F1 is taken from the macro precision and recall; 0/0 gives NULL.
+    TN / (TN + FP). F1 is taken from the macro precision and recall; 0/0 gives NULL. A label without
+    any counted result does not take part; a test without any has no row.
     """
     # a test has one marginal row per class, so this window holds no more rows than classes
     per = marginals.withColumn("total", F.sum("actual").over(Window.partitionBy(by)))
+    seen = F.col("actual") + F.col("predicted") > 0
     tn = F.col("total") - F.col("actual") - F.col("predicted") + F.col("diagonal")
-    macro = per.groupBy(by).agg(
-        F.sum("actual").alias("rows"),
-        F.count(F.lit(1)).alias("labels"),
-        (F.lit(100.0) * F.sum("diagonal") / F.sum("actual")).alias("accuracy"),
-        F.avg(ratio(F.col("diagonal"), F.col("predicted"))).alias("precision"),
-        F.avg(ratio(F.col("diagonal"), F.col("actual"))).alias("recall"),
-        F.avg(ratio(tn, F.col("total") - F.col("predicted"))).alias("specificity"),
-        F.avg(ratio(tn, F.col("total") - F.col("actual"))).alias("specificity_true"),
+    mean = lambda value: F.avg(F.when(seen, value))
+    macro = (
+        per.groupBy(by)
+        .agg(
+            F.sum("actual").alias("rows"),
+            F.count_if(seen).alias("labels"),
+            F.sum("diagonal").alias("_correct"),
+            mean(ratio(F.col("diagonal"), F.col("predicted"))).alias("precision"),
+            mean(ratio(F.col("diagonal"), F.col("actual"))).alias("recall"),
+            mean(ratio(tn, F.col("total") - F.col("predicted"))).alias("specificity"),
+            mean(ratio(tn, F.col("total") - F.col("actual"))).alias("specificity_true"),
+            *[F.sum(c).alias(c) for c in carried or []],
+        )
+        .filter(F.col("rows") > 0)
     )
     pr = F.col("precision") + F.col("recall")
-    return macro.withColumn("f1", F.when(pr == 0, F.lit(None)).otherwise(2 * F.col("precision") * F.col("recall") / pr))
+    f1 = F.when(pr == 0, F.lit(None)).otherwise(2 * F.col("precision") * F.col("recall") / pr)
+    return macro.withColumns({"accuracy": ratio(F.col("_correct"), F.col("rows")), "f1": f1}).drop("_correct")
 
 
 def outcome_counts(results: DataFrame, by: str = "test_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -164,17 +165,14 @@ def report_cells(
 
 def report_from_cells(cells: DataFrame, by: str = "test_id") -> DataFrame:
     """The report columns from (possibly merged) report cells; a test with no kept row has no report."""
-    counts = cells.groupBy(by).agg(
-        F.sum("confidence_sum").alias("confidence_sum"),
-        *[F.sum(c).alias(c) for c in COUNT_COLUMNS.values()],
-    )
-    metrics = macro_metrics(label_marginals(cells.filter(F.col("n") > 0), by), by)
-    return metrics.join(counts, by).select(
+    carried = ["confidence_sum", *COUNT_COLUMNS.values()]
+    metrics = macro_metrics(label_marginals(cells, by, carried), by, carried)
+    return metrics.select(
         by,
         "rows",
         "labels",
         "accuracy",
-        (F.lit(100.0) * F.col("confidence_sum") / F.col("rows")).alias("avg_confidence"),
+        ratio(F.col("confidence_sum"), F.col("rows")).alias("avg_confidence"),
         "precision",
         "recall",
         "f1",

@@ -75,9 +75,8 @@ def paginate_all(images: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFra
     first, last = page_bounds(page, size)
     groups = ["dataset_id", "label_id"]
     listed = images.filter(F.col("dataset_id").isNotNull() & F.col("label_id").isNotNull())
-    totals = listed.groupBy(*groups).agg(F.count(F.lit(1)).alias("total"))
-    rows = id_slice(listed, "image_id", groups, first, last, rank="position")
-    return rows.join(totals, groups).withColumn("has_next", F.col("total") > last)
+    rows = id_slice(listed, "image_id", groups, first, last, rank="position", total="total")
+    return rows.withColumn("has_next", F.col("total") > last)
 
 
 def paginate(images: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:

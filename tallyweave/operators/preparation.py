@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.ranking import group_sizes, shuffle_key, shuffled_rank
+from tallyweave.functions.ranking import shuffle_key, shuffled_rank
 
 # Fixed value: the seed of the split.
 SPLIT_SEED = 123
@@ -29,12 +29,7 @@ def train_val_split(
     One seeded permutation of all images (of each ``by`` group, when given; not stratified by label);
     the last floor(fraction * n) are the validation part.
     """
-    key = shuffle_key(seed, id_col)
-    ranked = shuffled_rank(images, key, id_col, by, rank="position")
-    if by:
-        ranked = ranked.join(group_sizes(images, by, key, "_n"), list(by))
-    else:
-        ranked = ranked.withColumn("_n", _count(images))
+    ranked = shuffled_rank(images, shuffle_key(seed, id_col), id_col, by, rank="position", total="_n")
     training = F.col("_n") - F.floor(F.col("_n") * F.lit(float(fraction)))
     late = F.col("position") > training
     return ranked.withColumns(
@@ -60,10 +55,11 @@ def batch_plan(training: DataFrame, epochs: int, batch: int, seed: object = SPLI
     The passes form one endless stream of which each epoch takes floor(n / batch) batches, so a
     short batch and whatever follows it run into the next epoch.
     """
-    n = _count(training)
+    # every pass has all images, so its size comes with the ranks
+    n = F.col("_n")
     steps, per_pass = F.floor(n / batch), F.ceil(n / batch)
     passes = training.select(id_col, F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("_pass"))
-    ranked = shuffled_rank(passes, shuffle_key(seed, "_pass", id_col), id_col, ["_pass"], rank="_rank")
+    ranked = shuffled_rank(passes, shuffle_key(seed, "_pass", id_col), id_col, ["_pass"], rank="_rank", total="_n")
     nth = ranked.withColumn("_nth", (F.col("_pass") - 1) * per_pass + F.floor((F.col("_rank") - 1) / batch))
     used = nth.filter(F.col("_nth") < steps * epochs)
     # fewer images than one batch leave no step, and no row that would divide by zero

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.schemas import (
@@ -71,6 +71,12 @@ def collect(*breaches: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, breaches)
 
 
+def row_rules(df: DataFrame, entity: str, key: str, rules: dict[str, Column]) -> DataFrame:
+    """All rules that look at one row, in one scan; a null condition is no breach."""
+    broken = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules.items()]))
+    return df.select(F.explode(broken).alias("rule"), F.lit(entity).alias("entity"), F.col(key).cast("long").alias("id"))
+
+
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
     """All rules whose entity and columns are among the given tables."""
 
@@ -81,15 +87,15 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     key_of = lambda entity: PRIMARY_KEYS.get(entity, "dataset_id")
     if has("dataset", "name"):
         found.append(duplicated(tables["dataset"], "dataset", "dataset_id", "name"))
-    for entity, column, allowed in CHOICES:
-        if has(entity, column):
-            found.append(not_allowed(tables[entity], entity, key_of(entity), column, allowed))
+    for entity in tables:
+        rules = {f"unknown {c}": ~F.col(c).isin(allowed) for e, c, allowed in CHOICES if e == entity and has(e, c)}
+        if entity in NAMED and has(entity, "name"):
+            rules["name too long"] = F.length("name") > NAME_LIMIT
+        if rules:
+            found.append(row_rules(tables[entity], entity, key_of(entity), rules))
     for entity, column, target in REFERENCES:
         if has(entity, column) and target in tables:
             found.append(dangling(tables[entity], entity, key_of(entity), column, tables[target]))
-    for entity in NAMED:
-        if has(entity, "name"):
-            found.append(too_long(tables[entity], entity, key_of(entity)))
     return collect(*found)
 
 

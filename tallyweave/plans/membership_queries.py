@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tallyweave.operators import membership as mb
 from tallyweave.operators import records as rc
 from tallyweave.plans.registry import query
+from tallyweave.session import settle
 
 SEED = 7
 _CHANGE = ["image_id", "old_dataset_id", "new_dataset_id", "used_for_training", "used_for_testing"]
@@ -45,8 +46,13 @@ _TESTING_MOVES = """SELECT image_id, CAST(dataset_id AS BIGINT) AS old_dataset_i
   used_for_training, TRUE AS used_for_testing FROM drawn"""
 
 
+def _requests(d, view="fx_generate"):
+    """Requests are small stored tables; here they are derived from the images and then stored."""
+    return settle(getattr(d, view), "requests"), settle(d.fx_generate_label, "request-labels")
+
+
 def _testing_set(d):
-    return mb.make_testing_set(images(d), d.fx_dataset, d.fx_generate, d.fx_generate_label, SEED)
+    return mb.make_testing_set(images(d), d.fx_dataset, *_requests(d), SEED)
 
 
 @query("g2_make_testing_set", _TESTING + _TESTING_MOVES)
@@ -79,7 +85,7 @@ _TRAINING_MOVES = """SELECT image_id, CAST(dataset_id AS BIGINT) AS old_dataset_
 
 @query("g3_make_training_set", _sample_sql(_FRESH) + _TRAINING_MOVES + "drawn")
 def _(d):
-    return _moves(mb.make_training_set(images(d), d.fx_dataset, d.fx_generate, d.fx_generate_label, SEED))
+    return _moves(mb.make_training_set(images(d), d.fx_dataset, *_requests(d), SEED))
 
 
 # Previous training set of a study: dataset study * 10 + 2. The quota is what it leaves open.
@@ -96,9 +102,8 @@ UNION ALL SELECT i.image_id, i.dataset_id, q.target, i.used_for_testing FROM wan
   WHERE q.target NOT IN (SELECT target FROM short)) m""",
 )
 def _(d):
-    edit = mb.make_training_set(
-        images(d), d.fx_dataset_dated, d.fx_generate_carry, d.fx_generate_label, SEED, prior="latest"
-    )
+    datasets = settle(d.fx_dataset_dated, "datasets")
+    edit = mb.make_training_set(images(d), datasets, *_requests(d, "fx_generate_carry"), SEED, prior="latest")
     return _moves(edit)
 
 
@@ -165,7 +170,7 @@ SELECT image_id, CAST(dataset_id AS BIGINT) AS old_dataset_id, CAST(target_id AS
 FROM pool WHERE rk <= n""",
 )
 def _(d):
-    return _moves(mb.move_random(images(d), d.fx_dataset_label, d.sql(_MOVE_REQUESTS), SEED))
+    return _moves(mb.move_random(images(d), d.fx_dataset_label, settle(d.sql(_MOVE_REQUESTS), "requests"), SEED))
 
 
 # ---- clones by copy ----

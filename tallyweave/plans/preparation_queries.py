@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import preparation as pp
 from tallyweave.plans.registry import query
+from tallyweave.session import settle
 
 _SPLIT = """WITH r AS (SELECT image_id, dataset_id, row_number() OVER (ORDER BY md5(concat('123:', CAST(image_id AS VARCHAR))), image_id) AS rk, count(*) OVER () AS n
   FROM fx_image),
@@ -16,6 +17,11 @@ def _split(d):
     return pp.train_val_split(d.fx_image.select("image_id"), 0.2)
 
 
+def _stored_split(d):
+    """The plans read a split that was stored once, as a training run would."""
+    return settle(_split(d), "split")
+
+
 @query("i1_train_val_split", _SPLIT + "SELECT image_id, split, position FROM s")
 def _(d):
     return _split(d)
@@ -39,7 +45,7 @@ def _(d):
   CAST(count(*) FILTER (WHERE split = 'validation') // 16 AS BIGINT) AS val_steps FROM s""",
 )
 def _(d):
-    return pp.step_counts(_split(d), 16)
+    return pp.step_counts(_stored_split(d), 16)
 
 
 @query(
@@ -53,7 +59,7 @@ SELECT CAST(nth // steps + 1 AS INT) AS epoch, nth % steps + 1 AS step, (rk - 1)
 )
 def _(d):
     # 13 does not divide the number of images, so the short batches move the epoch borders
-    return pp.batch_plan(_split(d).filter("split = 'training'").select("image_id"), epochs=3, batch=13)
+    return pp.batch_plan(_stored_split(d).filter("split = 'training'").select("image_id"), epochs=3, batch=13)
 
 
 @query(
@@ -63,4 +69,4 @@ def _(d):
 SELECT (position - 1) // 16 + 1 AS step, (position - 1) % 16 + 1 AS slot, image_id FROM v WHERE (position - 1) // 16 + 1 <= steps""",
 )
 def _(d):
-    return pp.val_batches(_split(d), 16)
+    return pp.val_batches(_stored_split(d), 16)

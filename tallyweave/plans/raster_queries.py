@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import head as hd
 from tallyweave.operators import raster as rs
-from tallyweave.plans.head_queries import _SCORED, centroids
+from tallyweave.plans.head_queries import _SCORED_SESSIONS, session_rows
 from tallyweave.plans.registry import query
 
 
@@ -178,20 +178,19 @@ def _(d):
     return _cells(rs.saliency_edges(_gray(d)))
 
 
-_WEIGHT_MAPS = """SELECT s.image_id, m.pos - 1 AS pos, CAST(CAST(abs(m.m * 10) AS FLOAT) AS DOUBLE) AS v FROM scored s JOIN mean m ON m.class_idx = s.predicted_idx"""
+_WEIGHT_MAPS = """SELECT s.image_id, m.pos - 1 AS pos, CAST(CAST(abs(m.m * 10 * (1 + s.image_id % 5)) AS FLOAT) AS DOUBLE) AS v FROM scored s JOIN mean m ON m.class_idx = s.predicted_idx"""
 
 
 def _attribution(d):
-    rows = d.fx_feature.select("image_id", F.lit(1).cast("long").alias("session_id"), "features")
-    weights = centroids(d)
+    rows, weights = session_rows(d)
     return rs.attribution(hd.score(rows, weights), weights, 8, 8)
 
 
-@query("r5_attribution", _SCORED + f", a AS ({_WEIGHT_MAPS}) SELECT image_id, CAST(pos AS INT) AS pos, round(v, 5) AS v FROM a")
+@query("r5_attribution", _SCORED_SESSIONS + f", a AS ({_WEIGHT_MAPS}) SELECT image_id, CAST(pos AS INT) AS pos, round(v, 5) AS v FROM a")
 def _(d):
     return _cells(_attribution(d), 5)
 
 
-@query("r5_attribution_edges", _SCORED.rstrip() + ",\n" + _edges_sql(_WEIGHT_MAPS))
+@query("r5_attribution_edges", _SCORED_SESSIONS.rstrip() + ",\n" + _edges_sql(_WEIGHT_MAPS))
 def _(d):
     return _cells(rs.saliency_edges(_attribution(d)))

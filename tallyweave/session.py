@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,3 +38,14 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder; never reused, so reruns cannot collide."""
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, purpose: str = "settled") -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    Cuts the lineage where a result is used several times; survives lost executors, and the file
+    sizes let Spark judge whether it may be broadcast.
+    """
+    path = scratch(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

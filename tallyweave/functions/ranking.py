@@ -95,6 +95,11 @@ def id_slice(
     return _finish(_number_within(joined, list(groups), [id_col], rank).filter(F.col(rank).between(first, last)), total)
 
 
+def id_group_sizes(df: DataFrame, id_col: str, groups: Sequence[str], size: str) -> DataFrame:
+    """Rows per group, summed from the same bucket counts ``id_rank`` needs, so Spark can reuse that exchange."""
+    return _bucket_sizes(_by_id(df, id_col), groups).groupBy(*groups).agg(F.sum("_size").alias(size))
+
+
 def group_sizes(pool: DataFrame, groups: Sequence[str], key: Column, size: str) -> DataFrame:
     """Rows per group, summed from the same bucket counts ``take_quota`` needs, so Spark can reuse that exchange."""
     return _bucket_sizes(_by_hash(pool, key), groups).groupBy(*groups).agg(F.sum("_size").alias(size))

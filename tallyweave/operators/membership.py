@@ -13,10 +13,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.ranking import group_sizes, id_rank, shuffle_key, take_quota
+from tallyweave.functions.ranking import group_sizes, id_group_sizes, id_rank, shuffle_key, take_quota
 from tallyweave.operators.filters import unused_images
 from tallyweave.operators.listings import eligibility, first_by_pk, last_by_pk, latest_training_dataset
 from tallyweave.operators.lookups import match_by_filename
+from tallyweave.session import settle
 
 FLAGS = ["used_for_training", "used_for_testing"]
 
@@ -68,7 +69,7 @@ def copy_rows(picked: DataFrame, images: DataFrame) -> DataFrame:
     """
     highest = images.agg(F.coalesce(F.max("image_id"), F.lit(0)).alias("top")).scalar()
     ranked = id_rank(picked, "image_id", ["new_dataset_id"], rank="_rank")
-    sizes = picked.groupBy("new_dataset_id").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = id_group_sizes(picked, "image_id", ["new_dataset_id"], "_size")
     # one row per request
     earlier = Window.partitionBy(F.lit(0)).orderBy("new_dataset_id").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("new_dataset_id", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
@@ -112,20 +113,21 @@ def sample_copy(
 
     The base dataset is the last one of any study; ``per_study`` takes the last one of each study
     instead. The sources keep their flags and the copies start unused. A base dataset with a label
-    short of n gives nothing and is listed in ``rejected``.
+    short of n gives nothing and is listed in ``rejected``. The request list and the sample (n rows
+    per label) are stored at once, because numbering the copies reads them several times.
     """
     base = last_by_pk(datasets, "dataset_id", ["study_id"] if per_study else None, F.col("base"))
     top = datasets.agg(F.max("dataset_id").alias("top")).scalar()
     # one row per study at most
     order = Window.partitionBy(F.lit(0)).orderBy("dataset_id")
-    requests = base.select(
-        "dataset_id", "resolution", (F.row_number().over(order) + top).cast("long").alias("new_dataset_id")
-    )
+    numbered = (F.row_number().over(order) + top).cast("long").alias("new_dataset_id")
+    requests = settle(base.select("dataset_id", "resolution", numbered), "requests")
     quotas = requests.join(dataset_labels, "dataset_id").select(
         "new_dataset_id", "label_id", F.lit(n).cast("long").alias("quota")
     )
     pool = images.join(requests.select("dataset_id", "new_dataset_id"), "dataset_id")
     drawn, short = _draw(pool, quotas, "new_dataset_id", seed)
+    drawn = settle(drawn, "sample")
     copies = copy_rows(drawn.withColumns({c: F.lit(False) for c in FLAGS}), images)
     made = requests.join(short.select("new_dataset_id").distinct(), "new_dataset_id", "left_anti")
     suffix = F.substring(shuffle_key(seed, "dataset_id"), 1, 6)

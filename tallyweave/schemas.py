@@ -22,8 +22,8 @@ _TYPES = {
     "string": StringType(),
     "boolean": BooleanType(),
     "timestamp": TimestampType(),
-    "doubles": ArrayType(DoubleType(), False),
-    "floats": ArrayType(FloatType(), False),
+    "doubles": ArrayType(DoubleType()),
+    "floats": ArrayType(FloatType()),
 }
 
 

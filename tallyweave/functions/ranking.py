@@ -1,8 +1,13 @@
 """Exact ranks and quotas over groups of any size.
 
-A plain ``row_number() over (partition by label)`` sends a whole label to one task. Here the
-ordering is cut into ordered buckets, the bucket sizes (a small table) are prefix-summed, and
-rows are numbered only inside their bucket. The result equals the plain sort, row for row.
+A plain ``row_number() over (partition by label)`` sends a whole label to one task. Here every
+group is cut into as many ordered buckets as its size calls for; the bucket counts (a small table) are
+prefix-summed, and rows are numbered only inside their bucket. The result equals the plain sort, row
+for row, while a task never sorts more than about one bucket.
+
+The count tables (per group, per bucket) are stored as soon as a helper is called. Spark then knows
+their size when it plans the join with the rows: a small one is broadcast and the rows are not
+shuffled for it, a large one is joined by shuffling.
 
 Orders are derived from ``md5(seed:key)``, never from a process random generator, so a retried
 task or another partitioning gives the same answer.
@@ -15,11 +20,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Four hex digits give 65,536 buckets per group: a group of 3e11 rows leaves about 5e6 rows per bucket,
-# while the prefix sum of one group still sorts at most 65,536 rows.
-HASH_DIGITS = 4
-# Primary keys are unique, so a span of 2^16 consecutive ids holds at most 65,536 rows.
-ID_SPAN_BITS = 16
+from tallyweave.session import settle
+
+# Rows one task should sort. Groups up to this size are a single bucket.
+BUCKET_ROWS = 1 << 17
+# Lower bound for the finer buckets of a quota or a page, so that counting them stays cheap.
+FINEST_BUCKET_ROWS = 1 << 10
 
 
 def shuffle_key(seed: object, *parts: Column | str) -> Column:
@@ -33,33 +39,53 @@ def uniform(seed: object, *parts: Column | str) -> Column:
     return F.conv(F.substring(shuffle_key(seed, *parts), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def _bucket_sizes(bucketed: DataFrame, groups: Sequence[str]) -> DataFrame:
-    return bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+def group_sizes(df: DataFrame, groups: Sequence[str], size: str) -> DataFrame:
+    """Rows per group: a map-side combined count."""
+    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias(size))
 
 
-def _bucket_offsets(bucketed: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """(groups, _bucket, _size, _offset, _total): rows in the bucket, in earlier buckets, and in the whole group.
+def _with_group(df: DataFrame, groups: Sequence[str], **figures: Column) -> DataFrame:
+    """Attach figures of the row's group; without groups those of the whole table, as a scalar subquery."""
+    aggregates = [value.alias(name) for name, value in figures.items()]
+    if groups:
+        return df.join(settle(df.groupBy(*groups).agg(*aggregates), "group-figures"), list(groups))
+    whole = df.agg(F.struct(*aggregates).alias("figures")).scalar()
+    return df.withColumn("_figures", whole).select("*", "_figures.*").drop("_figures")
 
-    The windows run over bucket counts, not over rows of the data.
-    """
-    whole = Window.partitionBy(*(groups or [F.lit(0)]))
-    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return _bucket_sizes(bucketed, groups).withColumns(
-        {"_offset": F.coalesce(F.sum("_size").over(earlier), F.lit(0)), "_total": F.sum("_size").over(whole)}
-    )
 
+def _by_hash(sized: DataFrame, key: Column, rows: Column | int) -> DataFrame:
+    """Buckets by the leading hex digits of the hash, as many digits as the group's ``_total`` needs."""
+    most = rows if isinstance(rows, Column) else F.lit(rows)
+    digits = F.greatest(F.ceil(F.log(16.0, F.col("_total") / most)), F.lit(0)).cast("int")
+    return sized.withColumn("_key", key).withColumn("_bucket", F.substring("_key", F.lit(1), digits))
 
-def _number_within(df: DataFrame, groups: Sequence[str], order: Sequence[str], rank: str) -> DataFrame:
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order)
-    return df.withColumn(rank, F.col("_offset") + F.row_number().over(inside).cast("long"))
+
+def _by_id(df: DataFrame, id_col: str, groups: Sequence[str], rows: int) -> DataFrame:
+    """Equal spans of ids. Keys are unique, so a span holds no more rows than it is long, and keys are handed
+    out in sequence, so spans fill evenly."""
+    at = F.col(id_col).cast("long")
+    sized = _with_group(df, groups, _total=F.count(F.lit(1)), _low=F.min(at), _high=F.max(at))
+    width = F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_total") / F.lit(rows)))
+    return sized.withColumn("_bucket", F.floor((at - F.col("_low")) / width)).drop("_low", "_high")
 
 
-def _by_hash(df: DataFrame, key: Column) -> DataFrame:
-    return df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, HASH_DIGITS))
+def _offsets(bucketed: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """(groups, _bucket, _size, _offset): rows in the bucket and in earlier buckets of the group.
+
+    The window runs over bucket counts, not over rows of the data.
+    """
+    sizes = bucketed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = (
+        Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    return sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
 
 
-def _by_id(df: DataFrame, id_col: str) -> DataFrame:
-    return df.withColumn("_bucket", F.shiftright(F.col(id_col).cast("long"), ID_SPAN_BITS))
+def _number(bucketed: DataFrame, offsets: DataFrame, groups: Sequence[str], order: Sequence[str], rank: str) -> DataFrame:
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order)
+    return bucketed.join(settle(offsets, "bucket-offsets"), [*groups, "_bucket"]).withColumn(
+        rank, F.col("_offset") + F.row_number().over(inside).cast("long")
+    )
 
 
 def _finish(df: DataFrame, total: str | None, *extra: str) -> DataFrame:
@@ -71,54 +97,45 @@ def shuffled_rank(
     df: DataFrame, key: Column, tie: str, groups: Sequence[str] = (), rank: str = "rank", total: str | None = None
 ) -> DataFrame:
     """1-based rank of every row by (key, tie) within its group (no null groups), optionally with the group's size."""
-    bucketed = _by_hash(df, key)
-    joined = bucketed.join(_bucket_offsets(bucketed, list(groups)), [*groups, "_bucket"])
-    return _finish(_number_within(joined, list(groups), ["_key", tie], rank), total, "_key")
+    bucketed = _by_hash(_with_group(df, groups, _total=F.count(F.lit(1))), key, BUCKET_ROWS)
+    ranked = _number(bucketed, _offsets(bucketed, groups), groups, ["_key", tie], rank)
+    return _finish(ranked, total, "_key")
 
 
 def id_rank(df: DataFrame, id_col: str, groups: Sequence[str] = (), rank: str = "rank") -> DataFrame:
     """1-based rank by a unique non-null 64-bit id within its group (no null groups)."""
-    bucketed = _by_id(df, id_col)
-    joined = bucketed.join(_bucket_offsets(bucketed, list(groups)), [*groups, "_bucket"])
-    return _finish(_number_within(joined, list(groups), [id_col], rank), None)
+    bucketed = _by_id(df, id_col, groups, BUCKET_ROWS)
+    return _finish(_number(bucketed, _offsets(bucketed, groups), groups, [id_col], rank), None)
 
 
 def id_slice(
     df: DataFrame, id_col: str, groups: Sequence[str], first: int, last: int, rank: str = "rank", total: str | None = None
 ) -> DataFrame:
     """Rows whose id rank within the group lies in [first, last]; other buckets are dropped before the sort."""
-    bucketed = _by_id(df, id_col)
-    live = _bucket_offsets(bucketed, list(groups)).filter(
+    fine = min(BUCKET_ROWS, max(FINEST_BUCKET_ROWS, last - first + 1))
+    bucketed = _by_id(df, id_col, groups, fine)
+    live = _offsets(bucketed, groups).filter(
         (F.col("_offset") < last) & (F.col("_offset") + F.col("_size") >= first)
     )
-    joined = bucketed.join(live, [*groups, "_bucket"])
-    return _finish(_number_within(joined, list(groups), [id_col], rank).filter(F.col(rank).between(first, last)), total)
-
-
-def id_group_sizes(df: DataFrame, id_col: str, groups: Sequence[str], size: str) -> DataFrame:
-    """Rows per group, summed from the same bucket counts ``id_rank`` needs, so Spark can reuse that exchange."""
-    return _bucket_sizes(_by_id(df, id_col), groups).groupBy(*groups).agg(F.sum("_size").alias(size))
-
-
-def group_sizes(pool: DataFrame, groups: Sequence[str], key: Column, size: str) -> DataFrame:
-    """Rows per group, summed from the same bucket counts ``take_quota`` needs, so Spark can reuse that exchange."""
-    return _bucket_sizes(_by_hash(pool, key), groups).groupBy(*groups).agg(F.sum("_size").alias(size))
+    ranked = _number(bucketed, live, groups, [id_col], rank)
+    return _finish(ranked.filter(F.col(rank).between(first, last)), total)
 
 
 def take_quota(
-    pool: DataFrame, quotas: DataFrame, groups: Sequence[str], quota: str, key: Column, tie: str, rank: str = "rank"
+    pool: DataFrame, quotas: DataFrame, groups: Sequence[str], quota: str, key: Column, tie: str, rank: str = "rank",
+    total: str | None = None,
 ) -> DataFrame:
     """The first ``quota`` rows by (key, tie) of every group listed in ``quotas``.
 
-    Buckets that start beyond the quota are removed by a join before any sorting, so at most
-    ``quota`` buckets per group survive, whatever the group's size.
+    Buckets are about as large as the quota, and those that start beyond it are removed by a join
+    before any sorting, so little more than the wanted rows is shuffled. ``total`` names a column of
+    ``quotas`` with the sizes of the groups where they are known already.
     """
-    bucketed = _by_hash(pool, key)
-    live = (
-        _bucket_offsets(bucketed, list(groups))
-        .join(quotas.select(*groups, F.col(quota).cast("long").alias("_quota")), list(groups))
-        .filter(F.col("_offset") < F.col("_quota"))
-    )
-    joined = bucketed.join(live, [*groups, "_bucket"])
-    numbered = _number_within(joined, list(groups), ["_key", tie], rank)
-    return _finish(numbered.filter(F.col(rank) <= F.col("_quota")), None, "_key", "_quota")
+    wanted = quotas.select(*groups, F.col(quota).cast("long").alias("_quota"), *([F.col(total).alias("_total")] if total else []))
+    if total is None:
+        wanted = settle(wanted.join(group_sizes(pool, groups, "_total"), list(groups)), "group-figures")
+    fine = F.least(F.lit(BUCKET_ROWS), F.greatest(F.lit(FINEST_BUCKET_ROWS), F.col("_quota")))
+    bucketed = _by_hash(pool.join(wanted, list(groups)), key, fine)
+    live = _offsets(bucketed, groups).join(wanted.drop("_total"), list(groups)).filter(F.col("_offset") < F.col("_quota"))
+    ranked = _number(bucketed, live.drop("_quota"), groups, ["_key", tie], rank)
+    return _finish(ranked.filter(F.col(rank) <= F.col("_quota")), None, "_key", "_quota")

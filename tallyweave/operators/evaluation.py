@@ -151,16 +151,32 @@ def report_cells(
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """One mergeable row per cell: what the whole report needs from the result rows."""
-    kept = outcome_predicate(outcome, threshold)
-    return (
+    # right or wrong is a property of the cell, so two counts per cell give all outcome classes
+    counted = (
         results.filter(species_predicate(species))
         .groupBy(by, "true_label", "prediction")
         .agg(
-            F.count_if(kept).alias("n"),
-            F.sum(F.when(kept, F.col("confidence"))).alias("confidence_sum"),
-            *[F.count_if(outcome_predicate(o, threshold)).alias(COUNT_COLUMNS[o]) for o in OUTCOMES],
+            F.count(F.lit(1)).alias("_all"),
+            F.count_if(F.col("confidence") > threshold).alias("_sure"),
+            F.sum(F.when(outcome_predicate(outcome, threshold), F.col("confidence"))).alias("confidence_sum"),
         )
     )
+    same = F.col("true_label").eqNullSafe(F.col("prediction"))
+    none = F.lit(0).cast("long")
+    per_outcome = {
+        "TruePositive": F.when(same, F.col("_sure")).otherwise(none),
+        "FalsePositive": F.when(same, none).otherwise(F.col("_sure")),
+        "FalseNegative": F.when(same, none).otherwise(F.col("_all") - F.col("_sure")),
+        "TrueNegative": F.when(same, none).otherwise(F.col("_sure")),
+    }
+    return counted.select(
+        by,
+        "true_label",
+        "prediction",
+        per_outcome.get(outcome or "All", F.col("_all")).alias("n"),
+        "confidence_sum",
+        *[per_outcome[o].alias(COUNT_COLUMNS[o]) for o in OUTCOMES],
+    )
 
 
 def report_from_cells(cells: DataFrame, by: str = "test_id") -> DataFrame:

@@ -86,18 +86,31 @@ def match_by_filename(sources: DataFrame, base_images: DataFrame, scope: str, mo
 
     Returns (scope, image_id, file_name, matches, base_image_id); no match gives 0 and a null id.
     """
-    named = base_images.select(scope, F.col("image_id").alias("base_id"), basename("image_path").alias("file_name"))
     wanted = sources.select(scope, "image_id", basename("image_path").alias("file_name"))
-    if mode == "suffix":
-        tails = F.transform(F.sequence(F.lit(1), F.length("file_name")), lambda k: F.right(F.col("file_name"), k))
-        named = named.filter(F.length("file_name") > 0).select(scope, "base_id", F.explode(tails).alias("file_name"))
-        # drop the suffixes no source asks for before they are shuffled by name
-        named = named.join(wanted.select(scope, "file_name").distinct(), [scope, "file_name"], "left_semi")
-    elif mode != "basename":
-        raise ValueError(f"unknown match mode {mode!r}")
-    candidates = named.groupBy(scope, "file_name").agg(
-        F.count(F.lit(1)).alias("matches"), F.min("base_id").alias("base_image_id")
+    # copies of a name collapse here, before anything is expanded or joined
+    named = base_images.groupBy(scope, basename("image_path").alias("file_name")).agg(
+        F.count(F.lit(1)).alias("matches"), F.min("image_id").alias("base_image_id")
     )
+    if mode == "basename":
+        candidates = named
+    elif mode == "suffix":
+        # the lengths that file names of sources have: at most as many as a path has characters
+        lengths = wanted.agg(F.array_sort(F.collect_set(F.length("file_name"))).alias("lengths")).scalar()
+        expanded = (
+            named.withColumnRenamed("file_name", "_name")
+            .select(scope, "matches", "base_image_id", "_name", F.explode(lengths).alias("_length"))
+            .filter((F.col("_length") > 0) & (F.col("_length") <= F.length("_name")))
+            .select(scope, "matches", "base_image_id", F.right("_name", F.col("_length")).alias("file_name"))
+        )
+        # suffixes no source asks for go before they are added up
+        asked = wanted.select(scope, "file_name").distinct()
+        candidates = (
+            expanded.join(asked, [scope, "file_name"], "left_semi")
+            .groupBy(scope, "file_name")
+            .agg(F.sum("matches").alias("matches"), F.min("base_image_id").alias("base_image_id"))
+        )
+    else:
+        raise ValueError(f"unknown match mode {mode!r}")
     return wanted.join(candidates, [scope, "file_name"], "left").select(
         scope, "image_id", "file_name", F.coalesce("matches", F.lit(0)).alias("matches"), "base_image_id"
     )

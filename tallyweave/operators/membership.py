@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.functions.ranking import group_sizes, id_group_sizes, id_rank, shuffle_key, take_quota
+from tallyweave.functions.ranking import group_sizes, id_rank, shuffle_key, take_quota
 from tallyweave.operators.filters import unused_images
 from tallyweave.operators.listings import eligibility, first_by_pk, last_by_pk, latest_training_dataset
 from tallyweave.operators.lookups import match_by_filename
@@ -59,6 +59,8 @@ def apply_moves(images: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def _moved(images: DataFrame, changes: DataFrame, **rest) -> Edit:
+    """The change set is stored once: snapshot and changes agree, and a small set is broadcast into the snapshot."""
+    changes = settle(changes, "changes")
     return Edit(apply_moves(images, changes), changes, **rest)
 
 
@@ -69,7 +71,7 @@ def copy_rows(picked: DataFrame, images: DataFrame) -> DataFrame:
     """
     highest = images.agg(F.coalesce(F.max("image_id"), F.lit(0)).alias("top")).scalar()
     ranked = id_rank(picked, "image_id", ["new_dataset_id"], rank="_rank")
-    sizes = id_group_sizes(picked, "image_id", ["new_dataset_id"], "_size")
+    sizes = group_sizes(picked, ["new_dataset_id"], "_size")
     # one row per request
     earlier = Window.partitionBy(F.lit(0)).orderBy("new_dataset_id").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("new_dataset_id", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
@@ -88,19 +90,18 @@ def _copied(images: DataFrame, copies: DataFrame, **rest) -> Edit:
     return Edit(images.unionByName(added, allowMissingColumns=True), copies, **rest)
 
 
-def _shortfalls(pool: DataFrame, quotas: DataFrame, groups: list[str], key: Column) -> DataFrame:
-    available = group_sizes(pool, groups, key, "available")
-    counted = quotas.join(available, groups, "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    return counted.filter(F.col("available") < F.col("quota")).select(*groups, "quota", "available")
-
-
 def _draw(pool: DataFrame, quotas: DataFrame, request: str, seed: object) -> tuple[DataFrame, DataFrame]:
-    """Strict sampling: exactly the quota of every label, or nothing at all for that request."""
+    """Strict sampling: exactly the quota of every label, or nothing at all for that request.
+
+    Returns (drawn rows, shortfalls). What each label has and owes is a small table, stored once.
+    """
     groups = [request, "label_id"]
-    key = shuffle_key(seed, "image_id")
-    short = _shortfalls(pool, quotas, groups, key)
-    accepted = quotas.join(short.select(request).distinct(), request, "left_anti")
-    return take_quota(pool, accepted, groups, "quota", key, "image_id"), short
+    figures = quotas.join(group_sizes(pool, groups, "available"), groups, "left")
+    figures = settle(figures.withColumn("available", F.coalesce("available", F.lit(0))), "quotas")
+    short = figures.filter(F.col("available") < F.col("quota"))
+    accepted = figures.join(short.select(request).distinct(), request, "left_anti")
+    drawn = take_quota(pool, accepted, groups, "quota", shuffle_key(seed, "image_id"), "image_id", total="available")
+    return drawn, short.select(*groups, "quota", "available")
 
 
 # ---- sampling ----
@@ -233,9 +234,12 @@ def move_random(images: DataFrame, dataset_labels: DataFrame, requests: DataFram
     A base with fewer than n images in all is refused; a label with fewer than n is skipped; every
     other label gives n images, which become used for training.
     """
-    quotas = eligibility(requests, dataset_labels, images).select("dataset_id", "label_id", F.col("n").alias("quota"))
-    key = shuffle_key(seed, "image_id")
-    drawn = take_quota(images, quotas, ["dataset_id", "label_id"], "quota", key, "image_id")
+    quotas = eligibility(requests, dataset_labels, images).select(
+        "dataset_id", "label_id", F.col("n").alias("quota"), "available"
+    )
+    drawn = take_quota(
+        images, settle(quotas, "quotas"), ["dataset_id", "label_id"], "quota", shuffle_key(seed, "image_id"), "image_id", total="available"
+    )
     moved = drawn.join(requests.select("dataset_id", "target_id"), "dataset_id")
     return _moved(images, _changes(moved, F.col("target_id"), training=F.lit(True)))
 

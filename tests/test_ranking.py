@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from tallyweave.functions import ranking as rk
 
 
+@pytest.fixture(autouse=True)
+def small_buckets(monkeypatch):
+    """Many buckets per group although the data are small."""
+    monkeypatch.setattr(rk, "BUCKET_ROWS", 500)
+    monkeypatch.setattr(rk, "FINEST_BUCKET_ROWS", 50)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     # one group holds most of the rows
@@ -44,6 +51,12 @@ def test_take_quota_with_a_quota_per_group(spark, skewed):
     same(got.select("id", "g"), plain.select("id", "g"))
 
 
+def test_buckets_are_small(skewed):
+    for bucketed in (rk._by_hash(rk._with_group(skewed, ["g"], _total=F.count("*")), rk.shuffle_key(5, "id"), 500), rk._by_id(skewed, "id", ["g"], 500)):
+        sizes = [r["count"] for r in bucketed.groupBy("g", "_bucket").count().collect()]
+        assert max(sizes) < 750 and len(sizes) > 30
+
+
 @pytest.mark.parametrize("parts", [1, 7, 64])
 def test_partitioning_does_not_matter(spark, skewed, parts):
     quotas = spark.createDataFrame([(0, 300), (3, 20)], "g long, q long")

@@ -7,8 +7,9 @@ from tallyweave.operators import listings as ls
 from tallyweave.operators import lookups as lk
 from tallyweave.operators import quality
 from tallyweave.plans.registry import query
-from tallyweave.schemas import BACKBONES, PRE_MODELS, STATUSES
-from tallyweave.sources import catalog, exports, ingest
+from tallyweave.schemas import BACKBONES, ENTITIES, PRE_MODELS, STATUSES
+from tallyweave.session import scratch
+from tallyweave.sources import catalog, exports, ingest, sinks
 
 
 def studies(d):
@@ -67,6 +68,33 @@ def _(d):
     return exports.export_manifest(d.fx_image, d.fx_dataset, d.fx_label, d.fx_dataset_label)
 
 
+@query(
+    "a6_append_epochs",
+    "SELECT session_id, number, round(accuracy, 6) AS accuracy, round(loss, 6) AS loss, val_loss FROM fx_epoch",
+)
+def _(d):
+    # the history arrives in two appends: sessions with a known name, then the others
+    path = scratch(d.spark, "epochs")
+    known = d.fx_session.select("session_id")
+    sinks.append_epochs(d.fx_epoch.join(known, "session_id", "left_semi"), path)
+    sinks.append_epochs(d.fx_epoch.join(known, "session_id", "left_anti"), path)
+    stored = catalog.read_table(d.spark, path, ENTITIES["epoch"])
+    return stored.select("session_id", "number", F.round("accuracy", 6).alias("accuracy"), F.round("loss", 6).alias("loss"), "val_loss")
+
+
+@query(
+    "a6_append_results",
+    "SELECT test_id, true_label, prediction, count(*) AS n, round(sum(confidence), 4) AS confidence FROM fx_result GROUP BY ALL",
+)
+def _(d):
+    path = scratch(d.spark, "results")
+    sinks.append_results(d.fx_result, path)
+    stored = catalog.read_table(d.spark, path, ENTITIES["result"])
+    return stored.groupBy("test_id", "true_label", "prediction").agg(
+        F.countDistinct("result_id").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence")
+    )
+
+
 # ---- filters ----
 
 
@@ -259,8 +287,9 @@ def _(d):
 
 
 # Every image outside a base dataset against the base images of the next study, as a clone would ask.
-_SOURCES = "SELECT (study_id + 1) % 5 AS scope, image_id, image_path FROM fx_image WHERE dataset_id % 10 <> 1"
-_BASES = "SELECT study_id AS scope, image_id, image_path FROM fx_image WHERE dataset_id % 10 = 1"
+_OWNED = "FROM fx_image i JOIN fx_dataset d ON d.dataset_id = i.dataset_id"
+_SOURCES = f"SELECT (d.study_id + 1) % 5 AS scope, i.image_id, i.image_path {_OWNED} WHERE NOT d.base"
+_BASES = f"SELECT d.study_id AS scope, i.image_id, i.image_path {_OWNED} WHERE d.base"
 _MATCH = f"""WITH src AS ({_SOURCES}), base AS ({_BASES}),
 s AS (SELECT *, regexp_extract(image_path, '[^/]*$') AS file_name FROM src)
 SELECT s.scope, s.image_id, s.file_name, count(b.image_id) AS matches, min(b.image_id) AS base_image_id
@@ -273,8 +302,8 @@ def _(d):
 
 
 # Short names in the suffix query: "5.png" ends "img_5.png", "img_15.png" and so on.
-_SHORT_SOURCES = """SELECT (study_id + 1) % 5 AS scope, image_id,
-  concat('short/', CAST(image_id - image_id % 5 AS STRING), '.png') AS image_path FROM fx_image WHERE dataset_id % 10 <> 1"""
+_SHORT_SOURCES = f"""SELECT (d.study_id + 1) % 5 AS scope, i.image_id,
+  concat('short/', CAST(i.image_id - i.image_id % 5 AS STRING), '.png') AS image_path {_OWNED} WHERE NOT d.base"""
 
 
 @query(
@@ -293,7 +322,7 @@ def _(d):
 
 @query(
     "d6_exclude_used",
-    "SELECT image_id, label_id, study_id FROM fx_image WHERE dataset_id % 10 = 1 AND NOT used_for_testing",
+    f"SELECT i.image_id, i.label_id, i.study_id {_OWNED} WHERE d.base AND NOT i.used_for_testing",
 )
 def _(d):
     base = d.fx_image.join(d.fx_dataset.filter("base").select("dataset_id"), "dataset_id", "left_semi")

@@ -100,13 +100,15 @@ FROM customer""",
     "fx_generate": """
 SELECT c.study_id, 100 + c.study_id AS dataset_id,
        CASE WHEN c.study_id = 4 THEN max(c.images) + 1 ELSE CAST(floor(min(c.images) / 2.0E0) AS BIGINT) END AS n
-FROM (SELECT study_id, label_id, count(*) AS images FROM fx_image WHERE dataset_id % 10 = 1 GROUP BY study_id, label_id) c
+FROM (SELECT d.study_id, i.label_id, count(*) AS images FROM fx_image i JOIN fx_dataset d ON d.dataset_id = i.dataset_id
+  WHERE d.base GROUP BY d.study_id, i.label_id) c
 GROUP BY c.study_id""",
     # The same on top of what the study's previous training set holds.
     "fx_generate_carry": """
 SELECT g.study_id, g.dataset_id, g.n + c.carried AS n FROM fx_generate g JOIN (
-  SELECT study_id, max(images) AS carried FROM (SELECT study_id, label_id, count(*) AS images FROM fx_image
-    WHERE dataset_id % 10 = 2 GROUP BY study_id, label_id) x GROUP BY study_id) c ON c.study_id = g.study_id""",
+  SELECT study_id, max(images) AS carried FROM (
+    SELECT d.study_id, i.label_id, count(*) AS images FROM fx_image i JOIN fx_dataset d ON d.dataset_id = i.dataset_id
+    WHERE NOT d.base AND NOT d.for_testing GROUP BY d.study_id, i.label_id) x GROUP BY study_id) c ON c.study_id = g.study_id""",
     "fx_generate_label": """
 SELECT 100 + d.study_id AS dataset_id, dl.label_id FROM fx_dataset_label dl JOIN fx_dataset d ON d.dataset_id = dl.dataset_id
 WHERE d.base""",

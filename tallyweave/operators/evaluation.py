@@ -84,7 +84,7 @@ def label_marginals(cells: DataFrame, by: str = "test_id", carried: list[str] |
     carried = carried or []
 
     def side(label: str, actual, predicted, diagonal, keep: bool) -> Column:
-        rest = [(F.col(c) if keep else F.lit(None)).cast(cells.schema[c].dataType).alias(c) for c in carried]
+        rest = [F.when(F.lit(keep), F.col(c)).alias(c) for c in carried]
         return F.struct(
             F.col(label).alias("label"),
             actual.alias("actual"),
@@ -97,7 +97,9 @@ def label_marginals(cells: DataFrame, by: str = "test_id", carried: list[str] |
     same = F.col("true_label").eqNullSafe(F.col("prediction"))
     row_side = side("true_label", n, zero, F.when(same, n).otherwise(zero), True)
     column_side = side("prediction", zero, n, zero, False)
-    sides = cells.select(by, F.explode(F.array(row_side, column_side)).alias("s")).select(by, "s.*")
+    # cells are few per test; placed by test once, they need no further shuffle for labels, totals and macro means
+    placed = cells.repartition(by)
+    sides = placed.select(by, F.explode(F.array(row_side, column_side)).alias("s")).select(by, "s.*")
     return sides.groupBy(by, "label").agg(*[F.sum(c).alias(c) for c in ["actual", "predicted", "diagonal", *carried]])
 
 

@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from tallyweave.session import settle
 
 # Rows one task should sort. Groups up to this size are a single bucket.
-BUCKET_ROWS = 1 << 17
+BUCKET_ROWS = 1 << 20
 # Lower bound for the finer buckets of a quota or a page, so that counting them stays cheap.
 FINEST_BUCKET_ROWS = 1 << 10
+# Buckets finer than BUCKET_ROWS are made only up to this many per group (16^4), so that the counts
+# of a group with 1e11 rows stay a small table.
+MOST_FINE_DIGITS = 4
 
 
 def shuffle_key(seed: object, *parts: Column | str) -> Column:
@@ -55,8 +58,10 @@ def _with_group(df: DataFrame, groups: Sequence[str], **figures: Column) -> Data
 
 def _by_hash(sized: DataFrame, key: Column, rows: Column | int) -> DataFrame:
     """Buckets by the leading hex digits of the hash, as many digits as the group's ``_total`` needs."""
-    most = rows if isinstance(rows, Column) else F.lit(rows)
-    digits = F.greatest(F.ceil(F.log(16.0, F.col("_total") / most)), F.lit(0)).cast("int")
+    digits_for = lambda size: F.ceil(F.log(16.0, F.col("_total") / size))
+    fine = digits_for(rows if isinstance(rows, Column) else F.lit(rows))
+    most = F.greatest(F.lit(MOST_FINE_DIGITS), digits_for(F.lit(BUCKET_ROWS)))
+    digits = F.greatest(F.least(fine, most), F.lit(0)).cast("int")
     return sized.withColumn("_key", key).withColumn("_bucket", F.substring("_key", F.lit(1), digits))
 
 
@@ -65,7 +70,9 @@ def _by_id(df: DataFrame, id_col: str, groups: Sequence[str], rows: int) -> Data
     out in sequence, so spans fill evenly."""
     at = F.col(id_col).cast("long")
     sized = _with_group(df, groups, _total=F.count(F.lit(1)), _low=F.min(at), _high=F.max(at))
-    width = F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_total") / F.lit(rows)))
+    spans_for = lambda size: F.ceil(F.col("_total") / F.lit(size))
+    spans = F.least(spans_for(rows), F.greatest(F.lit(16**MOST_FINE_DIGITS), spans_for(BUCKET_ROWS)))
+    width = F.ceil((F.col("_high") - F.col("_low") + 1) / spans)
     return sized.withColumn("_bucket", F.floor((at - F.col("_low")) / width)).drop("_low", "_high")
 
 

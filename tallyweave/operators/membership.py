@@ -4,6 +4,9 @@ A mutation takes table DataFrames and returns the next image snapshot with the s
 "Move" repoints existing rows; "copy" appends rows with the same file path. Every operation takes
 a small table of requests, so one job serves many studies, and all are evaluated against the same
 snapshot. Samples are exact and reproducible (see ``functions.ranking``).
+
+Request tables are stored before they meet the images: Spark then knows they are small and
+broadcasts them, instead of shuffling all images by dataset, where one dataset may hold a third.
 """
 
 from __future__ import annotations
@@ -212,6 +215,7 @@ def make_training_set(
         sources = older.join(
             served.select("study_id", F.col("dataset_id").alias("new_dataset_id")), "study_id"
         ).select("dataset_id", "new_dataset_id")
+        sources = settle(sources, "sources")
         carried = images.join(sources, "dataset_id").join(quotas, ["new_dataset_id", "label_id"], "left_semi")
         counts = carried.groupBy("new_dataset_id", "label_id").agg(F.count(F.lit(1)).alias("_carried"))
         left = F.greatest(F.col("quota") - F.coalesce("_carried", F.lit(0)), F.lit(0))
@@ -276,7 +280,7 @@ def _clone_name() -> Column:
 
 def clone_dataset(images: DataFrame, datasets: DataFrame, dataset_labels: DataFrame, requests: DataFrame) -> Edit:
     """Copy (dataset_id, new_study_id, new_dataset_id): rows and flags kept; the clone is neither base nor testing."""
-    known = requests.join(datasets.select("dataset_id"), "dataset_id", "left_semi")
+    known = settle(requests.join(datasets.select("dataset_id"), "dataset_id", "left_semi"), "requests")
     picked = images.join(known.select("dataset_id", "new_dataset_id"), "dataset_id")
     return _copied(
         images,
@@ -290,8 +294,11 @@ def clone_dataset(images: DataFrame, datasets: DataFrame, dataset_labels: DataFr
 def clone_base(images: DataFrame, datasets: DataFrame, dataset_labels: DataFrame, requests: DataFrame) -> Edit:
     """Copy the first base dataset of (old_study_id, new_study_id, new_dataset_id, name), flags kept."""
     first = first_by_pk(datasets, "dataset_id", ["study_id"], F.col("base"))
-    keyed = requests.withColumnRenamed("name", "new_name").join(
-        first.select(F.col("study_id").alias("old_study_id"), "dataset_id"), "old_study_id"
+    keyed = settle(
+        requests.withColumnRenamed("name", "new_name").join(
+            first.select(F.col("study_id").alias("old_study_id"), "dataset_id"), "old_study_id"
+        ),
+        "requests",
     )
     picked = images.join(keyed.select("dataset_id", "new_dataset_id"), "dataset_id")
     return _copied(
@@ -309,7 +316,7 @@ def clone_study(images: DataFrame, datasets: DataFrame, dataset_labels: DataFram
     The new dataset has the union of their labels and the resolution of the first of them.
     """
     owned = datasets.select("dataset_id", F.col("study_id").alias("old_study_id"))
-    keyed = requests.withColumnRenamed("name", "new_name").join(owned, "old_study_id")
+    keyed = settle(requests.withColumnRenamed("name", "new_name").join(owned, "old_study_id"), "requests")
     picked = images.join(keyed.select("dataset_id", "new_dataset_id"), "dataset_id")
     first = keyed.groupBy("new_dataset_id", "new_study_id", "new_name").agg(F.min("dataset_id").alias("dataset_id"))
     return _copied(
@@ -369,7 +376,7 @@ def _with_resolution(requests: DataFrame) -> DataFrame:
 
 
 def _split(requests: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
-    judged = requests.withColumn("reason", reason)
+    judged = settle(requests.withColumn("reason", reason), "requests")
     return (
         judged.filter(F.col("reason").isNull()).drop("reason"),
         judged.filter(F.col("reason").isNotNull()).select("dataset_id", "new_dataset_id", "reason"),
@@ -425,7 +432,9 @@ def move_all(images: DataFrame, datasets: DataFrame, requests: DataFrame) -> Edi
     """Repoint every image of (origin_id, target_id); the origin must not be for testing; flags stay."""
     origins = datasets.filter("NOT for_testing").select(F.col("dataset_id").alias("origin_id"))
     targets = datasets.select(F.col("dataset_id").alias("target_id"))
-    accepted = requests.join(origins, "origin_id", "left_semi").join(targets, "target_id", "left_semi")
+    accepted = settle(
+        requests.join(origins, "origin_id", "left_semi").join(targets, "target_id", "left_semi"), "requests"
+    )
     moved = images.join(accepted.withColumnRenamed("origin_id", "dataset_id"), "dataset_id")
     return _moved(
         images,
@@ -455,5 +464,5 @@ def recycle_on_delete(images: DataFrame, datasets: DataFrame, deleted: DataFrame
     routes = deleted.select("dataset_id").distinct().join(datasets.select("dataset_id", "study_id"), "dataset_id").join(
         homes, "study_id"
     )
-    moved = images.join(routes.select("dataset_id", "home_id"), "dataset_id")
+    moved = images.join(settle(routes.select("dataset_id", "home_id"), "routes"), "dataset_id")
     return _moved(images, _changes(moved, F.col("home_id"), F.lit(False), F.lit(False)))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.ranking import uniform
 from tallyweave.schemas import AUGMENTATION_FLAGS
+from tallyweave.session import settle
 
 RASTER = "image_id long, h int, w int, c int, px array<float>"
 # Pixels of one block: with Spark's own limit on the bytes of an Arrow batch it bounds a task's working memory.
@@ -341,6 +342,7 @@ def attribution(scored: DataFrame, weights: DataFrame, h: int, w: int, c: int =
         lambda i: F.array_max(F.transform(F.sequence(F.lit(0), F.lit(c - 1)), lambda j: at(i, j))).cast("float"),
     )
     maps = weights.select("session_id", F.col("class_idx").alias("predicted_idx"), strongest.alias("px"))
+    maps = settle(maps, "class-maps")
     return scored.join(maps, ["session_id", "predicted_idx"]).select(
         "image_id", F.lit(h).alias("h"), F.lit(w).alias("w"), F.lit(1).alias("c"), "px"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.schemas import PRIMARY_KEYS
+from tallyweave.session import settle
 
 # Fixed values: (child, foreign key, parent) in dependency order; deleting the parent deletes the child.
 CASCADES = [
@@ -44,7 +45,7 @@ set_shared = set_links
 
 def cascade_delete(tables: dict[str, DataFrame], entity: str, ids: DataFrame) -> dict[str, DataFrame]:
     """Delete rows of one entity (``ids`` holds its key) and apply the delete rules to all dependants."""
-    doomed: dict[str, DataFrame] = {entity: ids.select(PRIMARY_KEYS[entity]).distinct()}
+    doomed: dict[str, DataFrame] = {entity: settle(ids.select(PRIMARY_KEYS[entity]).distinct(), "doomed")}
     for child in ORDER:
         if child == entity or child not in tables:
             continue
@@ -58,7 +59,8 @@ def cascade_delete(tables: dict[str, DataFrame], entity: str, ids: DataFrame) ->
             merged = parts[0]
             for part in parts[1:]:
                 merged = merged.unionByName(part)
-            doomed[child] = merged.distinct()
+            # stored: the next entities build on it, and its size decides how they are joined
+            doomed[child] = settle(merged.distinct(), "doomed")
     left = {
         name: df.join(doomed[name], PRIMARY_KEYS[name], "left_anti") if name in doomed else df for name, df in tables.items()
     }

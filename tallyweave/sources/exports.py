@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tallyweave.functions.scalars import basename, slug
+from tallyweave.session import settle
 
 _KEYS = ["dataset_slug", "label_slug"]
 
@@ -17,20 +18,25 @@ def export_manifest(images: DataFrame, datasets: DataFrame, labels: DataFrame, d
     Only labels of the dataset's label set are exported. A file name repeated within a label is
     taken once, from the image with the lowest id. A label without images keeps one row without a file.
     """
-    folders = dataset_labels.join(datasets.select("dataset_id", slug("name").alias("dataset_slug")), "dataset_id").join(
-        labels.select("label_id", slug("name").alias("label_slug")), "label_id"
+    folders = settle(
+        dataset_labels.join(datasets.select("dataset_id", slug("name").alias("dataset_slug")), "dataset_id").join(
+            labels.select("label_id", slug("name").alias("label_slug")), "label_id"
+        ),
+        "folders",
     )
     files = (
         images.select("image_id", "dataset_id", "label_id", "image_path")
         .join(folders, ["dataset_id", "label_id"])
-        .groupBy("dataset_id", "label_slug", basename("image_path").alias("file_name"))
+        .groupBy("dataset_id", *_KEYS, basename("image_path").alias("file_name"))
         .agg(F.min(F.struct("image_id", "image_path")).alias("first"))
-        .select("dataset_id", "label_slug", "file_name", "first.*")
+        .select("dataset_id", *_KEYS, "file_name", "first.*")
     )
-    # two labels may share a folder name
-    return folders.drop("label_id").distinct().join(files, ["dataset_id", "label_slug"], "left").select(
-        "dataset_id", *_KEYS, "file_name", "image_id", "image_path"
+    # two labels may share a folder name; only folder keys are compared, so a large label is no burden
+    filled = images.select("dataset_id", "label_id").distinct().join(folders, ["dataset_id", "label_id"])
+    empty = folders.select("dataset_id", *_KEYS).distinct().join(
+        filled.select("dataset_id", "label_slug").distinct(), ["dataset_id", "label_slug"], "left_anti"
     )
+    return files.unionByName(empty, allowMissingColumns=True)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:

@@ -14,7 +14,7 @@ def test_text(spark):
     assert one(spark, sc.basename, "a/b/c.png") == "c.png"
     assert one(spark, sc.basename, "c.png") == "c.png"
     assert one(spark, sc.basename, "a/") == ""
-    assert one(spark, sc.format_label, "great_white  sHARK") == "Great White  SHARK"
+    assert one(spark, sc.format_label, "great_white  fOXES") == "Great White  FOXES"
     row = spark.createDataFrame([("My Set", 7, "x.png")], "n string, i long, f string")
     assert row.select(sc.image_path("n", "i", "f")).first()[0] == "datasets/my_set-7/x.png"
 

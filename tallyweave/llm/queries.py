@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import exact_dedup
+from tallyweave.llm import exact_dedup, mixing
+from tallyweave.llm.mixing_sql import mix_sql
 from tallyweave.llm.registry import query, table
 
 
@@ -21,3 +22,8 @@ from tallyweave.llm.registry import query, table
 )
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_mix_sources", mix_sql())
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))

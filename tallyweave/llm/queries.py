@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.llm import exact_dedup, mixing
+from tallyweave.llm import exact_dedup, mixing, secrets
 from tallyweave.llm.mixing_sql import mix_sql
 from tallyweave.llm.registry import query, table
 
@@ -27,3 +28,54 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mix_sources", mix_sql())
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+_LETTERS = {c: f"[{c.upper()}{c}]" for c in "abcdefghijklmnopqrstuvwxyz"}
+_WORDS = "|".join("".join(_LETTERS.get(c, c) for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""({_WORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+@query(
+    "op5_secret_scan",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+    rules(kind, place, pattern, grp, least) AS (
+      VALUES ('assign', 0, '{_ASSIGN}', 2, 12), ('access', 1, 'AKIA[A-Z0-9]+', 0, 18), ('hex', 2, '[0-9a-f]+', 0, 16)
+    ),
+    cut AS (
+      SELECT rid, 'assign' AS kind, 0 AS place, 12 AS least, string_split_regex(text, '{_ASSIGN}') AS gaps,
+             regexp_extract_all(text, '{_ASSIGN}') AS hits, regexp_extract_all(text, '{_ASSIGN}', 2) AS vals FROM d
+      UNION ALL
+      SELECT rid, 'access', 1, 18, string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'),
+             regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM d
+      UNION ALL
+      SELECT rid, 'hex', 2, 16, string_split_regex(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'),
+             regexp_extract_all(text, '[0-9a-f]+') FROM d
+    ),
+    one AS (
+      SELECT rid, kind, place, least, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(vals) AS val,
+             generate_subscripts(hits, 1) AS i
+      FROM cut WHERE len(hits) > 0
+    ),
+    placed AS (
+      SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop FROM one
+    ),
+    found AS (
+      SELECT rid, kind, place, stop - length(hit) AS start, stop FROM placed WHERE length(val) >= least
+    ),
+    summed AS (
+      SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+             count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS spans
+      FROM found GROUP BY rid
+    )
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN summed USING (rid)
+    """,
+)
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_documents(table(spark, sf_dir, "documents"))
+    number = [secrets.span_count(F.col("found"), r.kind).alias(f"n_{r.kind}") for r in secrets.RULES]
+    listed = secrets.span_list(F.col("found"))
+    return found.select("doc_id", *number, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))

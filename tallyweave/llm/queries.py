@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import exact_dedup, mixing, secrets
+from tallyweave.llm import bpe, exact_dedup, mixing, secrets
 from tallyweave.llm.mixing_sql import mix_sql
 from tallyweave.llm.registry import query, table
 
@@ -79,3 +79,17 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = [secrets.span_count(F.col("found"), r.kind).alias(f"n_{r.kind}") for r in secrets.RULES]
     listed = secrets.span_list(F.col("found"))
     return found.select("doc_id", *number, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
+def rank_file(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
+    """Content of a public rank file, and the pattern that goes with it."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
+@query("op4_byte_bpe")  # SQL has no merges by rank; tests compare it with a public library
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = rank_file()
+    return bpe.decode_digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)

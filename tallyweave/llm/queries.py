@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, exact_dedup, mixing, secrets
+from tallyweave.llm import bpe, exact_dedup, mixing, secrets, url_filter
 from tallyweave.llm.mixing_sql import mix_sql
 from tallyweave.llm.registry import query, table
 
@@ -93,3 +93,42 @@ def rank_file(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = rank_file()
     return bpe.decode_digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+
+
+#: The rules asked for.
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+@query(
+    "op7_url_filter",
+    r"""
+    WITH cut AS (
+      SELECT row_number() OVER () AS rid, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+    ),
+    parts AS (
+      SELECT rid, page_id,
+             coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+      FROM cut
+    ),
+    rules(h, p, verdict) AS (
+      VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+             ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+    ),
+    won AS (
+      SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(rules.verdict, length(h || p)) AS verdict
+      FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+      GROUP BY rid
+    )
+    SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN won USING (rid)
+    """,
+)
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, exact_dedup, mixing, secrets, url_filter
+from tallyweave.llm import bpe, exact_dedup, mixing, quality, secrets, toxicity, url_filter
+from tallyweave.llm.labels import remainder
 from tallyweave.llm.mixing_sql import mix_sql
 from tallyweave.llm.registry import query, table
 
@@ -132,3 +133,26 @@ URL_RULES = (
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def toxic_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Machine:
+    """Fitted to the labelled documents that are not held out."""
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", remainder(F.col("doc_id"), 3) != 1)
+
+
+@query("op3_toxicity")  # a fitted model; tests measure it on the rows held out
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxic_model(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+@query("op9_quality")  # a fitted model; tests measure it on the rows held out
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", remainder(F.col("doc_id"), 5) != 0)
+    return quality.score(docs, model).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, exact_dedup, mixing, quality, secrets, substrings, toxicity, url_filter
+from tallyweave.llm import bpe, exact_dedup, mixing, neighbours, quality, secrets, substrings, toxicity, url_filter
 from tallyweave.llm.labels import remainder
 from tallyweave.llm.mixing_sql import mix_sql
 from tallyweave.llm.registry import query, table
@@ -161,3 +161,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")  # too slow in SQL over whole tables; tests compare it with brute force
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_hamming_neighbours")  # approximate; tests measure the share of true neighbours found
+def op1_hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, exact_dedup, mixing, neighbours, quality, secrets, substrings, toxicity, url_filter
+from tallyweave.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, quality, secrets, substrings, toxicity, url_filter
 from tallyweave.llm.labels import remainder
 from tallyweave.llm.mixing_sql import mix_sql
 from tallyweave.llm.registry import query, table
@@ -166,3 +166,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_hamming_neighbours")  # approximate; tests measure the share of true neighbours found
 def op1_hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op2_bagminhash")  # SQL over all pairs is too slow; tests compare it with brute force
+def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")

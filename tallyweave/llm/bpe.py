@@ -297,6 +297,12 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     return plain.mapInArrow(run, f"doc_id {id_type}, ids array<int>")
 
 
+def encode_and_check(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256): the ids of each text with digests of them and of the bytes they decode to."""
+    encoded = encode(docs, ranks, pattern, id_col, text_col)
+    return _decoded(encoded, ranks, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", keep=True)
+
+
 def decode_digests(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids), decoding the ids."""
     return _decoded(encoded, ranks, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
@@ -307,7 +313,7 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     return _decoded(encoded, ranks, pattern, "decoded binary")
 
 
-def _decoded(encoded: DataFrame, ranks: bytes, pattern: str, columns: str) -> DataFrame:
+def _decoded(encoded: DataFrame, ranks: bytes, pattern: str, columns: str, keep: bool = False) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
     id_type = encoded.schema["doc_id"].dataType.simpleString()
     whole = columns.startswith("decoded")
@@ -325,9 +331,10 @@ def _decoded(encoded: DataFrame, ranks: bytes, pattern: str, columns: str) -> Da
                     out.append(_one(coder, flat[rows[k] : rows[k + 1]], whole))
                 columns_out = [pa.array([x[i] for x in out], t) for i, t in enumerate([pa.binary()] if whole else [pa.int64(), pa.string(), pa.string()])]
                 names = ["decoded"] if whole else ["n_tokens", "ids_sha256", "decoded_sha256"]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns_out], ["doc_id", *names])
+                held = [batch.column(0), ids][: 1 + keep]
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in held), *columns_out], [*["doc_id", "ids"][: 1 + keep], *names])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, {columns}")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, {'ids array<int>, ' if keep else ''}{columns}")
 
 
 def _one(coder: Coder, ids: np.ndarray, whole: bool) -> tuple:

@@ -167,6 +167,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, training: Column, id
     return train(slots, found, data.column("label").to_numpy().astype(float))
 
 
+def _scored_batches(batches, machine: Machine, text: str):
+    """(batch, scores) for runs of rows."""
+    known = np.zeros(1 << SLOT_BITS, bool)
+    known[machine.slots] = True
+    bits = max(1, int(len(machine.slots)).bit_length())
+    for batch in batches:
+        for first, row, slots, rows in _terms_of(batch.column(text).to_pylist()):
+            hit = known[slots]
+            row, term = _distinct(row[hit], np.searchsorted(machine.slots, slots[hit]), bits)
+            yield batch.slice(first, rows), machine.scores(row, term, rows)
+
+
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row, without a shuffle."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -174,16 +186,20 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        machine = sent.value
-        known = np.zeros(1 << SLOT_BITS, bool)
-        known[machine.slots] = True
-        bits = max(1, int(len(machine.slots)).bit_length())
-        for batch in batches:
-            for first, row, slots, rows in _terms_of(batch.column("text").to_pylist()):
-                hit = known[slots]
-                row, term = _distinct(row[hit], np.searchsorted(machine.slots, slots[hit]), bits)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, rows), pa.array(machine.scores(row, term, rows))], ["doc_id", "score"]
-                )
+        for part, scores in _scored_batches(batches, sent.value, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     return texts.mapInArrow(run, f"doc_id {id_type}, score double")
+
+
+def keep_below(docs: DataFrame, model: Machine, most: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``most``; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def run(batches):
+        for part, scores in _scored_batches(batches, sent.value, f"c{names.index(text_col)}"):
+            yield part.filter(pa.array(scores < most))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -43,10 +43,9 @@ BLOCK_QUERIES = 8_192
 
 @dataclass(frozen=True)
 class Hasher:
-    """A learned code: ``lift`` is the largest norm, ``mean`` and ``turn`` map lifted vectors to signs."""
+    """A learned code: ``lift`` is the largest norm; the signs of lifted vectors times ``turn`` are the bits."""
 
     lift: float
-    mean: np.ndarray
     turn: np.ndarray
     radius: int
 
@@ -59,7 +58,7 @@ class Hasher:
         return self._codes(np.concatenate([vectors / norms, np.zeros((len(vectors), 1))], axis=1))
 
     def _codes(self, lifted: np.ndarray) -> np.ndarray:
-        return np.packbits((lifted - self.mean) @ self.turn > 0, axis=1)
+        return np.packbits(lifted @ self.turn > 0, axis=1)
 
 
 def learn(vectors: np.ndarray, lift: float, total: int, k: int, seed: int = 5) -> Hasher:
@@ -67,8 +66,7 @@ def learn(vectors: np.ndarray, lift: float, total: int, k: int, seed: int = 5) -
     random = np.random.default_rng(seed)
     extra = np.sqrt(np.maximum(lift**2 - (vectors**2).sum(axis=1), 0))
     lifted = np.concatenate([vectors, extra[:, None]], axis=1) / lift
-    mean = np.zeros(lifted.shape[1])  # queries have no lifted part, so only a common origin keeps angles
-    _, _, axes = np.linalg.svd(lifted, full_matrices=True)
+    axes = np.linalg.eigh(lifted.T @ lifted)[1].T[::-1]  # principal directions first
     turns, left = [], BITS
     while left > 0:  # short vectors get several rotations
         width = min(left, lifted.shape[1])
@@ -79,8 +77,8 @@ def learn(vectors: np.ndarray, lift: float, total: int, k: int, seed: int = 5) -
             turn = (u @ v).T
         turns.append(axes[:width].T @ turn)
         left -= width
-    hasher = Hasher(lift, mean, np.concatenate(turns, axis=1), BITS)
-    return Hasher(lift, mean, hasher.turn, _radius(hasher, vectors, total, k))
+    hasher = Hasher(lift, np.concatenate(turns, axis=1), BITS)
+    return Hasher(lift, hasher.turn, _radius(hasher, vectors, total, k))
 
 
 def _radius(hasher: Hasher, vectors: np.ndarray, total: int, k: int) -> int:
@@ -182,7 +180,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     picked = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) < share).orderBy(F.xxhash64("vec_id"), "vec_id")
     hasher = learn(_vectors(picked.limit(2 * SAMPLE_ROWS).select("vec_id", "vec").toArrow())[1], float(np.sqrt(lift2)), total, k)
     asked = rows.filter(is_query)
-    shards = -(-total // max(1, SHARD_VALUES // (len(hasher.mean) - 1)))
+    shards = -(-total // max(1, SHARD_VALUES // (len(hasher.turn) - 1)))
     # queries are cut further where the shards alone would leave cores idle
     idle = -(-rows.sparkSession.sparkContext.defaultParallelism // shards)
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES), idle)

@@ -66,14 +66,13 @@ def _by_hash(sized: DataFrame, key: Column, rows: Column | int) -> DataFrame:
 
 
 def _by_id(df: DataFrame, id_col: str, groups: Sequence[str], rows: int) -> DataFrame:
-    """Equal spans of ids. Keys are unique, so a span holds no more rows than it is long, and keys are handed
-    out in sequence, so spans fill evenly."""
-    at = F.col(id_col).cast("long")
-    sized = _with_group(df, groups, _total=F.count(F.lit(1)), _low=F.min(at), _high=F.max(at))
-    spans_for = lambda size: F.ceil(F.col("_total") / F.lit(size))
-    spans = F.least(spans_for(rows), F.greatest(F.lit(16**MOST_FINE_DIGITS), spans_for(BUCKET_ROWS)))
-    width = F.ceil((F.col("_high") - F.col("_low") + 1) / spans)
-    return sized.withColumn("_bucket", F.floor((at - F.col("_low")) / width)).drop("_low", "_high")
+    """Ranges of the sorted (groups, id), cut by Spark at sampled boundaries, so that gaps and outliers among the
+    ids do not matter. The ranges are stored: the boundaries of a second run need not be the same."""
+    sized = _with_group(df, groups, _total=F.count(F.lit(1)))
+    whole = df.count()
+    ranges = max(1, min(-(-whole // rows), max(16**MOST_FINE_DIGITS, -(-whole // BUCKET_ROWS))))
+    ordered = sized.repartitionByRange(ranges, *groups, F.col(id_col).cast("long"))
+    return settle(ordered.withColumn("_bucket", F.spark_partition_id()), "ranges")
 
 
 def _offsets(bucketed: DataFrame, groups: Sequence[str]) -> DataFrame:

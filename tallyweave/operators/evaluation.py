@@ -7,6 +7,8 @@ all rows still shuffles at most one row per cell and task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,23 +57,38 @@ def sparse_cells(results: DataFrame, by: str = "test_id") -> DataFrame:
 def confusion_cells(results: DataFrame, by: str = "test_id") -> DataFrame:
     """Dense cells including zeros: (by, true_label, prediction, n), over every label seen on either side.
 
+    A null label is a label like any other, so the cells of a test add up to its results.
+
     The full matrix is the output itself; it is laid out from the label list of each test, which is
     bounded by its number of classes, and filled by an equality join.
     """
     cells = sparse_cells(results, by)
+    # a struct keeps a null, which collect_set would leave out
     sides = cells.select(by, F.explode(F.array("true_label", "prediction")).alias("label"))
-    labels = sides.groupBy(by).agg(F.collect_set("label").alias("labels"))
-    grid = labels.select(by, "labels", F.explode("labels").alias("true_label")).select(
-        by, "true_label", F.explode("labels").alias("prediction")
-    )
-    filled = grid.join(cells, [by, "true_label", "prediction"], "left")
-    return filled.select(by, "true_label", "prediction", F.coalesce("n", F.lit(0)).alias("n"))
+    labels = sides.groupBy(by).agg(F.collect_set(F.struct("label")).alias("labels"))
+    grid = labels.select(by, "labels", F.explode("labels").alias("t")).select(by, "t", F.explode("labels").alias("p"))
+    grid = grid.select(by, F.col("t.label").alias("true_label"), F.col("p.label").alias("prediction"))
+    keys = [by, "true_label", "prediction"]
+    found = cells.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return grid.join(found, same, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def confusion_matrix(results: DataFrame, labels: list[str], by: str | None = None) -> DataFrame:
-    """Wide matrix: one row per actual label, one column per predicted label of the given class list."""
+    """Wide matrix: a row for each label of either side, a column for each of the given classes, the rest in ``other``.
+
+    Predictions outside the list, null ones too, are counted in ``other``, so every row adds up to its label's results.
+    """
     keys = [by, "true_label"] if by else ["true_label"]
-    return results.groupBy(*keys).pivot("prediction", labels).count().na.fill(0, labels)
+    named = [by] if by else []
+    zero = F.lit(0).cast("long")
+    actual = results.select(*keys, "prediction", F.lit(1).cast("long").alias("_n"))
+    # a label that is only predicted has an empty row
+    predicted = results.select(*named, F.col("prediction").alias("true_label"), "prediction", zero.alias("_n"))
+    listed = F.coalesce(F.col("prediction").isin(labels), F.lit(False))
+    columns = [F.sum(F.when(F.col("prediction").eqNullSafe(c), F.col("_n")).otherwise(zero)).alias(c) for c in labels]
+    other = F.sum(F.when(~listed, F.col("_n")).otherwise(zero)).alias("other")
+    return actual.unionByName(predicted).groupBy(*keys).agg(*columns, other)
 
 
 def label_marginals(cells: DataFrame, by: str = "test_id", carried: list[str] | None = None) -> DataFrame:

@@ -80,9 +80,9 @@ def paginate_all(images: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFra
 
 
 def paginate(images: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of an already filtered listing (a global top-k, so Spark never sorts it whole)."""
+    """One page of an already filtered listing, by rank, so that a deep page costs no more than the first."""
     first, last = page_bounds(page, size)
-    return images.orderBy("image_id").offset(first - 1).limit(last - first + 1)
+    return id_slice(images, "image_id", [], first, last).drop("rank").select(*images.columns).orderBy("image_id")
 
 
 def _edge(df: DataFrame, id_col: str, by: list[str], condition: Column | None, pick) -> DataFrame:

@@ -127,7 +127,7 @@ def backbone_catalog(spark: SparkSession) -> DataFrame:
 
 def backbone_lookup(models: DataFrame, catalog: DataFrame) -> DataFrame:
     """Handle and input size of each model's backbone; an unlisted size is the default."""
-    joined = models.join(F.broadcast(catalog), "pre_model", "left")
+    joined = models.join(catalog, "pre_model", "left")
     return joined.withColumn("pixels", F.coalesce("pixels", F.lit(DEFAULT_PIXELS)))
 
 

@@ -13,12 +13,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.ranking import group_sizes, id_rank, shuffle_key, take_quota
 from tallyweave.operators.filters import unused_images
-from tallyweave.operators.listings import eligibility, first_by_pk, last_by_pk, latest_training_dataset
+from tallyweave.operators.listings import first_by_pk, last_by_pk, latest_training_dataset
 from tallyweave.operators.lookups import match_by_filename
 from tallyweave.session import settle
 
@@ -49,10 +50,12 @@ def _changes(moved: DataFrame, target: Column, training: Column | None = None, t
 
 
 def apply_moves(images: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rewrite dataset and flags of the changed rows (one change per image)."""
-    edits = changes.select(
-        "image_id", F.struct(F.col("new_dataset_id").alias("dataset_id"), *FLAGS).alias("_edit")
+    """Rewrite dataset and flags of the changed rows; two changes of one image are an error."""
+    edits = changes.groupBy("image_id").agg(
+        F.first(F.struct(F.col("new_dataset_id").alias("dataset_id"), *FLAGS)).alias("_edit"), F.count(F.lit(1)).alias("_n")
     )
+    twice = F.raise_error(F.concat(F.lit("more than one change for image "), F.col("image_id").cast("string")))
+    edits = edits.select("image_id", F.when(F.col("_n") > 1, twice.cast(edits.schema["_edit"].dataType)).otherwise(F.col("_edit")).alias("_edit"))
     touched = F.col("_edit").isNotNull()
     return (
         images.join(edits, "image_id", "left")
@@ -93,18 +96,57 @@ def _copied(images: DataFrame, copies: DataFrame, **rest) -> Edit:
     return Edit(images.unionByName(added, allowMissingColumns=True), copies, **rest)
 
 
-def _draw(pool: DataFrame, quotas: DataFrame, request: str, seed: object) -> tuple[DataFrame, DataFrame]:
+def _allot(figures: DataFrame, scope: str, request: str, strict: bool) -> DataFrame:
+    """Serve the requests of each scope one after the other, in the order of their ids, from what is left.
+
+    ``figures`` has (scope, request, label_id, quota, available): a row per request and label, no images. The
+    result adds ``start``, how many images of the label earlier requests took, and ``served``; ``available``
+    becomes what was left. Strict requests are served whole or not at all; others skip the labels that
+    fall short, and are refused if all labels together hold fewer than the quota (``total`` of the scope).
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        size = dict(zip(rows["label_id"], rows["available"], strict=True))
+        taken, whole = dict.fromkeys(size, 0), int(rows["total"].iloc[0])
+        parts = []
+        for _, part in rows.sort_values([request, "label_id"]).groupby(request):
+            part = part.assign(start=[taken[x] for x in part["label_id"]])
+            part["available"] = [size[x] for x in part["label_id"]] - part["start"]
+            fits = part["available"] >= part["quota"]
+            enough = fits.all() if strict else whole - sum(taken.values()) >= part["quota"].max()
+            part["served"] = fits & enough
+            for label, quota, served in zip(part["label_id"], part["quota"], part["served"], strict=True):
+                taken[label] += int(quota) if served else 0
+            parts.append(part)
+        return pd.concat(parts)[names]
+
+    keyed = figures.withColumns({"start": F.lit(0).cast("long"), "served": F.lit(False)})
+    names = keyed.columns
+    return settle(keyed.groupBy(scope).applyInPandas(fold, keyed.schema), "allotted")
+
+
+def _drawn(pool: DataFrame, allotted: DataFrame, scope: str, request: str, seed: object) -> DataFrame:
+    """The images of every served (request, label): those whose random rank lies in its interval."""
+    groups = [scope, "label_id"]
+    served = allotted.filter("served")
+    ends = settle(served.groupBy(*groups).agg(F.max(F.col("start") + F.col("quota")).alias("quota")), "quotas")
+    ranked = take_quota(pool, ends, groups, "quota", shuffle_key(seed, "image_id"), "image_id", rank="_draw")
+    first = served.select(*groups, *([request] if request != scope else []), "start", (F.col("start") + F.col("quota")).alias("_end"))
+    drawn = ranked.join(first, groups).filter((F.col("_draw") > F.col("start")) & (F.col("_draw") <= F.col("_end")))
+    return drawn.drop("_draw", "start", "_end")
+
+
+def _draw(pool: DataFrame, quotas: DataFrame, scope: str, request: str, seed: object) -> tuple[DataFrame, DataFrame]:
     """Strict sampling: exactly the quota of every label, or nothing at all for that request.
 
     Returns (drawn rows, shortfalls). What each label has and owes is a small table, stored once.
     """
-    groups = [request, "label_id"]
+    groups = [scope, "label_id"]
     figures = quotas.join(group_sizes(pool, groups, "available"), groups, "left")
-    figures = settle(figures.withColumn("available", F.coalesce("available", F.lit(0))), "quotas")
-    short = figures.filter(F.col("available") < F.col("quota"))
-    accepted = figures.join(short.select(request).distinct(), request, "left_anti")
-    drawn = take_quota(pool, accepted, groups, "quota", shuffle_key(seed, "image_id"), "image_id", total="available")
-    return drawn, short.select(*groups, "quota", "available")
+    figures = figures.withColumns({"available": F.coalesce("available", F.lit(0).cast("long")), "total": F.lit(0).cast("long")})
+    allotted = _allot(figures, scope, request, strict=True)
+    short = allotted.filter("NOT served AND available < quota")
+    return _drawn(pool, allotted, scope, request, seed), short.select(request, "label_id", "quota", "available")
 
 
 # ---- sampling ----
@@ -130,7 +172,7 @@ def sample_copy(
         "new_dataset_id", "label_id", F.lit(n).cast("long").alias("quota")
     )
     pool = images.join(requests.select("dataset_id", "new_dataset_id"), "dataset_id")
-    drawn, short = _draw(pool, quotas, "new_dataset_id", seed)
+    drawn, short = _draw(pool, quotas, "new_dataset_id", "new_dataset_id", seed)
     drawn = settle(drawn, "sample")
     copies = copy_rows(drawn.withColumns({c: F.lit(False) for c in FLAGS}), images)
     made = requests.join(short.select("new_dataset_id").distinct(), "new_dataset_id", "left_anti")
@@ -149,7 +191,7 @@ def sample_copy(
 
 
 def _one_per_study(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two requests for one study would draw from the same images, so only the first of a call is served."""
+    """The first request of each study, and the others."""
     first = requests.groupBy("study_id").agg(F.min("dataset_id").alias("dataset_id"))
     served = requests.join(first, ["study_id", "dataset_id"], "left_semi")
     return served, requests.join(first, ["study_id", "dataset_id"], "left_anti")
@@ -162,13 +204,13 @@ def _study_images(images: DataFrame, datasets: DataFrame, keep: Column) -> DataF
 
 
 def _request_pool(pool: DataFrame, requests: DataFrame) -> DataFrame:
-    keyed = requests.select(F.col("dataset_id").alias("new_dataset_id"), F.col("study_id").alias("_study"))
-    return pool.join(keyed, "_study").drop("_study")
+    """Images of the studies that are asked for, once each."""
+    return pool.join(requests.select(F.col("study_id").alias("_study")).distinct(), "_study")
 
 
 def _quotas(requests: DataFrame, request_labels: DataFrame) -> DataFrame:
-    return requests.join(request_labels, "dataset_id").select(
-        F.col("dataset_id").alias("new_dataset_id"), "label_id", F.col("n").cast("long").alias("quota")
+    return requests.join(request_labels.distinct(), "dataset_id").select(
+        F.col("study_id").alias("_study"), F.col("dataset_id").alias("new_dataset_id"), "label_id", F.col("n").cast("long").alias("quota")
     )
 
 
@@ -179,13 +221,13 @@ def make_testing_set(
 
     ``requests`` has (dataset_id of the new set, study_id, n) and ``request_labels`` its
     (dataset_id, label_id). Images already used for testing are left out; use for training is not
-    looked at. Each request is all-or-nothing, and a call serves one request per study.
+    looked at. Each request is all-or-nothing; several requests of one study are served in the order of
+    their dataset ids, each from what the earlier ones left.
     """
-    served, surplus = _one_per_study(requests)
-    pool = _request_pool(_study_images(images.filter(~F.col("used_for_testing")), datasets, F.col("base")), served)
-    drawn, short = _draw(pool, _quotas(served, request_labels), "new_dataset_id", seed)
+    pool = _request_pool(_study_images(images.filter(~F.col("used_for_testing")), datasets, F.col("base")), requests)
+    drawn, short = _draw(pool, _quotas(requests, request_labels), "_study", "new_dataset_id", seed)
     changes = _changes(drawn, F.col("new_dataset_id"), testing=F.lit(True))
-    return _moved(images, changes, rejected=short, extra={"surplus_requests": surplus})
+    return _moved(images, changes, rejected=short)
 
 
 def make_training_set(
@@ -198,14 +240,16 @@ def make_training_set(
 ) -> Edit:
     """Move n images per label into a training set.
 
-    With ``prior="latest"`` all images of the study's previous training set come along first and
-    the label is topped up to n; the carry-over is never cut. ``prior=None`` starts empty, which is
+    Several requests of one study are served in the order of their dataset ids, each from what the earlier
+    ones left. With ``prior="latest"`` all images of the study's previous training set come along first and
+    the label is topped up to n; the carry-over is never cut, and as it can go to one set only, further requests
+    of the study are listed in ``extra["surplus_requests"]``. ``prior=None`` starts empty, which is
     what happens when the newest training set is the new one itself. Candidates come from the
     study's base datasets, unused for training and for testing. An image's own testing flag decides the
     latter, because an image of a base dataset of the study is among the study's test-used images
     exactly when it is flagged; no anti join is needed.
     """
-    served, surplus = _one_per_study(requests)
+    served, surplus = _one_per_study(requests) if prior == "latest" else (requests, requests.limit(0))
     quotas = _quotas(served, request_labels)
     fresh = images.filter(~F.col("used_for_training") & ~F.col("used_for_testing"))
     pool = _request_pool(_study_images(fresh, datasets, F.col("base")), served)
@@ -222,7 +266,7 @@ def make_training_set(
         quotas = quotas.join(counts, ["new_dataset_id", "label_id"], "left").withColumn("quota", left).drop("_carried")
     elif prior is not None:
         raise ValueError(f"unknown prior {prior!r}")
-    drawn, short = _draw(pool, quotas, "new_dataset_id", seed)
+    drawn, short = _draw(pool, quotas, "_study", "new_dataset_id", seed)
     columns = ["image_id", "dataset_id", "new_dataset_id", *FLAGS]
     chosen = drawn.select(*columns)
     if carried is not None:
@@ -232,20 +276,31 @@ def make_training_set(
     return _moved(images, changes, rejected=short, extra={"surplus_requests": surplus})
 
 
-def move_random(images: DataFrame, dataset_labels: DataFrame, requests: DataFrame, seed: object) -> Edit:
+def move_random(
+    images: DataFrame, dataset_labels: DataFrame, requests: DataFrame, seed: object, datasets: DataFrame | None = None
+) -> Edit:
     """Soft sampling: (dataset_id of the base, target_id, n).
 
     A base with fewer than n images in all is refused; a label with fewer than n is skipped; every
-    other label gives n images, which become used for training.
+    other label gives n images, which become used for training. Several requests of one base are served in the
+    order of their targets, each from what the earlier ones left. With ``datasets`` a request whose target does
+    not exist is refused. ``rejected`` lists the requests that moved nothing.
     """
-    quotas = eligibility(requests, dataset_labels, images).select(
-        "dataset_id", "label_id", F.col("n").alias("quota"), "available"
+    known = requests.distinct()
+    if datasets is not None:
+        known = known.join(datasets.select(F.col("dataset_id").alias("target_id")), "target_id", "left_semi")
+    sizes = group_sizes(images.join(known.select("dataset_id").distinct(), "dataset_id", "left_semi"), ["dataset_id", "label_id"], "available")
+    sizes = settle(sizes, "sizes")
+    totals = sizes.groupBy("dataset_id").agg(F.sum("available").alias("total"))
+    own = sizes.join(dataset_labels.select("dataset_id", "label_id").distinct(), ["dataset_id", "label_id"])
+    figures = known.join(own, "dataset_id").join(totals, "dataset_id").select(
+        "dataset_id", "target_id", "label_id", F.col("n").cast("long").alias("quota"), "available", "total"
     )
-    drawn = take_quota(
-        images, settle(quotas, "quotas"), ["dataset_id", "label_id"], "quota", shuffle_key(seed, "image_id"), "image_id", total="available"
-    )
-    moved = drawn.join(requests.select("dataset_id", "target_id"), "dataset_id")
-    return _moved(images, _changes(moved, F.col("target_id"), training=F.lit(True)))
+    allotted = _allot(figures, "dataset_id", "target_id", strict=False)
+    moved = _drawn(images, allotted, "dataset_id", "target_id", seed)
+    key = ["dataset_id", "target_id"]
+    rejected = requests.distinct().join(allotted.filter("served").select(*key).distinct(), key, "left_anti")
+    return _moved(images, _changes(moved, F.col("target_id"), training=F.lit(True)), rejected=rejected)
 
 
 # ---- clones ----
@@ -259,6 +314,7 @@ def _cloned_datasets(
         F.col("new_dataset_id").alias("dataset_id"),
         F.col("new_study_id").alias("study_id"),
         name.alias("name"),
+        *([F.col("description")] if "description" in datasets.columns else []),
         (F.col("resolution") if resolution is None else resolution).alias("resolution"),
         F.lit(base).alias("base"),
         F.lit(for_testing).alias("for_testing"),
@@ -429,12 +485,14 @@ def clone_training_set(
 
 
 def move_all(images: DataFrame, datasets: DataFrame, requests: DataFrame) -> Edit:
-    """Repoint every image of (origin_id, target_id); the origin must not be for testing; flags stay."""
+    """Repoint every image of (origin_id, target_id); the origin must not be for testing; flags stay.
+
+    Of several requests with one origin that with the smallest target takes all; the others are refused.
+    """
     origins = datasets.filter("NOT for_testing").select(F.col("dataset_id").alias("origin_id"))
     targets = datasets.select(F.col("dataset_id").alias("target_id"))
-    accepted = settle(
-        requests.join(origins, "origin_id", "left_semi").join(targets, "target_id", "left_semi"), "requests"
-    )
+    possible = requests.join(origins, "origin_id", "left_semi").join(targets, "target_id", "left_semi")
+    accepted = settle(possible.groupBy("origin_id").agg(F.min("target_id").alias("target_id")), "requests")
     moved = images.join(accepted.withColumnRenamed("origin_id", "dataset_id"), "dataset_id")
     return _moved(
         images,

@@ -109,18 +109,54 @@ def _(d):
 
 
 _CLASSES = ["economy", "large", "medium", "promo", "small", "standard"]
+_LISTED = ", ".join(f"'{c}'" for c in _CLASSES)
+_WIDE = (
+    "SELECT test_id, true_label, "
+    + ", ".join(f"CAST(sum(CASE WHEN prediction = '{c}' THEN n ELSE 0 END) AS BIGINT) AS {c}" for c in _CLASSES)
+    + f", CAST(sum(CASE WHEN prediction IN ({_LISTED}) THEN 0 ELSE n END) AS BIGINT) AS other"
+    + " FROM (SELECT test_id, true_label, prediction, 1 AS n FROM {results}"
+    + " UNION ALL SELECT test_id, prediction, prediction, 0 FROM {results}) GROUP BY ALL"
+)
 
 
 @query(
     "e6_confusion_matrix",
-    "SELECT test_id, true_label, "
-    + ", ".join(f"count(*) FILTER (WHERE prediction = '{c}') AS {c}" for c in _CLASSES)
-    + " FROM fx_result GROUP BY ALL",
+    _WIDE.format(results="fx_result"),
 )
 def _(d):
     return ev.confusion_matrix(d.fx_result, _CLASSES, by="test_id")
 
 
+# Some labels are null, and one class is in the results but not in the list.
+_GAPS = """(SELECT test_id, CASE WHEN image_id % 7 <> 0 THEN true_label END AS true_label,
+  CASE WHEN image_id % 5 <> 0 THEN CASE WHEN image_id % 3 = 0 THEN 'unlisted' ELSE prediction END END AS prediction FROM fx_result)"""
+
+
+def _gaps(d):
+    image = F.col("image_id")
+    return d.fx_result.withColumns({
+        "true_label": F.when(image % 7 != 0, F.col("true_label")),
+        "prediction": F.when(image % 5 != 0, F.when(image % 3 == 0, "unlisted").otherwise(F.col("prediction"))),
+    })
+
+
+@query("e6_confusion_matrix_gaps", _WIDE.format(results=_GAPS))
+def _(d):
+    return ev.confusion_matrix(_gaps(d), _CLASSES, by="test_id")
+
+
+@query(
+    "e5_confusion_cells_gaps",
+    f"""WITH cells AS (SELECT test_id, true_label, prediction, count(*) AS n FROM {_GAPS} GROUP BY ALL),
+lab AS (SELECT test_id, true_label AS label FROM cells UNION SELECT test_id, prediction FROM cells)
+SELECT a.test_id, a.label AS true_label, b.label AS prediction, coalesce(c.n, 0) AS n
+FROM lab a JOIN lab b ON a.test_id = b.test_id LEFT JOIN cells c
+ON c.test_id = a.test_id AND c.true_label IS NOT DISTINCT FROM a.label AND c.prediction IS NOT DISTINCT FROM b.label""",
+)
+def _(d):
+    return ev.confusion_cells(_gaps(d))
+
+
 @query(
     "e7_accuracy_confidence",
     """SELECT test_id, round(100 * avg(CASE WHEN true_label = prediction THEN 1.0E0 ELSE 0.0E0 END), 6) AS accuracy,

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweave.plans.domain import Domain, with_views
+from tallyweave.session import configure
 
 
 @dataclass(frozen=True)
@@ -17,7 +18,7 @@ class Entry:
     oracle: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(Domain(spark, sf_dir))
+        return self.build(Domain(configure(spark), sf_dir))
 
 
 REGISTRY: dict[str, Entry] = {}

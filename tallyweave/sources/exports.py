@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tallyweave.functions.scalars import basename, slug
-from tallyweave.session import settle
+from tallyweave.session import missing_path, settle
 
 _KEYS = ["dataset_slug", "label_slug"]
 
@@ -42,8 +42,10 @@ def export_manifest(images: DataFrame, datasets: DataFrame, labels: DataFrame, d
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:  # nothing exported yet
-        return None
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
+        return None  # nothing exported yet
 
 
 def write_export(manifest: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tallyweave.schemas import ENTITIES, PRIMARY_KEYS
+from tallyweave.session import missing_path
 
 
 def _append(rows: DataFrame, path: str, entity: str) -> None:
@@ -14,8 +15,10 @@ def _append(rows: DataFrame, path: str, entity: str) -> None:
     if key not in rows.columns:
         try:
             top = spark.read.schema(schema).parquet(path).agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
-        except AnalysisException:  # the table does not exist yet
-            top = 0
+        except AnalysisException as e:
+            if not missing_path(e):
+                raise
+            top = 0  # the table does not exist yet
         # unique but not consecutive, and needs no shuffle
         rows = rows.withColumn(key, F.monotonically_increasing_id() + F.lit(top + 1))
     missing = [f for f in schema.fields if f.name not in rows.columns]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tallyweave.operators.evaluation import report_cells, report_from_cells
-from tallyweave.session import scratch
+from tallyweave.session import missing_path, scratch
 from tallyweave.sources.exports import export_manifest, read_export, write_export
 
 AVAILABLE_NOW = {"availableNow": True}
@@ -44,14 +44,32 @@ def write_delta(rows: DataFrame, folder: str, keys: list[str], batch_id: int) ->
         _write(latest(rows.sparkSession, folder, keys, batch_id), f"{folder}/base", batch_id)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if not missing_path(e):
+            raise
+        return False
+    return True
+
+
+def _newest(spark: SparkSession, path: str, upto: int | None = None) -> int | None:
+    """The highest batch number among the folders below ``path``; only their names are looked at."""
+    batches = spark.read.parquet(path).select("batch_id")
+    return (batches if upto is None else batches.filter(F.col("batch_id") <= upto)).agg(F.max("batch_id")).first()[0]
+
+
 def latest(spark: SparkSession, folder: str, keys: list[str], upto: int | None = None) -> DataFrame:
     """The newest row per key: the last stored state and the deltas after it (up to batch ``upto``)."""
-    deltas = spark.read.parquet(f"{folder}/delta")
     if upto is None:
-        upto = deltas.agg(F.max("batch_id")).first()[0]  # folder names only
-    # batch ids are consecutive, and a state is stored before its batch counts as done
-    base_id = upto // COMPACT_EVERY * COMPACT_EVERY - 1
-    rows = deltas.filter((F.col("batch_id") > base_id) & (F.col("batch_id") <= upto))
+        upto = _newest(spark, f"{folder}/delta")
+    # the stored states say where they end, whatever COMPACT_EVERY was when they were written
+    base_id = _newest(spark, f"{folder}/base", upto - 1) if _exists(spark, f"{folder}/base") else None
+    base_id = -1 if base_id is None else base_id
+    # batch ids are consecutive; only the folders after the state are read
+    paths = [f"{folder}/delta/batch_id={i}" for i in range(base_id + 1, upto + 1)]
+    rows = spark.read.option("basePath", f"{folder}/delta").parquet(*paths)
     if base_id >= 0:
         stored = spark.read.parquet(f"{folder}/base/batch_id={base_id}").withColumn("batch_id", F.lit(base_id))
         rows = rows.unionByName(stored)
@@ -61,10 +79,9 @@ def latest(spark: SparkSession, folder: str, keys: list[str], upto: int | None =
 
 
 def _latest_or_empty(spark: SparkSession, folder: str, keys: list[str], like: DataFrame) -> DataFrame:
-    try:
-        return latest(spark, folder, keys)
-    except AnalysisException:  # nothing has arrived yet
+    if not _exists(spark, f"{folder}/delta"):  # nothing has arrived yet
         return spark.createDataFrame([], like.schema)
+    return latest(spark, folder, keys)
 
 
 def _run(stream: DataFrame, folder: str, keys: list[str], purpose: str, trigger: dict, checkpoint: str | None) -> DataFrame:

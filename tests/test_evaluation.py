@@ -81,6 +81,14 @@ def test_dense_cells(results):
     assert (wide["b"]["a"], wide["b"]["b"], wide["b"]["z"]) == (1, 1, 1)
 
 
+def test_cells_and_matrix_keep_every_result(spark):
+    rows = [(1, None, "a"), (1, "a", None), (1, "a", "x"), (1, "a", "a"), (1, None, None)]
+    gaps = spark.createDataFrame(rows, "test_id int, true_label string, prediction string")
+    assert ev.confusion_cells(gaps).agg({"n": "sum"}).first()[0] == 5 and ev.confusion_cells(gaps).count() == 9
+    wide = {r.true_label: (r.a, r.other) for r in ev.confusion_matrix(gaps, ["a"]).collect()}
+    assert wide == {"a": (1, 2), None: (1, 1), "x": (0, 0)}
+
+
 def test_missing_labels_compare_equal(spark):
     rows = spark.createDataFrame([(1, None, None, 0.9), (1, "a", None, 0.9)], "test_id int, true_label string, prediction string, confidence double")
     got = report(rows)[1]

@@ -70,10 +70,12 @@ def test_strict_sampling_is_all_or_nothing(spark, images, datasets):
     assert edit.images.exceptAll(images.select(edit.images.columns)).count() == 0
 
 
-def test_second_request_of_a_study_waits(spark, images, datasets):
-    edit = mb.make_testing_set(images, datasets, *requests(spark, (100, 1, 1), (101, 1, 1)), seed=1)
-    assert {r.new_dataset_id for r in edit.changes.collect()} == {100}
-    assert [r.dataset_id for r in edit.extra["surplus_requests"].collect()] == [101]
+def test_requests_of_one_study_are_served_in_turn(spark, images, datasets):
+    edit = mb.make_testing_set(images, datasets, *requests(spark, (100, 1, 1), (101, 1, 1), (102, 1, 50)), seed=1)
+    moved = edit.changes.collect()
+    assert {r.new_dataset_id for r in moved} == {100, 101} and len({r.image_id for r in moved}) == len(moved)
+    assert {r.new_dataset_id for r in edit.rejected.collect()} == {102}
+    assert edit.images.count() == images.count()
 
 
 def test_training_set(spark, images, datasets):
@@ -97,6 +99,30 @@ def test_soft_sampling_skips_short_labels(spark, images, labels):
     kept_whole(images, got.images)
 
 
+def test_requests_on_one_base_share_what_there_is(spark, images, labels, datasets):
+    ask = spark.createDataFrame([(1, 2, 2), (1, 3, 1), (1, 4, 50), (1, 77, 1)], "dataset_id long, target_id long, n long")
+    edit = mb.move_random(images, labels, ask, 1, datasets)
+    moved = edit.changes.collect()
+    assert len({r.image_id for r in moved}) == len(moved) and edit.images.count() == images.count()
+    assert {r.new_dataset_id for r in moved} == {2, 3}
+    assert {(r.target_id, r.n) for r in edit.rejected.collect()} == {(4, 50), (77, 1)}
+
+
+def test_requests_with_one_origin(spark, images, datasets):
+    ask = spark.createDataFrame([(2, 1), (2, 4)], "origin_id long, target_id long")
+    edit = mb.move_all(images, datasets, ask)
+    assert edit.images.count() == images.count()
+    assert {r.new_dataset_id for r in edit.changes.collect()} == {1}
+    assert [(r.origin_id, r.target_id) for r in edit.rejected.collect()] == [(2, 4)]
+
+
+def test_two_changes_of_one_image_are_an_error(spark, images):
+    twice = spark.createDataFrame([(1, 1, 2, False, False), (1, 1, 3, False, False)],
+                                  "image_id long, old_dataset_id long, new_dataset_id long, used_for_training boolean, used_for_testing boolean")
+    with pytest.raises(Exception, match="more than one change"):
+        mb.apply_moves(images, twice).collect()
+
+
 def test_sample_copy(spark, images, datasets, labels):
     edit = mb.sample_copy(images, datasets.filter("dataset_id <= 4"), labels, 1, seed=3)
     copies = edit.changes.orderBy("image_id").collect()

@@ -54,7 +54,18 @@ def test_take_quota_with_a_quota_per_group(spark, skewed):
 def test_buckets_are_small(skewed):
     for bucketed in (rk._by_hash(rk._with_group(skewed, ["g"], _total=F.count("*")), rk.shuffle_key(5, "id"), 500), rk._by_id(skewed, "id", ["g"], 500)):
         sizes = [r["count"] for r in bucketed.groupBy("g", "_bucket").count().collect()]
-        assert max(sizes) < 750 and len(sizes) > 30
+        assert max(sizes) < 1_000 and len(sizes) > 30
+
+
+@pytest.mark.parametrize("ids", ["IF(id = 7, 9e17, id)", "id * 1000003 % 65537", "(id % 4) * 8589934592 + id"])
+def test_gaps_and_outliers_among_ids(spark, ids):
+    rows = spark.range(20_000).selectExpr(f"CAST({ids} AS BIGINT) AS id", "id % 2 AS g").dropDuplicates(["id"])
+    assert max(r["count"] for r in rk._by_id(rows, "id", ["g"], 500).groupBy("_bucket").count().collect()) < 1_000
+    window = Window.partitionBy("g").orderBy("id")
+    plain = rows.withColumn("rank", F.row_number().over(window))
+    page = rk.id_slice(rows, "id", ["g"], 5_001, 5_050)
+    want = plain.filter("rank BETWEEN 5001 AND 5050").select("id", "g", "rank").collect()
+    assert sorted(map(tuple, page.select("id", "g", "rank").collect())) == sorted(map(tuple, want))
 
 
 @pytest.mark.parametrize("parts", [1, 7, 64])

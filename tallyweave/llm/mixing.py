@@ -69,7 +69,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, bl
     levelled = levels.withColumn("common", F.min(fits).over(everything)["level"])
     target = F.least(F.col("cap").cast("double"), F.col("common") * F.col("weight"))
     blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
-    quota = F.least(blocks * most, F.floor(blocks * F.col("target") / F.col("source_size") + 0.5)).cast("long")
+    quota = F.least(blocks * most, F.floor(blocks * F.col("target") / F.nullif(F.col("source_size"), F.lit(0)) + 0.5)).cast("long")
     placed = (
         levelled.withColumn("target", target).withColumn("blocks", blocks)
         .withColumn("quota", F.coalesce(quota, F.lit(0).cast("long")))

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
+from math import log
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -122,6 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, training: Column, id
     vectors = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(rows)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=3, featureSubsetStrategy="onethird", seed=SEED)
     rules = sorted({simplified(r) for r in paths(forest.fit(vectors).toDebugString)})
+    if not rules:  # nothing tells the labels apart
+        return Ensemble(log(ones / (total - ones)), ())
     flagged = rows.select("label", *[holds(r).cast("double").alias(f"rule{i}") for i, r in enumerate(rules)])
     flagged = settle(VectorAssembler(inputCols=[f"rule{i}" for i in range(len(rules))], outputCol="features").transform(flagged).select("label", "features"), "rules")
     # Spark's own scaling would favour rare rules; the flags are alike in scale already

@@ -7,13 +7,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyweave.session import configure
+
 
 @dataclass(frozen=True)
 class Entry:
     name: str
-    run: Callable[[SparkSession, str], DataFrame]
+    build: Callable[[SparkSession, str], DataFrame]
     oracle: str | None
 
+    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.build(configure(spark), sf_dir)
+
 
 REGISTRY: dict[str, Entry] = {}
 

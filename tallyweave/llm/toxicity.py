@@ -35,6 +35,8 @@ LEAST_ROWS_OF_TERM = 4
 LEAST_CHI2 = 10.8
 FACTORS = 8
 EPOCHS = 40
+#: A small sample is gone through more often, until this many steps were taken.
+LEAST_STEPS = 1_500
 BATCH = 128
 RATE = 0.3
 DECAY = 1e-4
@@ -71,7 +73,7 @@ def train(slots: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, seed: i
     if not n or share in (0.0, 1.0):
         return model
     grown_w, grown_v, grown_b = np.full(n, 1e-2), np.full((n, FACTORS), 1e-2), 1e-2
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // len(rows))):
         order = random.permutation(len(rows))
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]

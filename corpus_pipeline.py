@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from tallyweave.llm.queries import rank_file, toxic_model
-from tallyweave.session import scratch
+from tallyweave.session import configure, scratch
 
 #: A document with this score or more is rejected.
 TOXIC = 0.7
@@ -24,7 +24,7 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: the documents that score below TOXIC."""
     names = docs.columns
-    model = toxic_model(spark, docs, sf_dir)
+    model = toxic_model(configure(spark), docs, sf_dir)
     return toxicity.keep_below(docs, model, TOXIC).select(*names)
 
 
@@ -63,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over ``documents``; each result is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.words import RUN_BYTES, mix, powers
-from tallyweave.session import settle
+from tallyweave.session import configure, settle
 
 LENGTH = 400
 ANCHOR = 100
@@ -320,6 +320,7 @@ def _kept(batches, whole: bool):
 
 
 def _cut(docs: DataFrame, id_col: str, text_col: str, whole: bool, schema: str, **limits) -> DataFrame:
+    configure(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     spans = repeated_spans(texts, **limits).groupBy(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash")).agg(

@@ -88,6 +88,39 @@ def _(d):
     return _moves(mb.make_training_set(images(d), d.fx_dataset, *_requests(d), SEED))
 
 
+# Three requests in every study for half of the usual number: each takes the next ranks, if all labels last.
+def _three_sql(pool: str) -> str:
+    return f"""WITH want AS (SELECT DISTINCT g.study_id, gl.label_id, greatest(1, CAST(floor(g.n / 2.0E0) AS BIGINT)) AS m FROM fx_generate g
+  JOIN fx_generate_label gl ON gl.dataset_id = g.dataset_id),
+pool AS (SELECT q.study_id, q.label_id, q.m, i.image_id, i.dataset_id, i.used_for_training, i.used_for_testing,
+  row_number() OVER (PARTITION BY q.study_id, q.label_id ORDER BY {_ORDER.format(a='i')}) - 1 AS rk
+  FROM want q JOIN fx_dataset d ON d.study_id = q.study_id AND d.base
+  JOIN fx_image i ON i.dataset_id = d.dataset_id AND i.label_id = q.label_id WHERE {pool}),
+lasts AS (SELECT q.study_id, min((SELECT count(*) FROM pool p WHERE p.study_id = q.study_id AND p.label_id = q.label_id) // q.m) AS requests FROM want q GROUP BY ALL),
+drawn AS (SELECT image_id, dataset_id, 100 + study_id + 100 * (rk // m) AS target, used_for_training, used_for_testing
+  FROM pool JOIN lasts USING (study_id) WHERE rk // m < least(3, requests))
+"""
+
+
+def _three(d):
+    requests = d.sql("SELECT study_id, dataset_id, n FROM fx_generate").select(
+        "study_id", F.explode(F.array(*[F.col("dataset_id") + 100 * k for k in range(3)])).alias("dataset_id"),
+        F.greatest(F.lit(1), F.floor(F.col("n") / 2)).cast("long").alias("n"),
+    )
+    labels = d.fx_generate_label.select(F.explode(F.array(*[F.col("dataset_id") + 100 * k for k in range(3)])).alias("dataset_id"), "label_id")
+    return settle(requests, "requests"), settle(labels, "request-labels")
+
+
+@query("g2_three_requests_per_study", _three_sql("NOT i.used_for_testing") + _TESTING_MOVES)
+def _(d):
+    return _moves(mb.make_testing_set(images(d), d.fx_dataset, *_three(d), SEED))
+
+
+@query("g3_three_requests_per_study", _three_sql(_FRESH) + _TRAINING_MOVES + "drawn")
+def _(d):
+    return _moves(mb.make_training_set(images(d), d.fx_dataset, *_three(d), SEED))
+
+
 # Previous training set of a study: dataset study * 10 + 2. The quota is what it leaves open.
 _CARRIED = "(SELECT count(*) FROM fx_image c WHERE c.dataset_id = q.study_id * 10 + 2 AND c.label_id = q.label_id)"
 
@@ -173,6 +206,39 @@ def _(d):
     return _moves(mb.move_random(images(d), d.fx_dataset_label, settle(d.sql(_MOVE_REQUESTS), "requests"), SEED))
 
 
+# Two requests on every base: the second one takes the next ranks of labels that last.
+_SHARED_REQUESTS = """SELECT r.dataset_id, r.target_id + k AS target_id, r.n FROM (SELECT study_id * 10 + 1 AS dataset_id, study_id * 10 + 2 AS target_id,
+  greatest(1, CAST(floor(n / 2.0E0) AS BIGINT)) AS n FROM fx_generate) r JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 900) t ON TRUE"""
+
+
+@query(
+    "g4_move_random_shared_base",
+    f"""WITH r AS (SELECT DISTINCT dataset_id, n FROM ({_SHARED_REQUESTS})),
+pool AS (SELECT i.*, r.n, row_number() OVER (PARTITION BY i.dataset_id, i.label_id ORDER BY {_ORDER.format(a='i')}) - 1 AS rk,
+  count(*) OVER (PARTITION BY i.dataset_id, i.label_id) AS available
+  FROM fx_image i JOIN r ON r.dataset_id = i.dataset_id JOIN fx_dataset_label dl ON dl.dataset_id = i.dataset_id AND dl.label_id = i.label_id)
+SELECT image_id, CAST(dataset_id AS BIGINT) AS old_dataset_id, CAST(dataset_id + 1 + rk // n AS BIGINT) AS new_dataset_id, TRUE AS used_for_training, used_for_testing
+FROM pool WHERE rk // n < 2 AND available >= (rk // n + 1) * n""",
+)
+def _(d):
+    requests = settle(d.sql(_SHARED_REQUESTS), "requests")
+    return _moves(mb.move_random(images(d), d.fx_dataset_label, requests, SEED, d.fx_dataset))
+
+
+@query(
+    "g4_rejected",
+    f"""WITH r AS ({_SHARED_REQUESTS}),
+c AS (SELECT dataset_id, max(available) AS most FROM (SELECT i.dataset_id, i.label_id, count(*) AS available FROM fx_image i
+  JOIN fx_dataset_label dl ON dl.dataset_id = i.dataset_id AND dl.label_id = i.label_id GROUP BY ALL) GROUP BY ALL)
+SELECT CAST(r.dataset_id AS BIGINT) AS dataset_id, CAST(r.target_id AS BIGINT) AS target_id, r.n FROM r LEFT JOIN c ON c.dataset_id = r.dataset_id
+WHERE r.target_id > r.dataset_id + 2 OR coalesce(c.most, 0) < r.n * (r.target_id - r.dataset_id)""",
+)
+def _(d):
+    requests = settle(d.sql(_SHARED_REQUESTS), "requests")
+    rejected = mb.move_random(images(d), d.fx_dataset_label, requests, SEED, d.fx_dataset).rejected
+    return rejected.select(F.col("dataset_id").cast("long"), F.col("target_id").cast("long"), "n")
+
+
 # ---- clones by copy ----
 
 
@@ -334,6 +400,21 @@ def _(d):
     return _moves(mb.move_all(images(d), d.fx_dataset, requests))
 
 
+@query(
+    "g10_move_all_shared_origin",
+    """SELECT i.image_id, CAST(i.dataset_id AS BIGINT) AS old_dataset_id, CAST(d.study_id * 10 AS BIGINT) AS new_dataset_id, i.used_for_training, i.used_for_testing
+FROM fx_image i JOIN fx_dataset d ON d.dataset_id = i.dataset_id WHERE NOT d.for_testing AND NOT d.base
+AND d.study_id * 10 IN (SELECT dataset_id FROM fx_dataset)
+UNION ALL SELECT i.image_id, CAST(i.dataset_id AS BIGINT), CAST(d.study_id * 10 + 1 AS BIGINT), i.used_for_training, i.used_for_testing
+FROM fx_image i JOIN fx_dataset d ON d.dataset_id = i.dataset_id WHERE NOT d.for_testing AND NOT d.base
+AND d.study_id * 10 NOT IN (SELECT dataset_id FROM fx_dataset)""",
+)
+def _(d):
+    # two targets each; the smaller one that exists takes all
+    requests = d.sql("SELECT dataset_id AS origin_id, study_id * 10 + k AS target_id FROM fx_dataset JOIN (SELECT 0 AS k UNION ALL SELECT 1) t ON TRUE WHERE NOT base")
+    return _moves(mb.move_all(images(d), d.fx_dataset, requests))
+
+
 @query(
     "g11_claim_unused",
     """SELECT image_id, CAST(CASE WHEN NOT used_for_training AND NOT used_for_testing THEN 12 ELSE dataset_id END AS BIGINT) AS dataset_id, label_id, image_path,

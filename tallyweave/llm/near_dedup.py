@@ -11,11 +11,12 @@ pseudorandom component of the signature. Points come in order of time and a proc
 is later than the largest minimum, so few points are drawn. The share of equal components is an unbiased
 estimate of the similarity.
 
-Bands of ROWS components make buckets. In each round every bucket names a leader, which is compared with all
+Bands of ROWS components make buckets. In each round every bucket names leaders, which are compared with all
 members of other classes; the next rounds look at buckets that still hold several classes only, with other
-leaders and, besides, with buckets of two bands. Rounds end when one adds no link, so work stays in proportion
+leaders, besides with buckets of two bands, and with all members outside a bucket's main class if they are few.
+Rounds end when one adds no link, so work stays in proportion
 to the rows, and groups of any size are handled without pairing all members. A pair is first judged by its
-signatures (an estimate below LEAST_ESTIMATE, four deviations under the threshold, ends it), then exactly by
+signatures (an estimate below LEAST_ESTIMATE, three and a half deviations under the threshold, ends it), then exactly by
 the overlap of the multisets.
 
 Defined results: a null or empty text, or one without words, is in a class of its own; a text of fewer words
@@ -32,13 +33,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.words import mix, word_hashes
-from tallyweave.session import settle
+from tallyweave.session import configure, settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
 COMPONENTS = 100
 ROWS = 4
-LEAST_ESTIMATE = 0.62
+LEAST_ESTIMATE = 0.66
+#: Leaders of a bucket in later rounds.
+LEADERS = 4
+#: Members outside a bucket's main class that are compared with all others at once.
+OUTSIDERS = 8
 #: Signatures are drawn for runs of about this many words at once.
 RUN_WORDS = 600_000
 
@@ -165,13 +170,14 @@ def sign_documents(docs: DataFrame) -> DataFrame:
                 row, shingle, copies = shingles(hashes, counts)
                 size = np.bincount(row, copies, len(counts)).astype(np.int64)
                 times = signatures(row, shingle, copies, len(counts))
-                signature = (mix(times.view(np.uint64)) >> _U(32)).astype(np.uint32).view(np.int32)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(signature.ravel()), COMPONENTS).cast(pa.list_(pa.int32()))
+                # sixteen bits tell points apart well enough for an estimate, and a band has sixty-four of them
+                signature = (mix(times.view(np.uint64)) >> _U(48)).astype(np.uint16).view(np.int16)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(signature.ravel()), COMPONENTS).cast(pa.list_(pa.int16()))
                 lists = pa.compute.if_else(pa.array(size > 0), lists, pa.scalar(None, lists.type))
                 columns = [batch.column("doc_id").slice(first, len(counts)), pa.array(node), pa.array(name), pa.array(size), lists]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "name", "size", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node bigint, name bigint, size bigint, signature array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node bigint, name bigint, size bigint, signature array<smallint>")
 
 
 def _runs(texts: list[str | None]):
@@ -222,16 +228,29 @@ def _bucket_rows(nodes: DataFrame) -> DataFrame:
 
 
 def _pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the leader of each bucket with the members of other classes. ``buckets`` has key, node, class."""
-    who = F.struct("node", "class")
-    leaders = buckets.groupBy("key").agg(
-        F.min_by(who, F.xxhash64("node", F.lit(turn))).alias("leader"), F.min("class").alias("low"), F.max("class").alias("high")
-    )
-    leaders = leaders.filter("low != high").select("key", F.col("leader.node").alias("a"), F.col("leader.class").alias("of"))
+    """(a, b): the leaders of each bucket with the members of other classes. ``buckets`` has key, node, class."""
+    # at first the same nodes lead many buckets, which makes few pairs; later every bucket has leaders of its own
+    order = F.xxhash64("node", F.lit(turn), *(["key"] if turn else []))
+    slot = F.pmod(F.xxhash64("node", "key", F.lit(turn), F.lit("slot")), F.lit(min(2**turn, LEADERS)))
+    leaders = buckets.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("node", "class"), order).alias("leader"))
+    leaders = leaders.select("key", F.col("leader.node").alias("a"), F.col("leader.class").alias("of"))
     led = buckets.join(leaders, "key").filter(F.col("class") != F.col("of"))
     return led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
+def _outsiders(buckets: DataFrame) -> DataFrame:
+    """(a, b): in buckets with few members outside the main class, those members with all of other classes.
+
+    A bucket yields OUTSIDERS pairs per member at most; buckets with more of them are left to the leaders.
+    """
+    parts = buckets.groupBy("key", "class").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
+    few = main.filter(F.col("outside").between(1, OUTSIDERS)).select("key", "main")
+    outside = buckets.join(few, "key").filter(F.col("class") != F.col("main")).select("key", F.col("node").alias("a"), F.col("class").alias("of"))
+    led = buckets.join(outside, "key").filter(F.col("class") != F.col("of"))
+    return led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose sizes allow the threshold and whose signatures make it likely."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("signature").alias(f"sig_{x}"))
@@ -241,11 +260,15 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.filter(equal >= LEAST_ESTIMATE * COMPONENTS).select("a", "b", "size_a", "size_b")
 
 
-def _links(likely: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose multisets are as similar as asked for."""
-    involved = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
+def _sets(buckets: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, copies) for every node that shares a bucket; texts are read and moved once, for all rounds."""
+    involved = buckets.select("node").distinct().join(nodes.select("node", "first_id"), "node")
     held = texts.join(involved, F.col("doc_id").eqNullSafe(F.col("first_id")))
-    sets = settle(shingle_sets(held).dropDuplicates(["node"]), "shingles")
+    return settle(shingle_sets(held).dropDuplicates(["node"]), "shingles")
+
+
+def _links(likely: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose multisets are as similar as asked for."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("copies").alias(f"copies_{x}"))
     shared = F.size(F.array_intersect("copies_a", "copies_b"))
     joined = likely.join(side("a"), "a").join(side("b"), "b")
@@ -275,6 +298,7 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``docs``: doc_id, class_id (smallest id of its class), class_size, node (of its words)."""
+    configure(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = settle(sign_documents(texts), "signed")
     worded = signed.filter("size > 0")
@@ -284,18 +308,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = _bucket_rows(nodes)
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n >= 2").select("key")
     buckets = settle(rows.join(shared, "key").withColumn("class", F.col("node")), "buckets")
+    sets = _sets(buckets, nodes, texts)
     links = tested = classes = None
     turn = 0
     while True:
         pairs = _pairs(buckets.select("key", "node", "class"), turn)
         if turn:  # smaller buckets find leaders that are more alike
-            pairs = pairs.union(_pairs(buckets.select(F.col("pair_key").alias("key"), "node", "class"), turn)).distinct()
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.union(_pairs(buckets.select(F.col("pair_key").alias("key"), "node", "class"), turn)).union(_outsiders(buckets))
+            pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         likely = settle(_likely(pairs, nodes), "likely")
-        found = settle(_links(likely, nodes, texts), "links")
+        found = settle(_links(likely, sets), "links")
         tested = likely.select("a", "b") if tested is None else tested.union(likely.select("a", "b"))
         if not found.limit(1).count():
-            break
+            if turn:
+                break
+            turn += 1
+            continue
         links = found if links is None else links.union(found)
         classes = settle(connected(links), "classes")
         named = classes.withColumnsRenamed({"node": "_node", "class": "_class"})

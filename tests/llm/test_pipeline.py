@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyweave.llm import bpe
-from tallyweave.llm.queries import rank_file
+from tallyweave.llm import bpe, toxicity
+from tallyweave.llm.queries import rank_file, toxic_model
 
 SF = "/root/testdata/sf0.01"
 
@@ -34,11 +34,12 @@ def test_all_but_the_last_return_documents(results):
 
 def test_toxic_documents_go_and_clean_ones_stay(spark, results):
     before, after = results["toxicity"]
-    insults = ["idiot", "moron", "scum", "trash"]
-    kept = after.withColumn("words", F.split(F.lower("text"), r"\W+"))
-    assert kept.filter(F.size(F.array_intersect("words", F.array(*map(F.lit, insults)))) >= 2).count() == 0
-    clean = spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 0").join(before, "doc_id")
-    assert clean.join(after, "doc_id", "left_anti").count() <= 0.01 * clean.count()
+    scores = toxicity.score(before, toxic_model(spark, before, SF))
+    assert ids(after) == ids(scores.filter("score < 0.7"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for toxic, least, most in ((1, 0.6, 1.0), (0, 0.0, 0.01)):  # share of the labelled that goes
+        known = labels.filter(F.col("toxic") == toxic).join(before, "doc_id")
+        assert least <= known.join(after, "doc_id", "left_anti").count() / known.count() <= most
 
 
 def test_one_row_of_each_text_stays(results):

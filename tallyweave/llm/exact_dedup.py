@@ -23,6 +23,8 @@ SLOTS_PER_ROW = 2
 #: Upper bound of the filter, hence of what is broadcast: 2^28 bits are 32 MB. A fuller filter lets more
 #: rows through to the shuffle and changes no result.
 MAX_FILTER_BITS = 1 << 28
+#: Groups that hold more than this part of all rows are joined without a shuffle; there can't be more of them.
+MAX_HOT_GROUPS = 10_000
 
 # runs of white space that are more than a single blank; a single blank already is its own replacement
 _RUNS = r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*"
@@ -99,8 +101,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"),
     )
     per_id, groups = _groups(tested.filter("possible"))
+    per_id, groups = settle(per_id, "ids"), settle(groups, "groups")
+    # a group above the limit holds so large a share of all rows that there are MAX_HOT_GROUPS at most
+    limit = digests.count() // MAX_HOT_GROUPS
+    large = F.broadcast(groups.filter(F.col("group_size") > limit))
     grouped = (
-        per_id.join(groups, "sha")
+        per_id.join(large, "sha")
+        .unionByName(per_id.join(large, "sha", "left_anti").join(groups.filter(F.col("group_size") <= limit), "sha"))
         .select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
         .select(
             "doc_id", "keep_id", "group_size",

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tallyweave.session import settle
 
 #: Rows that one range should hold, and sampled keys for each range.
-RANGE_ROWS = 4_000
-SAMPLED_PER_RANGE = 40
+RANGE_ROWS = 1_000
+SAMPLED_PER_RANGE = 100
 MAX_SAMPLE = 200_000
 
 

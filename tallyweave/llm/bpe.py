@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces cached by a worker before the cache is emptied; bounds memory, changes no result.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 #: Pieces handled at once.
-RUN_PIECES = 300_000
+RUN_PIECES = 150_000
 #: Text handled at once, in characters; longer texts are cut between pieces.
-RUN_CHARS = 1_500_000
+RUN_CHARS = 750_000
 #: Longer pieces are merged one by one with a heap, as a padded matrix would take a round per merge.
 MATRIX_BYTES = 128
 NO_RANK = np.int32(2**31 - 1)
@@ -287,12 +287,13 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         coder = _coder(sent.value, pattern)
         for batch in batches:
             lengths = pa.compute.binary_length(batch.column(1)).to_pylist()
-            for a, b in _cuts(lengths, 4_000_000):
+            for a, b in _cuts(lengths, 1_500_000):
                 part = batch.slice(a, b - a)
                 rows = coder.encode_many(part.column(1).to_pylist())
                 offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+        coder._empty_cache()  # workers live on after the task
 
     return plain.mapInArrow(run, f"doc_id {id_type}, ids array<int>")
 

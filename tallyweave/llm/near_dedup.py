@@ -45,7 +45,7 @@ LEADERS = 4
 #: Members outside a bucket's main class that are compared with all others at once.
 OUTSIDERS = 8
 #: Signatures are drawn for runs of about this many words at once.
-RUN_WORDS = 600_000
+RUN_WORDS = 300_000
 
 _U = np.uint64
 _STEP, _LEFT, _RIGHT, _PICK = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03), _U(0xABC98388FB8FAC03), _U(0x8CB92BA72F3D8DD7)

@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Text handled at once, and where a longer text is cut (at white space if there is any).
-RUN_BYTES = 1_500_000
-CUT_CHARS = 1_000_000
+RUN_BYTES = 750_000
+CUT_CHARS = 400_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _IN_WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])

@@ -294,6 +294,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
         coder._empty_cache()  # workers live on after the task
+        pa.default_memory_pool().release_unused()
 
     return plain.mapInArrow(run, f"doc_id {id_type}, ids array<int>")
 

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # texts are long: smaller batches between the JVM and Python workers bound the memory of both
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # operators store intermediate results, so the shuffles of a finished step are of no further use
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }

@@ -11,13 +11,15 @@ pseudorandom component of the signature. Points come in order of time and a proc
 is later than the largest minimum, so few points are drawn. The share of equal components is an unbiased
 estimate of the similarity.
 
-Bands of ROWS components make buckets. In each round every bucket names leaders, which are compared with all
-members of other classes; the next rounds look at buckets that still hold several classes only, with other
-leaders, besides with buckets of two bands, and with all members outside a bucket's main class if they are few.
-Rounds end when one adds no link, so work stays in proportion
-to the rows, and groups of any size are handled without pairing all members. A pair is first judged by its
-signatures (an estimate below LEAST_ESTIMATE, three and a half deviations under the threshold, ends it), then exactly by
-the overlap of the multisets.
+Bands of ROWS components make buckets. In two rounds every bucket names leaders, which are compared with all
+members of other classes; the second looks at buckets that still hold several classes only, with other leaders,
+besides with buckets of two bands. The rounds join most of what belongs together; what they leave is compared in
+full: in buckets that still hold several classes, all members outside the main class meet all members of other
+classes. If they are few they make pairs, else the bucket is dealt into parts of bounded size and each two parts
+are compared exactly as a product of matrices, which yields no more rows than classes. So every two documents that
+share a bucket end in one class or have been compared, and only buckets of many classes cost the square of their size.
+A pair is first judged by its signatures (an estimate below LEAST_ESTIMATE, three and a half deviations under the
+threshold, ends it), then exactly by the overlap of the multisets; parts are compared without the estimate.
 
 Defined results: a null or empty text, or one without words, is in a class of its own; a text of fewer words
 than a shingle is one shingle; words are runs of letters and digits in lower case; null ids come last when the
@@ -40,10 +42,14 @@ THRESHOLD = 0.8
 COMPONENTS = 100
 ROWS = 4
 LEAST_ESTIMATE = 0.66
-#: Leaders of a bucket in later rounds.
+#: Leader rounds, and leaders of a bucket at most.
+TURNS = 2
 LEADERS = 4
-#: Members outside a bucket's main class that are compared with all others at once.
+#: Members outside a bucket's main class that make pairs with all others; more of them are compared in parts.
 OUTSIDERS = 8
+#: Bounds of a part: members, and copies of shingles.
+PART_ROWS = 2_048
+PART_COPIES = 1 << 20
 #: Signatures are drawn for runs of about this many words at once.
 RUN_WORDS = 300_000
 
@@ -238,19 +244,101 @@ def _pairs(buckets: DataFrame, turn: int) -> DataFrame:
     return led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
-def _outsiders(buckets: DataFrame) -> DataFrame:
+def _main(buckets: DataFrame) -> DataFrame:
+    """(key, main, outside): the largest class of each bucket with several, and the number of members outside it."""
+    parts = buckets.groupBy("key", "class").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
+    return main.filter("outside > 0")
+
+
+def _outsiders(buckets: DataFrame, main: DataFrame) -> DataFrame:
     """(a, b): in buckets with few members outside the main class, those members with all of other classes.
 
-    A bucket yields OUTSIDERS pairs per member at most; buckets with more of them are left to the leaders.
+    A bucket yields OUTSIDERS pairs per member at most; ``_crowded`` has the others.
     """
-    parts = buckets.groupBy("key", "class").agg(F.count("*").alias("n"))
-    main = parts.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
-    few = main.filter(F.col("outside").between(1, OUTSIDERS)).select("key", "main")
+    few = main.filter(F.col("outside") <= OUTSIDERS).select("key", "main")
     outside = buckets.join(few, "key").filter(F.col("class") != F.col("main")).select("key", F.col("node").alias("a"), F.col("class").alias("of"))
     led = buckets.join(outside, "key").filter(F.col("class") != F.col("of"))
     return led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
+def _crowded(buckets: DataFrame, main: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that join all classes of the other buckets that any of their pairs joins.
+
+    Members are dealt into parts by their hash, and each two parts of a bucket are one group.
+    """
+    many = main.filter(F.col("outside") > OUTSIDERS).select("key", "main")
+    held = buckets.join(many, "key").join(nodes.select("node", "size"), "node")
+    needed = F.greatest(F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum("size") / PART_COPIES)).cast("int")
+    # buckets of the same members, as bands often have, are compared once
+    kept = held.groupBy("key").agg(needed.alias("parts"), F.bit_xor(F.xxhash64("node")).alias("members"), F.count("*").alias("n"))
+    kept = kept.groupBy("members", "n").agg(F.min(F.struct("key", "parts")).alias("k")).select("k.*")
+    dealt = held.join(kept, "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = dealt.select("key", "node", "class", (F.col("class") == F.col("main")).alias("in_main"), "part", other.alias("other"))
+    dealt = dealt.select("*", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).drop("other")
+    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInArrow(_compare, "a bigint, b bigint").distinct()
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """(a, b): links between the classes of two parts of a bucket, or within one; no more than it takes to join them."""
+    table = table.combine_chunks()
+    node, of, in_main, part, i, j = (table.column(c).to_numpy() for c in ("node", "class", "in_main", "part", "i", "j"))
+    root = np.arange(len(np.unique(of)))
+    group = np.unique(of, return_inverse=True)[1]
+    lists = table.column("copies").combine_chunks()
+    sizes = lists.value_lengths().to_numpy()
+    flat = lists.flatten().to_numpy()
+    begin = np.cumsum(sizes) - sizes
+    first, second = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    sides = [(first[~in_main[first]], second)]
+    if i[0] != j[0]:
+        sides.append((first[in_main[first]], second[~in_main[second]]))
+    for left, right in sides:
+        for start in range(0, len(left), 512):
+            rows = left[start : start + 512]
+            shared = _shared(flat, begin, sizes, rows, right)
+            alike = shared >= THRESHOLD * (sizes[rows][:, None] + sizes[right][None, :] - shared)
+            alike &= group[rows][:, None] != group[right][None, :]
+            for r in np.flatnonzero(alike.any(axis=1)):
+                hits = right[alike[r]]
+                names, at = np.unique(root[group[hits]], return_index=True)
+                own = root[group[rows[r]]]
+                hits, names = hits[at[names != own]], names[names != own]
+                found.append((np.full(len(hits), node[rows[r]]), node[hits]))
+                root[np.isin(root, names)] = own
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _shared(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The number of values that each row of ``left`` shares with each of ``right``."""
+
+    def entries(rows):
+        row = np.repeat(np.arange(len(rows)), sizes[rows])
+        return row, flat[np.arange(len(row)) + np.repeat(begin[rows] - (np.cumsum(sizes[rows]) - sizes[rows]), sizes[rows])]
+
+    (row_a, value_a), (row_b, value_b) = entries(left), entries(right)
+    out = np.zeros((len(left), len(right)), np.float32)
+    known, often = np.unique(value_a, return_counts=True)
+    both = np.isin(known, value_b)
+    known = known[both][np.argsort(-often[both], kind="stable")]  # frequent values first, so that late steps have few rows
+    for step in range(0, len(known), 2_048):
+        words = np.sort(known[step : step + 2_048])
+        sides = []
+        for row, value in ((row_a, value_a), (row_b, value_b)):
+            at = np.minimum(np.searchsorted(words, value), len(words) - 1)
+            hit = words[at] == value
+            rows, place = np.unique(row[hit], return_inverse=True)
+            marks = np.zeros((len(rows), len(words)), np.float32)
+            marks[place, at[hit]] = 1
+            sides.append((rows, marks))
+        (rows_a, marks_a), (rows_b, marks_b) = sides
+        out[np.ix_(rows_a, rows_b)] += marks_a @ marks_b.T
+    return out
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose sizes allow the threshold and whose signatures make it likely."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("signature").alias(f"sig_{x}"))
@@ -310,29 +398,33 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = settle(rows.join(shared, "key").withColumn("class", F.col("node")), "buckets")
     sets = _sets(buckets, nodes, texts)
     links = tested = classes = None
-    turn = 0
-    while True:
-        pairs = _pairs(buckets.select("key", "node", "class"), turn)
-        if turn:  # smaller buckets find leaders that are more alike
-            pairs = pairs.union(_pairs(buckets.select(F.col("pair_key").alias("key"), "node", "class"), turn)).union(_outsiders(buckets))
+    for turn in range(TURNS + 1):
+        last = turn == TURNS
+        if last:
+            main = settle(_main(buckets), "main")
+            pairs = _outsiders(buckets, main)
+        else:
+            pairs = _pairs(buckets.select("key", "node", "class"), turn)
+        if turn == 1:  # smaller buckets find leaders that are more alike
+            pairs = pairs.union(_pairs(buckets.select(F.col("pair_key").alias("key"), "node", "class"), turn))
+        if turn:
             pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         likely = settle(_likely(pairs, nodes), "likely")
-        found = settle(_links(likely, sets), "links")
+        found = _links(likely, sets)
+        found = settle(found.union(_crowded(buckets, main, nodes, sets)) if last else found, "links")
         tested = likely.select("a", "b") if tested is None else tested.union(likely.select("a", "b"))
         if not found.limit(1).count():
-            if turn:
-                break
-            turn += 1
             continue
         links = found if links is None else links.union(found)
         classes = settle(connected(links), "classes")
+        if last:
+            break
         named = classes.withColumnsRenamed({"node": "_node", "class": "_class"})
         renamed = buckets.join(named, F.col("node") == F.col("_node"), "left").select(
             "key", "pair_key", "node", F.coalesce("_class", "node").alias("class")
         )
         open_ = renamed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("key")
         buckets = settle(renamed.join(open_, "key", "left_semi"), "buckets")
-        turn += 1
     if classes is None:
         classes = nodes.select("node", F.col("node").alias("class")).limit(0)
     per_node = worded.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))

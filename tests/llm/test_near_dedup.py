@@ -64,6 +64,49 @@ def test_classes_match_all_pairs(spark):
         assert all(r.class_size == sizes[r.class_id] for r in got)
 
 
+def crowd(seed=3, members=1_500, twos=5):
+    """Edits of one base, alike by 0.65 to 0.75 mostly, and some that are alike by 0.8 and more."""
+    random = np.random.default_rng(seed)
+    base = [f"w{x}" for x in range(300)]
+
+    def edit(words):
+        words = list(words)
+        for at in random.choice(300, 6, replace=False):
+            words[at] = str(random.integers(10**9))
+        return words
+
+    rows = [edit(base) for _ in range(members)]
+    rows += [edit(words) for words in rows[:twos]]
+    return [(int(i), " ".join(rows[r])) for i, r in enumerate(random.permutation(len(rows)))]
+
+
+def brute_classes(rows):
+    """As ``brute``, for texts without repeated shingles, by one product of matrices."""
+    sets = [multiset(t) for _, t in rows]
+    place = {x: n for n, x in enumerate(sorted({x for s in sets for x in s}))}
+    marks = np.zeros((len(sets), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        marks[i, [place[x] for x in s]] = 1
+    shared = marks @ marks.T
+    size = marks.sum(axis=1)
+    alike = shared >= 0.8 * (size[:, None] + size[None, :] - shared)
+    least = np.arange(len(rows))
+    while True:
+        lower = np.array([least[alike[i]].min() for i in range(len(rows))])
+        if (lower == least).all():
+            return {rows[i][0]: rows[least[i]][0] for i in range(len(rows))}
+        least = lower
+
+
+def test_crowd_of_edits_matches_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART_ROWS", 300, raising=False)
+    rows = crowd()
+    want = brute_classes(rows)
+    assert len(set(want.values())) > 1_000
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+
+
 def test_signature_is_unbiased_for_weighted_similarity():
     random = np.random.default_rng(4)
     errors = []

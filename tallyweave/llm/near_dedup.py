@@ -18,7 +18,7 @@ full: in buckets that still hold several classes, all members outside the main c
 classes. If they are few they make pairs, else the bucket is dealt into parts of bounded size and each two parts
 are compared exactly as a product of matrices, which yields no more rows than classes. So every two documents that
 share a bucket end in one class or have been compared, and only buckets of many classes cost the square of their size.
-A pair is first judged by its signatures (an estimate below LEAST_ESTIMATE, three and a half deviations under the
+A pair is first judged by its signatures (an estimate below LEAST_ESTIMATE, four and a half deviations under the
 threshold, ends it), then exactly by the overlap of the multisets; parts are compared without the estimate.
 
 Defined results: a null or empty text, or one without words, is in a class of its own; a text of fewer words
@@ -41,7 +41,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 COMPONENTS = 100
 ROWS = 4
-LEAST_ESTIMATE = 0.66
+LEAST_ESTIMATE = 0.62
 #: Leader rounds, and leaders of a bucket at most.
 TURNS = 2
 LEADERS = 4

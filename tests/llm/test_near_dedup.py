@@ -107,6 +107,16 @@ def test_crowd_of_edits_matches_all_pairs(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+def test_true_pairs_of_low_estimate_are_compared(spark):
+    # pairs of similarity 33/41 of which only 64 or 65 components of the signatures are equal
+    rows = []
+    for n in (909, 9234, 18971, 22270):
+        words = [f"p{n}x{i}" for i in range(41)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[:37] + [f"q{n}x{i}" for i in range(4)]))]
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute(rows) == {i: i - i % 2 for i, _ in rows}
+
+
 def test_signature_is_unbiased_for_weighted_similarity():
     random = np.random.default_rng(4)
     errors = []

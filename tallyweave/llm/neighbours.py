@@ -9,7 +9,8 @@ filtered by their full distance and ranked by the exact inner product.
 
 The radius is learned too: it is the least one that holds the share RECALL of the true neighbours of sampled
 queries. A sample of s of n rows stands for all of them by taking as many neighbours as the nearest k of n
-leave in it (k * s / n, one at least), so the radius shrinks as the table grows.
+leave in it (k * s / n, one at least), so the radius shrinks as the table grows. Queries that find fewer than k
+rows within it, though the table has more, are asked again with the radius that holds every code, which is exact.
 
 Rows are dealt into shards and queries into blocks of bounded size; each pair of a shard and a block is one
 task. Vectors that are null, zero, of another length than most, or that hold null or non-finite components
@@ -20,7 +21,7 @@ vector are read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -173,13 +174,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row that ``is_query``, a condition on vec_id, names."""
     rows = settle(usable(vectors, id_col, vec_col), "vectors")
     total, lift2 = rows.agg(F.count("*"), F.max("norm2")).first()
-    schema = "query_id bigint, vec_id bigint, score double"
     if not total:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     share = int(min(1.0, SAMPLE_ROWS / total) * (1 << 30))
     picked = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 30)) < share).orderBy(F.xxhash64("vec_id"), "vec_id")
     hasher = learn(_vectors(picked.limit(2 * SAMPLE_ROWS).select("vec_id", "vec").toArrow())[1], float(np.sqrt(lift2)), total, k)
     asked = rows.filter(is_query)
+    ranked = settle(_ranked(rows, asked, total, hasher, k), "ranked")
+    # what a query may find are the rows with another id
+    own = asked.select("vec_id").distinct().join(rows.groupBy("vec_id").agg(F.count("*").alias("own")), "vec_id")
+    hits = ranked.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"))
+    fewer = F.coalesce("n", F.lit(0)) < F.least(F.lit(k), F.lit(total) - F.col("own"))
+    short = settle(own.join(hits, "vec_id", "left").filter(fewer).select("vec_id"), "short")
+    if not short.limit(1).count():
+        return ranked
+    again = _ranked(rows, settle(asked.join(short, "vec_id").select("vec_id", "vec"), "again"), total, replace(hasher, radius=BITS), k)
+    return ranked.join(short, F.col("query_id") == short["vec_id"], "left_anti").unionByName(again)
+
+
+def _ranked(rows: DataFrame, asked: DataFrame, total: int, hasher: Hasher, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest rows within the radius of each row of ``asked``."""
     shards = -(-total // max(1, SHARD_VALUES // (len(hasher.turn) - 1)))
     # queries are cut further where the shards alone would leave cores idle
     idle = -(-rows.sparkSession.sparkContext.defaultParallelism // shards)
@@ -191,6 +205,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     left = dealt(rows, "shard", shards, "block", blocks).groupBy("shard", "block")
     right = dealt(asked, "block", blocks, "shard", shards).groupBy("shard", "block")
+    schema = "query_id bigint, vec_id bigint, score double"
     found = left.cogroup(right).applyInArrow(lambda a, b: _search(a, b, hasher, k), schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

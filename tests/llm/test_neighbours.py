@@ -65,3 +65,23 @@ def test_few_and_no_vectors(spark):
     assert [tuple(r) for r in neighbours.nearest(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 0.5)]
     assert neighbours.nearest(vectors(spark, [(0, [1, 0])]), F.lit(True)).collect() == []
     assert neighbours.nearest(vectors(spark, []), F.lit(True)).collect() == []
+
+
+def test_small_table_gives_all_candidates(spark):
+    random = np.random.default_rng(6)
+    rows = [(i, np.float32(random.normal(size=16))) for i in range(15)]
+    got = neighbours.nearest(vectors(spark, rows), F.lit(True)).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted(r[:3] for r in brute(rows, 20, lambda i: True))
+
+
+def test_queries_outside_all_clusters_find_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_VALUES", 16 * 500)
+    random = np.random.default_rng(7)
+    centres = random.normal(size=(40, 16))
+    rows = [(i, np.float32(centres[i % 40] + random.normal(size=16) * 1e-3)) for i in range(2_000)]
+    rows += [(i, np.float32(random.normal(size=16))) for i in range(2_000, 2_010)]
+    asked = (F.col("vec_id") >= 2_000) | (F.col("vec_id") % 100 == 0)
+    got = [tuple(r) for r in neighbours.nearest(vectors(spark, rows), asked).collect()]
+    want = brute(rows, 20, lambda i: i >= 2_000 or i % 100 == 0)
+    assert sorted(r[:2] for r in got) == sorted(r[:2] for r in want)
+    assert recall(got, want) >= 0.9

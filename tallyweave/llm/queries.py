@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, quality, secrets, substrings, toxicity, url_filter
+from tallyweave.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, quality, repeats, secrets, substrings, toxicity, url_filter
 from tallyweave.llm.labels import remainder
 from tallyweave.llm.mixing_sql import mix_sql
 from tallyweave.llm.registry import query, table
@@ -171,3 +171,31 @@ def op1_hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_bagminhash")  # SQL over all pairs is too slow; tests compare it with brute force
 def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+@query(
+    "op11_seed_extend",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ),
+    words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+    starts AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d),
+    windows AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM starts),
+    least AS (SELECT win, min(doc_id) AS first_id FROM windows GROUP BY win),
+    marked AS (
+      SELECT rid, i, 1 AS m FROM windows JOIN least USING (win) WHERE coalesce(first_id < doc_id, first_id IS NOT NULL)
+    ),
+    judged AS (
+      SELECT rid, i, word, max(m) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS covered
+      FROM words LEFT JOIN marked USING (rid, i)
+    ),
+    summed AS (
+      SELECT rid, count(covered) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (covered IS NULL) AS kept FROM judged GROUP BY rid
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN summed USING (rid)
+    """,
+)
+def op11_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(table(spark, sf_dir, "documents"))

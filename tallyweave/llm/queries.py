@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, quality, repeats, secrets, substrings, toxicity, url_filter
+from tallyweave.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, quality, repeats, secrets, substrings, toxicity, trie, url_filter
 from tallyweave.llm.labels import remainder
 from tallyweave.llm.mixing_sql import mix_sql
 from tallyweave.llm.registry import query, table
+from tallyweave.session import settle
 
 
 @query(
@@ -199,3 +200,72 @@ def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(table(spark, sf_dir, "documents"))
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned crc32 of an ASCII text in SQL, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN o >= 0 THEN xor(c, o) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}), lambda c, o: {step}), 4294967295)"
+
+
+def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the rebuilt conversations: some turns of the family's first, then what follows as many of their own."""
+    pieces = settle(trie.ordered_pieces(table(spark, sf_dir, "conversations")), "conversations")
+    own = F.col("conv_id")
+    starts = pieces.filter("start < 8").groupBy(own.alias("base")).agg(trie.join_strings(F.collect_list(F.struct("start", "data"))).alias("data"))
+    borrowed = F.pmod(F.crc32(own.cast("string")), F.lit(9)).cast("long")
+    family = pieces.select("conv_id").distinct().select("conv_id", (own - own % 5).alias("base"), borrowed.alias("h"))
+    head = trie.cut(F.coalesce("data", F.lit(b"")), F.lit(0), F.col("h"))
+    heads = settle(family.join(starts, "base", "left").select("conv_id", "h", head.alias("head")), "family")
+    taken = (F.octet_length("head") / trie.RECORD).cast("long")
+    kept = trie.cut(F.col("data"), F.greatest(F.col("h") - F.col("start"), F.lit(0)))
+    later = pieces.join(heads, "conv_id").select(
+        "conv_id", (F.greatest("start", "h") - F.col("h") + taken).alias("start"), kept.alias("data")
+    )
+    return heads.select("conv_id", F.lit(0).cast("long").alias("start"), F.col("head").alias("data")).unionByName(later.filter("octet_length(data) > 0"))
+
+
+@query(
+    "op13_prefix_trie",
+    f"""
+    WITH ordered AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r,
+             coalesce(role, '') AS role, coalesce(text, '') AS text
+      FROM conversations WHERE conv_id IS NOT NULL
+    ),
+    convs AS (
+      SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM ordered)
+    ),
+    turns AS (
+      SELECT c.conv_id, o.r, 0 AS own, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.base AND o.r <= c.h
+      UNION ALL
+      SELECT c.conv_id, o.r, 1, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.r > c.h
+    ),
+    placed AS (
+      SELECT conv_id, row_number() OVER w AS d, strlen(text) AS size, md5(strlen(role) || ':' || role || text) AS m
+      FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY own, r)
+    ),
+    paths AS (
+      SELECT conv_id, d, size, string_agg(m, '') OVER (PARTITION BY conv_id ORDER BY d) AS path, count(*) OVER (PARTITION BY conv_id) AS turns FROM placed
+      UNION ALL
+      SELECT c.conv_id, 0, 0, '', count(p.d) FROM convs c LEFT JOIN placed p USING (conv_id) GROUP BY c.conv_id
+    ),
+    nodes AS (
+      SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (turns = d), '')) AS ends_sha256
+      FROM paths GROUP BY path, d
+    ),
+    related AS (
+      SELECT n.path, n.d, coalesce(p.conv_id, NULL) AS parent_conv_id, n.conv_id, n.n_convs, n.size, n.ends_sha256,
+             (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.path[1:32 * n.d] = n.path) AS n_children
+      FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:32 * (n.d - 1)]
+    ),
+    above AS (SELECT path[1:32 * a] AS path, a AS d, n_children, (n_convs - 1) * size AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM related)),
+    below AS (SELECT path, d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY path, d)
+    SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+    FROM related JOIN below USING (path, d)
+    """,
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.with_digests(*trie.prefix_trie(rebuilt(spark, sf_dir)))

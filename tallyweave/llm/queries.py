@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, quality, repeats, secrets, substrings, toxicity, trie, url_filter
+from tallyweave.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, quality, repeats, secrets, spelling, substrings, toxicity, trie, url_filter
 from tallyweave.llm.labels import remainder
 from tallyweave.llm.mixing_sql import mix_sql
 from tallyweave.llm.registry import query, table
@@ -203,10 +203,12 @@ def op11_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crc32_sql(text: str) -> str:
-    """The unsigned crc32 of an ASCII text in SQL, bit by bit."""
-    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    """The unsigned crc32 of a text's UTF-8 bytes in SQL, bit by bit."""
+    digit = "(instr('0123456789ABCDEF', substr(hex({0}), {1}, 1)) - 1)"
+    byte = f"16 * {digit.format(text, '2 * i + 1')} + {digit.format(text, '2 * i + 2')}"
+    bits = f"flatten(list_transform(range(0, strlen({text})), lambda i: [CAST({byte} AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
     step = "CASE WHEN o >= 0 THEN xor(c, o) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
-    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}), lambda c, o: {step}), 4294967295)"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bits}), lambda c, o: {step}), 4294967295)"
 
 
 def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,3 +271,51 @@ def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.with_digests(*trie.prefix_trie(rebuilt(spark, sf_dir)))
+
+
+@query(
+    "op12_spelling_variants",
+    f"""
+    WITH RECURSIVE runs AS (
+      SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS raw FROM documents
+    ),
+    lowered AS (
+      SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+      FROM runs WHERE length(raw) >= 6
+    ),
+    once AS (SELECT id || w AS t, w, count(*) AS n FROM lowered GROUP BY ALL),
+    hashed AS (SELECT w, n, {crc32_sql("t")} AS h FROM once),
+    changed AS (
+      SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed
+    ),
+    vocab AS (
+      SELECT word, CAST(sum(n) AS BIGINT) AS n FROM changed WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+    ),
+    cut AS (
+      SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM vocab)
+    ),
+    near AS (
+      SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b USING (rest, i) WHERE a.word <> b.word
+      UNION
+      SELECT c.word, v.word, v.n FROM cut c JOIN vocab v ON v.word = c.rest
+      UNION
+      SELECT v.word, c.word, c.n FROM cut c JOIN vocab v ON v.word = c.rest
+    ),
+    best AS (
+      SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+    ),
+    formed AS (
+      SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+      FROM vocab v LEFT JOIN best USING (word)
+    ),
+    ways AS (
+      SELECT word, word AS root, 0 AS steps FROM formed
+      UNION ALL
+      SELECT w.word, f.form, w.steps + 1 FROM ways w JOIN formed f ON f.word = w.root WHERE f.form IS NOT NULL
+    ),
+    ends AS (SELECT word, arg_max(root, steps) AS root FROM ways GROUP BY word)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+    """,
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents"), spelling.drop_letters))

@@ -234,7 +234,7 @@ def _chains(batches):
     yield from out.batches(0)
 
 
-def _common(low: bytes, high: bytes) -> bytes:
+def _common(low, high):
     """The turns that the smallest and the largest suffix of a container, and so all of them, begin with."""
     k = 0
     while k < len(low) and low[k : k + RECORD] == high[k : k + RECORD]:

@@ -11,9 +11,9 @@ pseudorandom component of the signature. Points come in order of time and a proc
 is later than the largest minimum, so few points are drawn. The share of equal components is an unbiased
 estimate of the similarity.
 
-Bands of ROWS components make buckets. In two rounds every bucket names leaders, which are compared with all
-members of other classes; the second looks at buckets that still hold several classes only, with other leaders,
-besides with buckets of two bands. The rounds join most of what belongs together; what they leave is compared in
+Bands of ROWS components make buckets. In a first round every bucket names a leader, which is compared with all
+members of other classes; a second does so in small buckets that still hold several classes, with other leaders,
+besides in buckets of two bands. The rounds join most of what belongs together; what they leave is compared in
 full: in buckets that still hold several classes, all members outside the main class meet all members of other
 classes. If they are few they make pairs, else the bucket is dealt into parts of bounded size and each two parts
 are compared exactly as a product of matrices, which yields no more rows than classes. So every two documents that
@@ -42,9 +42,9 @@ THRESHOLD = 0.8
 COMPONENTS = 100
 ROWS = 4
 LEAST_ESTIMATE = 0.62
-#: Leader rounds, and leaders of a bucket at most.
+#: Leader rounds; after the first, only buckets with so many members at most name leaders.
 TURNS = 2
-LEADERS = 4
+LED_MEMBERS = 16
 #: Members outside a bucket's main class that make pairs with all others; more of them are compared in parts.
 OUTSIDERS = 8
 #: Bounds of a part: members, and copies of shingles.
@@ -233,12 +233,16 @@ def _bucket_rows(nodes: DataFrame) -> DataFrame:
     return both.select("key", F.xxhash64("key", "next").alias("pair_key"), "node")
 
 
-def _pairs(buckets: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the leaders of each bucket with the members of other classes. ``buckets`` has key, node, class."""
-    # at first the same nodes lead many buckets, which makes few pairs; later every bucket has leaders of its own
-    order = F.xxhash64("node", F.lit(turn), *(["key"] if turn else []))
-    slot = F.pmod(F.xxhash64("node", "key", F.lit(turn), F.lit("slot")), F.lit(min(2**turn, LEADERS)))
-    leaders = buckets.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("node", "class"), order).alias("leader"))
+def _pairs(buckets: DataFrame, turn: int, most: int | None = None) -> DataFrame:
+    """(a, b): the leader of each bucket with the members of other classes. ``buckets`` has key, node, class.
+
+    One order of all nodes names the leaders of a round, so that a node's buckets mostly have the same few leaders.
+    With ``most``, larger buckets make no pairs.
+    """
+    order = F.xxhash64("node", F.lit(turn))
+    leaders = buckets.groupBy("key").agg(F.min_by(F.struct("node", "class"), order).alias("leader"), F.count("*").alias("n"))
+    if most is not None:
+        leaders = leaders.filter(F.col("n") <= most)
     leaders = leaders.select("key", F.col("leader.node").alias("a"), F.col("leader.class").alias("of"))
     led = buckets.join(leaders, "key").filter(F.col("class") != F.col("of"))
     return led.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
@@ -404,15 +408,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             main = settle(_main(buckets), "main")
             pairs = _outsiders(buckets, main)
         else:
-            pairs = _pairs(buckets.select("key", "node", "class"), turn)
+            pairs = _pairs(buckets.select("key", "node", "class"), turn, LED_MEMBERS if turn else None)
         if turn == 1:  # smaller buckets find leaders that are more alike
-            pairs = pairs.union(_pairs(buckets.select(F.col("pair_key").alias("key"), "node", "class"), turn))
+            pairs = pairs.union(_pairs(buckets.select(F.col("pair_key").alias("key"), "node", "class"), turn, LED_MEMBERS))
         if turn:
             pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = settle(pairs, "pairs")
+        tested = pairs if tested is None else tested.union(pairs)
         likely = settle(_likely(pairs, nodes), "likely")
         found = _links(likely, sets)
         found = settle(found.union(_crowded(buckets, main, nodes, sets)) if last else found, "links")
-        tested = likely.select("a", "b") if tested is None else tested.union(likely.select("a", "b"))
         if not found.limit(1).count():
             continue
         links = found if links is None else links.union(found)

@@ -107,6 +107,17 @@ def test_crowd_of_edits_matches_all_pairs(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in got} == want
 
 
+@pytest.mark.parametrize("members", [500, 1_500])
+def test_crowd_makes_few_pairs(spark, monkeypatch, members):
+    """Candidate pairs grow with the members, not with the pairs of a crowd."""
+    judged, likely = [], near_dedup._likely
+    monkeypatch.setattr(near_dedup, "_likely", lambda pairs, nodes: judged.append(pairs.count()) or likely(pairs, nodes))
+    rows = crowd(members=members)
+    got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(rows)
+    assert sum(judged) <= 12.5 * members
+
+
 def test_true_pairs_of_low_estimate_are_compared(spark):
     # pairs of similarity 33/41 of which only 64 or 65 components of the signatures are equal
     rows = []

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.joins import join_counted
 from tallyweave.llm.words import RUN_BYTES, mix, powers
 from tallyweave.session import configure, settle
 
@@ -136,7 +137,8 @@ def _anchor_rows(batch, group, out, length: int, anchor: int):
 
 def _surroundings(batches, length: int, anchor: int):
     """The bytes around the anchors listed with each text."""
-    names = ["doc_id", "text_hash", "anchor", "around", "n", "place", "front", "back"]
+    names = ["doc_id", "text_hash", "anchor", "around", "n", "crowded", "place", "front", "back"]
+    kinds = {"crowded": pa.bool_(), "front": pa.int32(), "back": pa.int32()}
     for batch in batches:
         texts = batch.column("text")
         for row in range(batch.num_rows):
@@ -148,7 +150,7 @@ def _surroundings(batches, length: int, anchor: int):
                 [
                     pa.array([batch.column("doc_id")[row].as_py()] * len(listed), batch.column("doc_id").type),
                     pa.array([batch.column("text_hash")[row].as_py()] * len(listed), pa.int64()),
-                    *[pa.array(columns[k], pa.int32() if k in ("front", "back") else pa.int64()) for k in names[2:]],
+                    *[pa.array(columns[k], kinds.get(k, pa.int64())) for k in names[2:]],
                     pa.array(hulls, pa.binary()),
                 ],
                 [*names, "hull"],
@@ -249,35 +251,37 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         "anchors",
     )
     per_anchor = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("around").alias("low"), F.max("around").alias("high"))
-    repeated = per_anchor.filter("n >= 2").select("anchor", (F.col("low") != F.col("high")).alias("mixed"))
-    again = settle(found.join(repeated, "anchor"), "repeated")
+    repeated = settle(per_anchor.filter("n >= 2").select("anchor", F.col("n").alias("rows"), (F.col("low") != F.col("high")).alias("mixed")), "anchors")
+    again = settle(join_counted(found, repeated, ["anchor"], "rows", found.count()).drop("rows"), "repeated")
     place = F.struct("doc_id", "text_hash", "place", "front", "back")
     per_around = settle(
         again.groupBy("anchor", "around").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(place).alias("at")), "around"
     )
-    copied = again.join(per_around.filter("n >= 2").select("anchor", "around"), ["anchor", "around"])
+    copied = join_counted(again, per_around.filter("n >= 2").select("anchor", "around", "n"), ["anchor", "around"], "n", again.count())
     copied = copied.select(
         "doc_id", "text_hash", (F.col("place") - F.col("front")).alias("begin"), (F.col("place") + anchor + F.col("back")).alias("end")
     )
     mixed = per_around.filter("mixed").select("anchor", "around", "n", "at.*")
-    listed = mixed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "around", "n", "place", "front", "back")).alias("listed"))
+    kinds = mixed.count()
+    per_mixed = settle(mixed.groupBy("anchor").agg(F.count("*").alias("kinds")).withColumn("crowded", F.col("kinds") > hot), "kinds")
+    flagged = join_counted(mixed, per_mixed, ["anchor"], "kinds", kinds)
+    entry = F.struct("anchor", "around", "n", "crowded", "place", "front", "back")
+    listed = flagged.groupBy("doc_id", "text_hash").agg(F.collect_list(entry).alias("listed"))
     listed = listed.withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash"))
     hulls = settle(
         long_enough.join(listed, same).select("doc_id", "text_hash", "text", "listed").mapInArrow(
             lambda b: _surroundings(b, length, anchor),
-            f"{columns}, anchor bigint, around bigint, n bigint, place bigint, front int, back int, hull binary",
+            f"{columns}, anchor bigint, around bigint, n bigint, crowded boolean, place bigint, front int, back int, hull binary",
         ),
         "surroundings",
     )
-    # an anchor beyond the limit takes that many rows, so there are few of them
-    crowded = F.broadcast(mixed.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("anchor"))
-    shards = max(1, mixed.count() // SHARD_ROWS)
+    shards = max(1, kinds // SHARD_ROWS)
     expanded = (
-        hulls.join(crowded, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        hulls.filter("not crowded").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
         .groupBy("shard").applyInArrow(lambda t: _expanded(t, length, anchor), f"{columns}, begin bigint, end bigint")
     )
-    windows = hulls.join(crowded, "anchor").dropDuplicates(["anchor", "around"]).mapInArrow(
+    windows = hulls.filter("crowded").dropDuplicates(["anchor", "around"]).mapInArrow(
         lambda b: _windows(b, length, anchor), f"{columns}, anchor bigint, n bigint, window bigint, offset bigint, begin bigint"
     )
     # the place of the anchor is part of the key: one window may hold the anchor twice

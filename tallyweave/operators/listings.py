@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.functions.ranking import id_slice
 from tallyweave.functions.scalars import slug
 from tallyweave.schemas import MAX_PAGE_SIZE, PAGE_SIZE
+from tallyweave.sources import page_index
 
 
 def label_counts(labels: DataFrame, images: DataFrame, dataset_id: int | None = None) -> DataFrame:
@@ -70,19 +70,37 @@ def page_bounds(page: int, size: int = PAGE_SIZE) -> tuple[int, int]:
     return (page - 1) * size + 1, page * size
 
 
-def paginate_all(images: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
-    """That page of every (dataset, label) listing at once, ordered by id, with ``has_next``."""
+_LISTING = ["dataset_id", "label_id"]
+
+
+def _listed(images: DataFrame) -> DataFrame:
+    return images.filter(F.col("dataset_id").isNotNull() & F.col("label_id").isNotNull())
+
+
+def listing_index(images: DataFrame, range_rows: int = page_index.RANGE_ROWS) -> DataFrame:
+    """The order-statistic index of every (dataset, label) listing; store it once per snapshot with ``write_index``."""
+    return page_index.build_index(_listed(images), "image_id", _LISTING, range_rows)
+
+
+def paginate_all(images: DataFrame, page: int, size: int = PAGE_SIZE, index: DataFrame | None = None) -> DataFrame:
+    """That page of every (dataset, label) listing at once, ordered by id, with ``has_next``.
+
+    ``index`` is a stored ``listing_index`` of the same images; without it one is made.
+    """
     first, last = page_bounds(page, size)
-    groups = ["dataset_id", "label_id"]
-    listed = images.filter(F.col("dataset_id").isNotNull() & F.col("label_id").isNotNull())
-    rows = id_slice(listed, "image_id", groups, first, last, rank="position", total="total")
+    index = listing_index(images) if index is None else index
+    rows = page_index.slice_all(_listed(images), index, "image_id", _LISTING, first, last, "position", "total")
     return rows.withColumn("has_next", F.col("total") > last)
 
 
-def paginate(images: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of an already filtered listing, by rank, so that a deep page costs no more than the first."""
+def paginate(images: DataFrame, page: int, size: int = PAGE_SIZE, index: DataFrame | None = None) -> DataFrame:
+    """One page of an already filtered listing, by rank, so that a deep page costs no more than the first.
+
+    ``index`` is the part of a stored index that is about this listing; without it one is made.
+    """
     first, last = page_bounds(page, size)
-    return id_slice(images, "image_id", [], first, last).drop("rank").select(*images.columns).orderBy("image_id")
+    index = page_index.build_index(images, "image_id") if index is None else index
+    return page_index.slice_one(images, index, "image_id", first, last)
 
 
 def _edge(df: DataFrame, id_col: str, by: list[str], condition: Column | None, pick) -> DataFrame:

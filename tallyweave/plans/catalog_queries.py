@@ -1,5 +1,8 @@
 """Queries over the catalog: reads, filters, joins, counts, listings and quality rules."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators import filters as fl
@@ -9,7 +12,7 @@ from tallyweave.operators import quality
 from tallyweave.plans.registry import query
 from tallyweave.schemas import BACKBONES, ENTITIES, PRE_MODELS, STATUSES
 from tallyweave.session import scratch
-from tallyweave.sources import catalog, exports, ingest, sinks
+from tallyweave.sources import catalog, exports, ingest, page_index, sinks
 
 
 def studies(d):
@@ -448,6 +451,29 @@ def _(d):
     return ls.paginate(images, page=1, size=500)
 
 
+@query(
+    "f2_paginate_deep",
+    """WITH n AS (SELECT image_id, dataset_id, label_id, image_path, row_number() OVER (PARTITION BY label_id ORDER BY image_id) AS position,
+  count(*) OVER (PARTITION BY label_id) AS total FROM fx_image WHERE dataset_id IS NOT NULL)
+SELECT image_id, image_path, label_id, position FROM n WHERE position > 100 * (total // 200) AND position <= 100 * (total // 200) + 100""",
+)
+def _(d):
+    # the middle page of each label, read with a stored index of ranges of 500 rows
+    images = d.fx_image.filter("dataset_id IS NOT NULL").select("image_id", "image_path", "label_id")
+    path = scratch(d.spark, "page-index")
+    page_index.write_index(page_index.build_index(images, "image_id", ["label_id"], range_rows=500), path)
+    index = page_index.read_index(d.spark, path)
+    pages = []
+    for label in index.groupBy("label_id").agg(F.first("total").alias("total")).collect():  # one row a label of the demo
+        middle = label.total // 200
+        page = ls.paginate(
+            images.filter(F.col("label_id") == label.label_id), middle + 1, 100, index.filter(F.col("label_id") == label.label_id)
+        )
+        ranked = page.withColumn("position", 100 * middle + F.row_number().over(Window.partitionBy("label_id").orderBy("image_id")).cast("long"))
+        pages.append(ranked)
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query(
     "f3_last_completed_session",
     "SELECT * FROM fx_session WHERE session_id = (SELECT max(session_id) FROM fx_session WHERE status = 'Completed')",

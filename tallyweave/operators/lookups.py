@@ -132,11 +132,15 @@ def backbone_lookup(models: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def resolve_model(requests: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Fill a missing (null or 0) model id with the first default model; returns (resolved, rejected)."""
+    """Fill a missing (null or 0) model id with the first default model; returns (resolved, rejected).
+
+    A request is rejected if it names a model that does not exist, or none while there is no default.
+    """
     default = models.filter("is_default").agg(F.min("model_id").alias("model_id")).scalar()
     asked = F.when(F.col("model_id") != 0, F.col("model_id"))
     filled = requests.withColumn("model_id", F.coalesce(asked, default))
-    rejected = filled.filter(F.col("model_id").isNull()).withColumn(
-        "reason", F.lit("No default model found and 'model_id' is not provided.")
-    )
-    return filled.filter(F.col("model_id").isNotNull()), rejected
+    known = models.select("model_id").distinct().withColumn("_known", F.lit(True))
+    joined = filled.join(known, "model_id", "left").select(*requests.columns, "_known")
+    reason = F.when(F.col("model_id").isNull(), "no model named and no default model").otherwise("unknown model")
+    rejected = joined.filter(F.col("_known").isNull()).withColumn("reason", reason).drop("_known")
+    return joined.filter("_known").drop("_known"), rejected

@@ -99,18 +99,36 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     return collect(*found)
 
 
-def validate_session_requests(requests: DataFrame, studies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split requests into accepted and rejected-with-reason.
-
-    A study must be named and exist, and either ``hotdataset`` or ``dataset_id`` must be given
-    (0 counts as missing).
+def validate_session_requests(
+    requests: DataFrame, studies: DataFrame, datasets: DataFrame | None = None, models: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Split requests into accepted and rejected-with-reason; the first rule that a request breaks is its reason.
+
+    A study must be named and exist, and either ``hotdataset`` or ``dataset_id`` must be given (0 counts as missing).
+    With ``datasets`` (dataset_id, base), a dataset that is named must exist, and ``hotdataset`` needs a base dataset
+    to draw from; with ``models``, a model that is named (0 names none) must exist.
     """
-    known = studies.select("study_id", F.lit(True).alias("_known_study"))
     missing = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
-    reason = (
-        F.when(F.col("study_id").isNull(), "study_id is required.")
-        .when(F.col("_known_study").isNull(), "study_id does not exist.")
-        .when(missing("hotdataset") & missing("dataset_id"), "Either 'hotdataset' or 'dataset_id' must be provided.")
-    )
-    checked = requests.join(known, "study_id", "left").withColumn("reason", reason).drop("_known_study")
+    checked, found = requests, []
+
+    def look_up(table: DataFrame, key: str) -> Column:
+        nonlocal checked
+        found.append(f"_known_{key}")
+        checked = checked.join(table.select(key).distinct().withColumn(found[-1], F.lit(True)), key, "left")
+        return F.col(found[-1]).isNull()
+
+    # fixed values: texts that clients show
+    rules = [
+        (F.col("study_id").isNull(), "study_id is required."),
+        (look_up(studies, "study_id"), "study_id does not exist."),
+        (missing("hotdataset") & missing("dataset_id"), "Either 'hotdataset' or 'dataset_id' must be provided."),
+    ]
+    if datasets is not None:
+        rules.append((~missing("dataset_id") & look_up(datasets, "dataset_id"), "unknown dataset"))
+        bases = datasets.agg(F.count_if("base").alias("n")).scalar()
+        rules.append((~missing("hotdataset") & (bases == 0), "no base dataset to draw from"))
+    if models is not None:
+        rules.append((~missing("model_id") & look_up(models, "model_id"), "unknown model"))
+    reason = F.coalesce(*[F.when(broken, text) for broken, text in rules])
+    checked = checked.withColumn("reason", reason).drop(*found).select(*requests.columns, "reason")
     return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(F.col("reason").isNotNull())

@@ -348,12 +348,26 @@ def _(d):
 
 @query(
     "d8_resolve_model",
-    """SELECT request_id, coalesce(nullif(model_id, 0), (SELECT min(model_id) FROM fx_model WHERE is_default)) AS model_id FROM fx_request""",
+    """SELECT * FROM (SELECT request_id, coalesce(nullif(model_id, 0), (SELECT min(model_id) FROM fx_model WHERE is_default)) AS model_id
+  FROM fx_request) r WHERE model_id IN (SELECT model_id FROM fx_model)""",
 )
 def _(d):
     return lk.resolve_model(d.fx_request, d.fx_model)[0].select("request_id", "model_id")
 
 
+@query(
+    "d8_rejected",
+    """SELECT request_id, CASE WHEN named IS NULL THEN 'no model named and no default model' ELSE 'unknown model' END AS reason
+FROM (SELECT request_id, nullif(CASE WHEN request_id % 6 = 1 THEN model_id + 1000000 ELSE model_id END, 0) AS named FROM fx_request) r
+WHERE named IS NULL OR named NOT IN (SELECT model_id FROM fx_model WHERE NOT is_default)""",
+)
+def _(d):
+    # some requests name models that do not exist, and no model of this catalog is a default
+    named = F.when(F.col("request_id") % 6 == 1, F.col("model_id") + 1_000_000).otherwise(F.col("model_id"))
+    rejected = lk.resolve_model(d.fx_request.withColumn("model_id", named), d.fx_model.filter("not is_default"))[1]
+    return rejected.select("request_id", "reason")
+
+
 # ---- counts ----
 
 
@@ -571,6 +585,28 @@ def _(d):
     return accepted.select("request_id", "dataset_id", "hotdataset", "study_id")
 
 
+_UNKNOWN = """SELECT *, CASE WHEN request_id % 7 = 3 THEN dataset_id + 100000 ELSE dataset_id END AS asked,
+  CASE WHEN request_id % 11 = 5 THEN 999999 ELSE model_id END AS model FROM fx_request"""
+
+
+@query(
+    "h2_unknown_ids",
+    f"""SELECT request_id, reason FROM (SELECT request_id, CASE WHEN study_id IS NULL THEN 'study_id is required.'
+ WHEN study_id NOT IN (SELECT r_regionkey FROM region) THEN 'study_id does not exist.'
+ WHEN coalesce(hotdataset, 0) = 0 AND coalesce(asked, 0) = 0 THEN 'Either ''hotdataset'' or ''dataset_id'' must be provided.'
+ WHEN coalesce(asked, 0) <> 0 AND asked NOT IN (SELECT dataset_id FROM fx_dataset WHERE NOT base) THEN 'unknown dataset'
+ WHEN coalesce(hotdataset, 0) <> 0 THEN 'no base dataset to draw from'
+ WHEN coalesce(model, 0) <> 0 AND model NOT IN (SELECT model_id FROM fx_model) THEN 'unknown model' END AS reason FROM ({_UNKNOWN}) r) x
+WHERE reason IS NOT NULL""",
+)
+def _(d):
+    # some requests name datasets and models that do not exist; the catalog has no base dataset
+    asked = F.when(F.col("request_id") % 7 == 3, F.col("dataset_id") + 100_000).otherwise(F.col("dataset_id"))
+    model = F.when(F.col("request_id") % 11 == 5, F.lit(999_999)).otherwise(F.col("model_id"))
+    requests = d.fx_request.withColumns({"dataset_id": asked, "model_id": model})
+    return quality.validate_session_requests(requests, studies(d), d.fx_dataset.filter("not base"), d.fx_model)[1].select("request_id", "reason")
+
+
 @query("h2_rejected_requests", f"SELECT request_id, reason FROM ({_REQUEST}) r WHERE reason IS NOT NULL")
 def _(d):
     return quality.validate_session_requests(d.fx_request, studies(d))[1].select("request_id", "reason")

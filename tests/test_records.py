@@ -61,10 +61,12 @@ def test_status_and_upsert(spark):
 def test_model_default(spark):
     models = spark.createDataFrame([(1, False), (4, True), (2, True)], "model_id long, is_default boolean")
     requests = spark.createDataFrame([(1, 9), (2, 0), (3, None)], "request_id long, model_id long")
+    requests = requests.union(spark.createDataFrame([(4, 4)], requests.schema))
     good, bad = lk.resolve_model(requests, models)
-    assert {r.request_id: r.model_id for r in good.collect()} == {1: 9, 2: 2, 3: 2} and bad.count() == 0
+    assert {r.request_id: r.model_id for r in good.collect()} == {2: 2, 3: 2, 4: 4}
+    assert [(r.request_id, r.reason) for r in bad.collect()] == [(1, "unknown model")]
     good, bad = lk.resolve_model(requests, models.filter("model_id = 1"))
-    assert good.count() == 1 and {r.request_id for r in bad.collect()} == {2, 3}
+    assert good.count() == 0 and {r.request_id: r.reason.split()[0] for r in bad.collect()} == {1: "unknown", 2: "no", 3: "no", 4: "unknown"}
 
 
 def test_documents_round_trip(spark):
@@ -109,3 +111,16 @@ def test_request_validation(spark):
     good, bad = quality.validate_session_requests(requests, studies)
     assert {r.request_id for r in good.collect()} == {1, 2}
     assert {r.request_id: r.reason.split()[-1] for r in bad.collect()} == {3: "provided.", 4: "required.", 5: "exist."}
+
+
+def test_requests_name_what_exists(spark):
+    studies = spark.createDataFrame([(1,)], "study_id long")
+    datasets = spark.createDataFrame([(5, False), (6, False)], "dataset_id long, base boolean")
+    models = spark.createDataFrame([(3,)], "model_id long")
+    rows = [(1, 5, 0, 3, 1), (2, 7, 0, 3, 1), (3, 5, 50, 3, 1), (4, 6, None, 4, 1), (5, 6, None, 0, 1), (6, 6, None, None, 1)]
+    requests = spark.createDataFrame(rows, "request_id long, dataset_id long, hotdataset int, model_id long, study_id long")
+    good, bad = quality.validate_session_requests(requests, studies, datasets, models)
+    assert good.columns == requests.columns and {r.request_id for r in good.collect()} == {1, 5, 6}
+    assert {r.request_id: r.reason for r in bad.collect()} == {2: "unknown dataset", 3: "no base dataset to draw from", 4: "unknown model"}
+    based = datasets.union(spark.createDataFrame([(9, True)], datasets.schema))
+    assert 3 in {r.request_id for r in quality.validate_session_requests(requests, studies, based, models)[0].collect()}

@@ -48,19 +48,58 @@ def step_counts(split: DataFrame, batch: int, by: Sequence[str] = ()) -> DataFra
     )
 
 
+#: Rounds of the permutation, and the prime its hashes are taken by; numbers below it can be multiplied in 64 bits.
+SHUFFLE_ROUNDS = 24
+PRIME = 2_147_483_647
+
+
+def _round_keys(seed: object, number: Column, size: Column) -> Column:
+    """The keys of each round of one pass: a place to mirror at, a factor and an addend."""
+
+    def part(step: Column, first: int) -> Column:
+        text = F.md5(F.concat_ws(":", F.lit(str(seed)), number.cast("string"), step.cast("string")))
+        return F.conv(F.substring(text, first, 8), 16, 10).cast("long")
+
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(SHUFFLE_ROUNDS)),
+        lambda i: F.struct((part(i, 1) % size).alias("mirror"), (part(i, 9) % PRIME).alias("factor"), (part(i, 17) % PRIME).alias("addend")),
+    )
+
+
+def permuted(place: Column, size: Column, keys: Column) -> Column:
+    """Where a place (counted from 0) comes to lie in a keyed permutation of ``size`` places.
+
+    Swap-or-not: each round pairs places by mirroring, and a hash of the larger of a pair decides whether both swap.
+    Each round is its own inverse, so the whole is one to one for any size, and a row needs nothing but its place.
+    """
+
+    def step(x: Column, key: Column) -> Column:
+        other = (key["mirror"] - x + size) % size
+        h = (F.greatest(x, other) % PRIME * key["factor"] + key["addend"]) % PRIME
+        h = (h * h + key["addend"]) % PRIME
+        return F.when(F.shiftright(h, 12) % 2 == 1, other).otherwise(x)
+
+    return F.aggregate(keys, place, step)
+
+
 def batch_plan(training: DataFrame, epochs: int, batch: int, seed: object = SPLIT_SEED, id_col: str = "image_id") -> DataFrame:
     """(epoch, step, slot, image) in stream order.
 
-    Every pass reshuffles all images and cuts them into ceil(n / batch) batches, the last one short.
-    The passes form one endless stream of which each epoch takes floor(n / batch) batches, so a
-    short batch and whatever follows it run into the next epoch.
+    Every pass reshuffles all images and cuts them into ceil(n / batch) batches, the last one short. The passes form
+    one endless stream of which each epoch takes floor(n / batch) batches, so a short batch and whatever follows it
+    run into the next epoch. Images are ranked once, by their seeded hash; each pass permutes the ranks, which is a
+    map over the rows, however many epochs there are.
     """
-    # every pass has all images, so its size comes with the ranks
     n = F.col("_n")
     steps, per_pass = F.floor(n / batch), F.ceil(n / batch)
-    passes = training.select(id_col, F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("_pass"))
-    ranked = shuffled_rank(passes, shuffle_key(seed, "_pass", id_col), id_col, ["_pass"], rank="_rank", total="_n")
-    nth = ranked.withColumn("_nth", (F.col("_pass") - 1) * per_pass + F.floor((F.col("_rank") - 1) / batch))
+    ranked = shuffled_rank(training.select(id_col), shuffle_key(seed, id_col), id_col, [], rank="_rank", total="_n")
+    # the keys of all passes are one short array for every row
+    whole = training.agg(F.count(F.lit(1)).alias("n"))
+    keys = F.transform(F.sequence(F.lit(1), F.lit(epochs)), lambda i: _round_keys(seed, i, F.greatest(F.col("n"), F.lit(1))))
+    ranked = ranked.withColumn("_keys", whole.select(keys.alias("keys")).scalar())
+    passes = ranked.select(id_col, "_rank", "_n", F.posexplode("_keys").alias("_pass", "_round_keys"))
+    placed = passes.withColumn("_rank", permuted(F.col("_rank") - 1, n, F.col("_round_keys")) + 1)
+    nth = placed.withColumn("_nth", F.col("_pass") * per_pass + F.floor((F.col("_rank") - 1) / batch))
     used = nth.filter(F.col("_nth") < steps * epochs)
     # fewer images than one batch leave no step, and no row that would divide by zero
     size = F.nullif(steps, F.lit(0))

@@ -13,6 +13,16 @@ s AS (SELECT image_id, CASE WHEN rk > n - floor(n * 0.2E0) THEN 'validation' ELS
 """
 
 
+# Rounds of the permutation: the place a goes to its mirror image if a hash of the larger of both is odd.
+_OTHER = "((y.m - x.a + t.n) % t.n)"
+_HASH = f"((greatest(x.a, {_OTHER}) % {pp.PRIME} * y.f + y.a) % {pp.PRIME})"
+_SWAP = f"CASE WHEN ((({_HASH} * {_HASH} + y.a) % {pp.PRIME}) >> 12) % 2 = 1 THEN {_OTHER} ELSE x.a END"
+_KEYS = f""", size AS (SELECT count(*) AS n FROM s WHERE split = 'training'),
+hashed AS (SELECT pass, i, n, md5(concat('123:', pass, ':', i)) AS h FROM size, (SELECT unnest(range(1, 4)) AS pass) a, (SELECT unnest(range(1, {pp.SHUFFLE_ROUNDS + 1})) AS i) b),
+keyed AS (SELECT pass, list({{'m': CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % n, 'f': CAST(('0x' || substr(h, 9, 8)) AS BIGINT) % {pp.PRIME},
+  'a': CAST(('0x' || substr(h, 17, 8)) AS BIGINT) % {pp.PRIME}}} ORDER BY i) AS keys FROM hashed GROUP BY pass)"""
+
+
 def _split(d):
     return pp.train_val_split(d.fx_image.select("image_id"), 0.2)
 
@@ -51,11 +61,12 @@ def _(d):
 @query(
     "i3_batch_plan",
     _SPLIT
-    + """, t AS (SELECT image_id, count(*) OVER () AS n FROM s WHERE split = 'training'),
-p AS (SELECT image_id, n, pass, row_number() OVER (PARTITION BY pass ORDER BY md5(concat('123:', CAST(pass AS VARCHAR), ':', CAST(image_id AS VARCHAR))), image_id) AS rk
-  FROM t, (SELECT 1 AS pass UNION ALL SELECT 2 UNION ALL SELECT 3) x),
-g AS (SELECT image_id, rk, n // 13 AS steps, (pass - 1) * ((n + 12) // 13) + (rk - 1) // 13 AS nth FROM p)
-SELECT CAST(nth // steps + 1 AS INT) AS epoch, nth % steps + 1 AS step, (rk - 1) % 13 + 1 AS slot, image_id FROM g WHERE nth < 3 * steps""",
+    + f"""{_KEYS}, t AS (SELECT image_id, row_number() OVER (ORDER BY md5(concat('123:', CAST(image_id AS VARCHAR))), image_id) - 1 AS r, count(*) OVER () AS n
+  FROM s WHERE split = 'training'),
+p AS (SELECT t.image_id, t.n, k.pass, list_reduce(list_prepend({{'m': CAST(0 AS BIGINT), 'f': CAST(0 AS BIGINT), 'a': CAST(t.r AS BIGINT)}}, k.keys),
+  lambda x, y: {{'m': CAST(0 AS BIGINT), 'f': CAST(0 AS BIGINT), 'a': {_SWAP}}}).a AS rk FROM t, keyed k),
+g AS (SELECT image_id, rk, n // 13 AS steps, (pass - 1) * ((n + 12) // 13) + rk // 13 AS nth FROM p)
+SELECT CAST(nth // steps + 1 AS INT) AS epoch, nth % steps + 1 AS step, rk % 13 + 1 AS slot, image_id FROM g WHERE nth < 3 * steps""",
 )
 def _(d):
     # 13 does not divide the number of images, so the short batches move the epoch borders

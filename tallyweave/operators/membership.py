@@ -176,7 +176,8 @@ def sample_copy(
     drawn = settle(drawn, "sample")
     copies = copy_rows(drawn.withColumns({c: F.lit(False) for c in FLAGS}), images)
     made = requests.join(short.select("new_dataset_id").distinct(), "new_dataset_id", "left_anti")
-    suffix = F.substring(shuffle_key(seed, "dataset_id"), 1, 6)
+    # the new id is part of the key, so that a later call with the same seed and base names its dataset otherwise
+    suffix = F.substring(shuffle_key(seed, "dataset_id", "new_dataset_id"), 1, 6)
     new_sets = made.select(
         F.col("new_dataset_id").alias("dataset_id"),
         F.lit(None).cast("long").alias("study_id"),

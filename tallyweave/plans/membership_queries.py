@@ -176,9 +176,10 @@ def _(d):
 
 @query(
     "g1_sampled_datasets",
-    """SELECT (SELECT max(dataset_id) FROM fx_dataset) + row_number() OVER (ORDER BY dataset_id) AS dataset_id,
-  concat('Dataset 5-', substr(md5(concat('7:', CAST(dataset_id AS VARCHAR))), 1, 6)) AS name, resolution, base AND FALSE AS base, for_testing
-FROM fx_dataset WHERE dataset_id IN (SELECT max(dataset_id) FROM fx_dataset WHERE base GROUP BY study_id)""",
+    """SELECT new_id AS dataset_id, concat('Dataset 5-', substr(md5(concat('7:', dataset_id, ':', new_id)), 1, 6)) AS name,
+  resolution, base AND FALSE AS base, for_testing
+FROM (SELECT *, (SELECT max(dataset_id) FROM fx_dataset) + row_number() OVER (ORDER BY dataset_id) AS new_id FROM fx_dataset
+  WHERE dataset_id IN (SELECT max(dataset_id) FROM fx_dataset WHERE base GROUP BY study_id)) x""",
 )
 def _(d):
     edit = mb.sample_copy(images(d), d.fx_dataset, d.fx_dataset_label, 5, SEED, per_study=True)

@@ -130,6 +130,10 @@ def test_sample_copy(spark, images, datasets, labels):
     assert edit.images.count() == images.count() + 2
     new = edit.datasets.first()
     assert new.name.startswith("Dataset 1-") and len(new.name) == 16 and new.resolution == "512" and not new.for_testing
+    # a second call with the same seed and base gives another name
+    known = datasets.filter("dataset_id <= 4").unionByName(edit.datasets.select(*datasets.columns), allowMissingColumns=True)
+    again = mb.sample_copy(images, known, labels, 1, seed=3).datasets.first()
+    assert again.dataset_id == new.dataset_id + 1 and again.name != new.name
     # the last base of any study lacks images
     assert mb.sample_copy(images, datasets, labels, 1, seed=3).changes.count() == 0
 

@@ -215,6 +215,18 @@ def _quotas(requests: DataFrame, request_labels: DataFrame) -> DataFrame:
     )
 
 
+def _made(requests: DataFrame, request_labels: DataFrame, short: DataFrame, for_testing: bool) -> dict[str, DataFrame]:
+    """The dataset rows of the requests that were not refused, and their label links.
+
+    Name, description and resolution are the request's, where it has such columns.
+    """
+    made = requests.join(short.select(F.col("new_dataset_id").alias("dataset_id")).distinct(), "dataset_id", "left_anti")
+    texts = [(F.col(c) if c in requests.columns else F.lit(None).cast("string")).alias(c) for c in ("name", "description", "resolution")]
+    rows = made.select("dataset_id", "study_id", *texts, F.lit(False).alias("base"), F.lit(for_testing).alias("for_testing"))
+    links = request_labels.select("dataset_id", "label_id").distinct().join(made.select("dataset_id"), "dataset_id", "left_semi")
+    return {"datasets": rows, "dataset_labels": links}
+
+
 def make_testing_set(
     images: DataFrame, datasets: DataFrame, requests: DataFrame, request_labels: DataFrame, seed: object
 ) -> Edit:
@@ -223,12 +235,12 @@ def make_testing_set(
     ``requests`` has (dataset_id of the new set, study_id, n) and ``request_labels`` its
     (dataset_id, label_id). Images already used for testing are left out; use for training is not
     looked at. Each request is all-or-nothing; several requests of one study are served in the order of
-    their dataset ids, each from what the earlier ones left.
+    their dataset ids, each from what the earlier ones left. The new dataset rows and label links come along.
     """
     pool = _request_pool(_study_images(images.filter(~F.col("used_for_testing")), datasets, F.col("base")), requests)
     drawn, short = _draw(pool, _quotas(requests, request_labels), "_study", "new_dataset_id", seed)
     changes = _changes(drawn, F.col("new_dataset_id"), testing=F.lit(True))
-    return _moved(images, changes, rejected=short)
+    return _moved(images, changes, rejected=short, **_made(requests, request_labels, short, True))
 
 
 def make_training_set(
@@ -274,7 +286,7 @@ def make_training_set(
         refused = short.select("new_dataset_id").distinct()
         chosen = chosen.unionByName(carried.join(refused, "new_dataset_id", "left_anti").select(*columns))
     changes = _changes(chosen, F.col("new_dataset_id"), training=F.lit(True))
-    return _moved(images, changes, rejected=short, extra={"surplus_requests": surplus})
+    return _moved(images, changes, rejected=short, extra={"surplus_requests": surplus}, **_made(served, request_labels, short, False))
 
 
 def move_random(

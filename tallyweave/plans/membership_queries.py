@@ -78,6 +78,22 @@ def _(d):
     return _testing_set(d).rejected.withColumn("new_dataset_id", F.col("new_dataset_id").cast("long"))
 
 
+def _new_sets(edit):
+    rows = edit.datasets.join(edit.dataset_labels, "dataset_id")
+    return rows.select(F.col("dataset_id").cast("long"), F.col("study_id").cast("long"), F.col("label_id").cast("long"), "base", "for_testing")
+
+
+_NEW_SETS = """SELECT CAST(g.dataset_id AS BIGINT) AS dataset_id, CAST(g.study_id AS BIGINT) AS study_id, CAST(gl.label_id AS BIGINT) AS label_id,
+  FALSE AS base, {testing} AS for_testing
+FROM fx_generate g JOIN (SELECT DISTINCT dataset_id, label_id FROM fx_generate_label) gl ON gl.dataset_id = g.dataset_id
+WHERE g.dataset_id NOT IN (SELECT target FROM short)"""
+
+
+@query("g2_new_datasets", _TESTING + _NEW_SETS.format(testing="TRUE"))
+def _(d):
+    return _new_sets(_testing_set(d))
+
+
 _FRESH = "NOT i.used_for_training AND NOT i.used_for_testing"
 _TRAINING_MOVES = """SELECT image_id, CAST(dataset_id AS BIGINT) AS old_dataset_id, CAST(target AS BIGINT) AS new_dataset_id,
   TRUE AS used_for_training, used_for_testing FROM """
@@ -88,6 +104,11 @@ def _(d):
     return _moves(mb.make_training_set(images(d), d.fx_dataset, *_requests(d), SEED))
 
 
+@query("g3_new_datasets", _sample_sql(_FRESH) + _NEW_SETS.format(testing="FALSE"))
+def _(d):
+    return _new_sets(mb.make_training_set(images(d), d.fx_dataset, *_requests(d), SEED))
+
+
 # Three requests in every study for half of the usual number: each takes the next ranks, if all labels last.
 def _three_sql(pool: str) -> str:
     return f"""WITH want AS (SELECT DISTINCT g.study_id, gl.label_id, greatest(1, CAST(floor(g.n / 2.0E0) AS BIGINT)) AS m FROM fx_generate g

@@ -250,3 +250,16 @@ def test_pages(spark, images):
         rows[r.dataset_id, r.label_id].append((r.image_id, r.has_next))
     assert rows[1, 1] == [(1, True), (2, True)] and rows[1, 2] == [(5, False), (6, False)]
     assert [r.image_id for r in ls.paginate(images, 2, 5).collect()] == [6, 7, 8, 9, 10]
+
+
+def test_new_sets_carry_their_texts_and_labels(spark, images, datasets):
+    base = datasets.filter("base").orderBy("dataset_id").first()
+    label = images.filter(f"dataset_id = {base.dataset_id}").first().label_id
+    requests = spark.createDataFrame(
+        [(base.study_id, 900, 1, "small"), (base.study_id, 901, 10**6, "large")], "study_id long, dataset_id long, n long, name string"
+    )
+    links = spark.createDataFrame([(900, label), (900, label), (901, label)], "dataset_id long, label_id long")
+    edit = mb.make_testing_set(images.withColumn("used_for_testing", F.lit(False)), datasets, requests, links, 7)
+    rows = [(r.dataset_id, r.study_id, r["name"], r.description, r.base, r.for_testing) for r in edit.datasets.collect()]
+    assert rows == [(900, base.study_id, "small", None, False, True)]
+    assert [tuple(r) for r in edit.dataset_labels.collect()] == [(900, label)]

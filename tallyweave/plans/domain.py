@@ -75,6 +75,10 @@ SELECT l_suppkey AS test_id, l_orderkey AS image_id, lower(p_type) AS true_label
 FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "fx_feature": """
 SELECT vec_id AS image_id, embedding AS features, label AS class_idx, concat('class_', CAST(label AS STRING)) AS label_slug FROM embeddings""",
+    # A feature vector for every image, the vectors in turn; some images of study 4 have none.
+    "fx_image_feature": """
+SELECT i.image_id, f.features FROM (SELECT image_id, study_id, image_id % (SELECT count(*) FROM embeddings) AS vec FROM fx_image) i
+JOIN fx_feature f ON f.image_id = i.vec WHERE NOT (i.study_id = 4 AND i.image_id % 97 = 1)""",
     # When each session was first and last heard of, for the listings and durations.
     "fx_session_time": """
 SELECT user_id AS session_id, min(ts) AS created_at, max(ts) AS updated_at FROM events GROUP BY user_id""",

@@ -46,6 +46,7 @@ def load_all() -> dict[str, Entry]:
         raster_queries,
         scalar_queries,
         stream_queries,
+        training_queries,
     )
 
     return REGISTRY

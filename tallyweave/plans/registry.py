@@ -42,6 +42,7 @@ def load_all() -> dict[str, Entry]:
         evaluation_queries,
         head_queries,
         membership_queries,
+        overlay_queries,
         preparation_queries,
         raster_queries,
         scalar_queries,

@@ -98,6 +98,34 @@ def _(d):
     )
 
 
+# Every batch arrives twice; ids go on without gaps in an order by hash.
+@query(
+    "a6_epoch_batches",
+    """WITH b AS (SELECT e.*, CASE WHEN e.session_id IN (SELECT session_id FROM fx_session) THEN 1 ELSE 2 END AS nth FROM fx_epoch e)
+SELECT row_number() OVER (ORDER BY nth, md5(concat('epoch:', session_id, ':', number)), session_id, number) AS epoch_id, concat('part-', nth) AS batch,
+  session_id, number, val_loss FROM b""",
+)
+def _(d):
+    path = scratch(d.spark, "epoch-batches")
+    known = d.fx_session.select("session_id")
+    for batch, how in (("part-1", "left_semi"), ("part-1", "left_semi"), ("part-2", "left_anti"), ("part-1", "left_semi"), ("part-2", "left_anti")):
+        sinks.append_batch(d.fx_epoch.join(known, "session_id", how), path, "epoch", batch)
+    return sinks.read_batches(d.spark, path, "epoch").select("epoch_id", "batch", "session_id", "number", "val_loss")
+
+
+@query(
+    "a6_result_batches",
+    """SELECT row_number() OVER (ORDER BY test_id % 2, md5(concat('result:', test_id, ':', image_id)), test_id, image_id, true_label, prediction, confidence) AS result_id,
+  CAST(test_id % 2 AS VARCHAR) AS batch, test_id, image_id, true_label, prediction, confidence FROM fx_result""",
+)
+def _(d):
+    path = scratch(d.spark, "result-batches")
+    for n in (0, 1, 0):
+        sinks.append_batch(d.fx_result.filter(F.col("test_id") % 2 == n), path, "result", str(n))
+    stored = sinks.read_batches(d.spark, path, "result")
+    return stored.select("result_id", "batch", "test_id", "image_id", "true_label", "prediction", "confidence")
+
+
 # ---- filters ----
 
 

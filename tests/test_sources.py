@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import quality
@@ -102,6 +103,28 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "results")).first().grad_cam is None
 
 
+def test_a_batch_is_appended_once_and_ids_have_no_gaps(spark, tmp_path):
+    path = str(tmp_path / "batches")
+    make = lambda n, first: spark.range(first, first + n).select(F.lit(1).alias("session_id"), F.col("id").cast("int").alias("number"), F.rand(1).alias("loss"))
+    assert sinks.read_batches(spark, path, "epoch").count() == 0
+    assert sinks.append_batch(make(40, 0), path, "epoch", "a")
+    first = {r.number: r.epoch_id for r in sinks.read_batches(spark, path, "epoch").collect()}
+    assert sorted(first.values()) == list(range(1, 41))
+    assert not sinks.append_batch(make(40, 0), path, "epoch", "a")
+    assert sinks.append_batch(make(0, 0), path, "epoch", "nothing") and not sinks.append_batch(make(5, 0), path, "epoch", "nothing")
+    # a writer that died left rows without a commit: they are not read, and the batch is written over
+    make(7, 100).withColumn("epoch_id", F.lit(41).cast("long")).write.parquet(f"{path}/rows/batch=007")
+    assert sinks.read_batches(spark, path, "epoch").count() == 40
+    assert sinks.append_batch(make(10, 100).repartition(5), path, "epoch", "007")
+    stored = sinks.read_batches(spark, path, "epoch").collect()
+    assert sorted(r.epoch_id for r in stored) == list(range(1, 51)) and {r.batch for r in stored} == {"a", "007"}
+    other = str(tmp_path / "others")
+    sinks.append_batch(make(40, 0).repartition(7), other, "epoch", "a")
+    assert {r.number: r.epoch_id for r in sinks.read_batches(spark, other, "epoch").collect()} == first
+    with pytest.raises(ValueError):
+        sinks.append_batch(make(1, 0), path, "epoch", "../x")
+
+
 def test_weights_are_replaced_per_session(spark, tmp_path):
     path = str(tmp_path / "weights")
     rows = [(1, "one", 0, "a", [1.0, 2.0], 0.5), (2, "two", 0, "a", [3.0, 4.0], 0.5)]

@@ -191,11 +191,8 @@ def sample_copy(
     return _copied(images, copies, rejected=short, datasets=new_sets, dataset_labels=links)
 
 
-def _one_per_study(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first request of each study, and the others."""
-    first = requests.groupBy("study_id").agg(F.min("dataset_id").alias("dataset_id"))
-    served = requests.join(first, ["study_id", "dataset_id"], "left_semi")
-    return served, requests.join(first, ["study_id", "dataset_id"], "left_anti")
+def _first_per_study(requests: DataFrame) -> DataFrame:
+    return requests.groupBy("study_id").agg(F.min("dataset_id").alias("dataset_id"))
 
 
 def _study_images(images: DataFrame, datasets: DataFrame, keep: Column) -> DataFrame:
@@ -255,22 +252,21 @@ def make_training_set(
 
     Several requests of one study are served in the order of their dataset ids, each from what the earlier
     ones left. With ``prior="latest"`` all images of the study's previous training set come along first and
-    the label is topped up to n; the carry-over is never cut, and as it can go to one set only, further requests
-    of the study are listed in ``extra["surplus_requests"]``. ``prior=None`` starts empty, which is
+    the label is topped up to n. The carry-over is never cut, and goes to the study's first request only (to none, if that
+    one is refused); the others start empty. ``prior=None`` starts empty, which is
     what happens when the newest training set is the new one itself. Candidates come from the
     study's base datasets, unused for training and for testing. An image's own testing flag decides the
     latter, because an image of a base dataset of the study is among the study's test-used images
     exactly when it is flagged; no anti join is needed.
     """
-    served, surplus = _one_per_study(requests) if prior == "latest" else (requests, requests.limit(0))
-    quotas = _quotas(served, request_labels)
+    quotas = _quotas(requests, request_labels)
     fresh = images.filter(~F.col("used_for_training") & ~F.col("used_for_testing"))
-    pool = _request_pool(_study_images(fresh, datasets, F.col("base")), served)
+    pool = _request_pool(_study_images(fresh, datasets, F.col("base")), requests)
     carried = None
     if prior == "latest":
-        older = latest_training_dataset(datasets, exclude=served)
+        older = latest_training_dataset(datasets, exclude=requests)
         sources = older.join(
-            served.select("study_id", F.col("dataset_id").alias("new_dataset_id")), "study_id"
+            _first_per_study(requests).select("study_id", F.col("dataset_id").alias("new_dataset_id")), "study_id"
         ).select("dataset_id", "new_dataset_id")
         sources = settle(sources, "sources")
         carried = images.join(sources, "dataset_id").join(quotas, ["new_dataset_id", "label_id"], "left_semi")
@@ -286,7 +282,7 @@ def make_training_set(
         refused = short.select("new_dataset_id").distinct()
         chosen = chosen.unionByName(carried.join(refused, "new_dataset_id", "left_anti").select(*columns))
     changes = _changes(chosen, F.col("new_dataset_id"), training=F.lit(True))
-    return _moved(images, changes, rejected=short, extra={"surplus_requests": surplus}, **_made(served, request_labels, short, False))
+    return _moved(images, changes, rejected=short, **_made(requests, request_labels, short, False))
 
 
 def move_random(

@@ -161,6 +161,33 @@ def _(d):
     return _moves(edit)
 
 
+# A second request in every study, for two of each label: it takes the ranks after the first one's, without a carry-over.
+@query(
+    "g3_carry_over_and_second_request",
+    f"""WITH want AS (SELECT q.study_id, gl.label_id, greatest(q.n - (SELECT count(*) FROM fx_image c WHERE c.dataset_id = q.study_id * 10 + 2 AND c.label_id = gl.label_id), 0) AS n
+  FROM fx_generate_carry q JOIN fx_generate_label gl ON gl.dataset_id = q.dataset_id),
+pool AS (SELECT q.study_id, q.label_id, q.n, i.image_id, i.dataset_id, i.used_for_testing, row_number() OVER (PARTITION BY q.study_id, q.label_id ORDER BY {_ORDER.format(a='i')}) AS rk
+  FROM want q JOIN fx_dataset d ON d.study_id = q.study_id AND d.base JOIN fx_image i ON i.dataset_id = d.dataset_id AND i.label_id = q.label_id WHERE {_FRESH}),
+sizes AS (SELECT q.study_id, q.label_id, q.n, (SELECT count(*) FROM pool p WHERE p.study_id = q.study_id AND p.label_id = q.label_id) AS available FROM want q),
+one AS (SELECT study_id, min(CASE WHEN available >= n THEN 1 ELSE 0 END) AS first FROM sizes GROUP BY ALL),
+two AS (SELECT s.study_id, min(CASE WHEN s.available - o.first * s.n >= 2 THEN 1 ELSE 0 END) AS second FROM sizes s JOIN one o ON o.study_id = s.study_id GROUP BY ALL)
+"""
+    + _TRAINING_MOVES
+    + """(SELECT p.image_id, p.dataset_id, CASE WHEN o.first = 1 AND p.rk <= p.n THEN 100 ELSE 200 END + p.study_id AS target, p.used_for_testing
+  FROM pool p JOIN one o ON o.study_id = p.study_id JOIN two t ON t.study_id = p.study_id
+  WHERE (o.first = 1 AND p.rk <= p.n) OR (t.second = 1 AND p.rk > o.first * p.n AND p.rk <= o.first * p.n + 2)
+UNION ALL SELECT i.image_id, i.dataset_id, 100 + q.study_id, i.used_for_testing FROM want q JOIN one o ON o.study_id = q.study_id AND o.first = 1
+  JOIN fx_image i ON i.dataset_id = q.study_id * 10 + 2 AND i.label_id = q.label_id) m""",
+)
+def _(d):
+    datasets = settle(d.fx_dataset_dated, "datasets")
+    requests, labels = _requests(d, "fx_generate_carry")
+    later = F.col("dataset_id") + 100
+    requests = settle(requests.unionByName(requests.withColumns({"dataset_id": later, "n": F.lit(2).cast("long")})), "requests")
+    labels = settle(labels.unionByName(labels.withColumn("dataset_id", later)), "request-labels")
+    return _moves(mb.make_training_set(images(d), datasets, requests, labels, SEED, prior="latest"))
+
+
 # ---- copies by sample ----
 
 _COPY_COLUMNS = "image_id, source_image_id, dataset_id, image_path, label_id, used_for_training, used_for_testing"

@@ -1,8 +1,7 @@
 """Nested documents and key lookups.
 
 One-to-many sides are aggregated to their key before joining, so no join fans out. Join
-strategies are left to adaptive execution, which broadcasts by measured size; only the fixed
-backbone list (50 rows) carries a hint.
+strategies are left to adaptive execution, which broadcasts by measured size.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.functions.prefixes import prefixes_of
 from tallyweave.functions.scalars import basename
 from tallyweave.schemas import BACKBONES, DEFAULT_PIXELS
 
@@ -80,9 +80,9 @@ def match_by_filename(sources: DataFrame, base_images: DataFrame, scope: str, mo
 
     ``sources`` has (scope, image_id, image_path) and so has ``base_images``. In ``suffix`` mode a base
     path matches when it *ends with* the source's file name. A file name holds no slash, so such a
-    match lies inside the base file name: each base row is expanded to the suffixes of its own
-    file name (no longer than a file name), counted per suffix, and joined by equality. Neither mode forms
-    pairs: the base side has one row per name when it meets the sources.
+    match lies inside the base file name: names are reversed and met in one sorted pass (see
+    ``prefixes_of``), whose rows are at most the names and the distinct names asked for. An empty file name
+    matches nothing then. Neither mode forms pairs: the base side has one row per name when it meets the sources.
 
     Returns (scope, image_id, file_name, matches, base_image_id); no match gives 0 and a null id.
     """
@@ -94,19 +94,16 @@ def match_by_filename(sources: DataFrame, base_images: DataFrame, scope: str, mo
     if mode == "basename":
         candidates = named
     elif mode == "suffix":
-        # the lengths that file names of sources have: at most as many as a path has characters
-        lengths = wanted.agg(F.array_sort(F.collect_set(F.length("file_name"))).alias("lengths")).scalar()
-        expanded = (
-            named.withColumnRenamed("file_name", "_name")
-            .select(scope, "matches", "base_image_id", "_name", F.explode(lengths).alias("_length"))
-            .filter((F.col("_length") > 0) & (F.col("_length") <= F.length("_name")))
-            .select(scope, "matches", "base_image_id", F.right("_name", F.col("_length")).alias("file_name"))
-        )
-        # suffixes no source asks for go before they are added up
-        asked = wanted.select(scope, "file_name").distinct()
+        # read backwards, a suffix is a prefix; "found" holds every asked name that ends the base name
+        backwards = named.withColumn("_backwards", F.reverse("file_name")).drop("file_name")
+        asked = wanted.select(scope, F.reverse("file_name").alias("_asked"))
         candidates = (
-            expanded.join(asked, [scope, "file_name"], "left_semi")
-            .groupBy(scope, "file_name")
+            prefixes_of(backwards, asked, [scope], "_backwards", "_asked", "_found")
+            # names that answer the same questions are added up first, then each question gets its share
+            .groupBy(scope, "_found")
+            .agg(F.sum("matches").alias("matches"), F.min("base_image_id").alias("base_image_id"))
+            .withColumn("_asked", F.explode("_found"))
+            .groupBy(scope, F.reverse("_asked").alias("file_name"))
             .agg(F.sum("matches").alias("matches"), F.min("base_image_id").alias("base_image_id"))
         )
     else:

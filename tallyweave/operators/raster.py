@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.ranking import uniform
 from tallyweave.schemas import AUGMENTATION_FLAGS
 from tallyweave.session import settle
+from tallyweave.sources.ingest import below, class_of
 
 RASTER = "image_id long, h int, w int, c int, px array<float>"
 # Pixels of one block: with Spark's own limit on the bytes of an Arrow batch it bounds a task's working memory.
@@ -56,10 +57,29 @@ def map_rasters(rasters: DataFrame, kernel: Callable[[np.ndarray, pd.DataFrame],
     return rasters.mapInPandas(run, RASTER + (f", {extra}" if extra else ""))
 
 
+def _image_files(spark: SparkSession, root: str) -> DataFrame:
+    """Spark's image source over a folder, with each file's class: the first folder below ``root``, null beside them."""
+    image = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(root)
+    # the source gives encoded addresses, in which a plus stands for itself
+    path = F.url_decode(F.replace(F.col("image.origin"), F.lit("+"), F.lit("%2B")))
+    label = class_of(below(spark, root, path))
+    return image.select("image.*", path.alias("path"), label.alias("label"))
+
+
+def unreadable_images(spark: SparkSession, root: str) -> DataFrame:
+    """(path, label, reason) of the files below ``root`` that cannot be decoded; ``read_images`` returns all others.
+
+    Files without any byte are in neither: Spark's file sources skip them.
+    """
+    return _image_files(spark, root).filter("height < 0").select("path", "label", F.lit("not a readable image").alias("reason"))
+
+
 def read_images(spark: SparkSession, root: str) -> DataFrame:
-    """Decode a labelled folder with Spark's image source: (path, label, h, w, c, px) in RGB(A) order."""
-    image = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root)
-    flat = image.select("image.*").withColumn("label", F.url_decode(F.element_at(F.split("origin", "/"), -2)))
+    """Decode a labelled folder with Spark's image source: (path, label, h, w, c, px) in RGB(A) order.
+
+    Files that cannot be decoded are listed by ``unreadable_images``.
+    """
+    flat = _image_files(spark, root).filter("height >= 0").drop("origin")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -68,7 +88,7 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
                 px = np.frombuffer(r.data, dtype=np.uint8).reshape(r.height, r.width, r.nChannels)
                 if r.nChannels >= 3:  # stored blue first
                     px = px[:, :, [2, 1, 0] + list(range(3, r.nChannels))]
-                rows.append((r.origin, r.label, r.height, r.width, r.nChannels, px.ravel().astype(np.float32)))
+                rows.append((r.path, r.label, r.height, r.width, r.nChannels, px.ravel().astype(np.float32)))
             yield pd.DataFrame(rows, columns=["path", "label", "h", "w", "c", "px"])
 
     return flat.mapInPandas(run, "path string, label string, h int, w int, c int, px array<float>")

@@ -10,9 +10,9 @@ from tallyweave.operators import listings as ls
 from tallyweave.operators import lookups as lk
 from tallyweave.operators import quality
 from tallyweave.plans.registry import query
-from tallyweave.schemas import BACKBONES, ENTITIES, PRE_MODELS, STATUSES
+from tallyweave.schemas import BACKBONES, DEFAULTS, ENTITIES, PRE_MODELS, STATUSES
 from tallyweave.session import scratch
-from tallyweave.sources import catalog, exports, ingest, page_index, sinks
+from tallyweave.sources import catalog, exports, ingest, page_index, seeds, sinks
 
 
 def studies(d):
@@ -30,6 +30,98 @@ def _(d):
     return catalog.read_table(d.spark, d.path("events"), d.events.schema)
 
 
+def entity_rows(d, entity: str, rows: DataFrame) -> DataFrame:
+    """A view of the test domain as an entity of the catalog: its defaults, then null, where the view has no such column."""
+    filled = {f.name: F.lit(DEFAULTS.get(entity, {}).get(f.name)) for f in ENTITIES[entity].fields}
+    return rows.select(*[
+        (F.col(name) if name in rows.columns else value).cast(ENTITIES[entity][name].dataType).alias(name) for name, value in filled.items()
+    ])
+
+
+@query(
+    "a1_read_catalog_images",
+    f"SELECT {_IMAGE}, created_at::VARCHAR AS created_at FROM (SELECT CAST(label_id AS BIGINT) AS label_id, CAST(dataset_id AS BIGINT) AS dataset_id, "
+    "* EXCLUDE (label_id, dataset_id) FROM fx_image) x",
+)
+def _(d):
+    folder = scratch(d.spark, "catalog")
+    for entity, rows in (("image", d.fx_image), ("dataset", d.fx_dataset)):
+        catalog.write_catalog(entity_rows(d, entity, rows), folder, entity)
+    stored = catalog.read_catalog(d.spark, folder, "image")
+    return stored.select(*_IMAGE.split(", "), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+# A dump of images, collections with their label sets, and results, written as arrays of a thousand records and loaded again.
+_DUMPED = ("image", "dataset", "label", "result")
+
+
+def _loaded(d) -> dict[str, DataFrame]:
+    folder = scratch(d.spark, "dump")
+    tables = {e: entity_rows(d, e, getattr(d, f"fx_{e}")) for e in _DUMPED if e != "result"}
+    tables["result"] = entity_rows(d, "result", d.fx_result.withColumn("result_id", F.xxhash64("test_id", "image_id")))
+    seeds.write_fixture_json({**tables, "dataset_label": d.fx_dataset_label}, folder, per_file=1000)
+    return seeds.load_fixture_json(d.spark, folder)
+
+
+@query(
+    "a2_load_dump",
+    """SELECT 'image' AS kind, count(*) AS n, CAST(sum(image_id) AS BIGINT) AS ids, CAST(sum(length(image_path)) AS BIGINT) AS figure FROM fx_image
+UNION ALL SELECT 'dataset', count(*), CAST(sum(dataset_id) AS BIGINT), CAST(sum(length(name)) AS BIGINT) FROM fx_dataset
+UNION ALL SELECT 'label', count(*), CAST(sum(label_id) AS BIGINT), CAST(sum(length(name)) AS BIGINT) FROM fx_label
+UNION ALL SELECT 'dataset_label', count(*), CAST(sum(dataset_id) AS BIGINT), CAST(sum(label_id) AS BIGINT) FROM fx_dataset_label
+UNION ALL SELECT 'result', count(*), CAST(sum(image_id) AS BIGINT), CAST(sum(test_id) AS BIGINT) FROM fx_result""",
+)
+def _(d):
+    tables = _loaded(d)
+    figures = [
+        ("image", "image_id", F.length("image_path")), ("dataset", "dataset_id", F.length("name")), ("label", "label_id", F.length("name")),
+        ("dataset_label", "dataset_id", F.col("label_id")), ("result", "image_id", F.col("test_id")),
+    ]
+    return reduce(DataFrame.unionByName, [
+        tables[kind].agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("ids"), F.sum(value).cast("long").alias("figure"))
+        .select(F.lit(kind).alias("kind"), "n", "ids", "figure")
+        for kind, key, value in figures
+    ])
+
+
+@query(
+    "a2_load_dump_images",
+    "SELECT image_id, CAST(dataset_id AS BIGINT) AS dataset_id, CAST(label_id AS BIGINT) AS label_id, image_path, used_for_training, used_for_testing FROM fx_image",
+)
+def _(d):
+    return _loaded(d)["image"].select(*_IMAGE.split(", "))
+
+
+# Each image id becomes a line of a file in <dataset>/<label>; one folder holds notes only, one more note lies beside the folders.
+def _labelled_folder(d) -> str:
+    root = scratch(d.spark, "labelled")
+    placed = d.fx_image.filter("dataset_id IS NOT NULL").select("image_id", "dataset_id", "label_id")
+    placed.write.partitionBy("dataset_id", "label_id").option("extension", "png").csv(root)
+    ids = d.fx_image.select(F.col("image_id").cast("string"))
+    ids.coalesce(1).write.text(f"{root}/a class of notes")
+    ids.coalesce(1).write.mode("append").text(root)
+    return root
+
+
+_PLACED = "SELECT concat('dataset_id=', dataset_id) AS label, sum(length(CAST(image_id AS VARCHAR)) + 1) AS bytes FROM fx_image WHERE dataset_id IS NOT NULL GROUP BY ALL"
+
+
+@query("a4_scan", f"SELECT label, CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS class_idx, CAST(bytes AS BIGINT) AS bytes FROM ({_PLACED}) x")
+def _(d):
+    scanned = ingest.scan_labelled_dir(d.spark, _labelled_folder(d))
+    return scanned.groupBy("label", "class_idx").agg(F.sum("length").alias("bytes"))
+
+
+@query(
+    "a4_scan_rejects",
+    """WITH n AS (SELECT CAST(sum(length(CAST(image_id AS VARCHAR)) + 1) AS BIGINT) AS bytes FROM fx_image)
+SELECT 'a class of notes' AS label, 'ending not accepted' AS reason, bytes FROM n UNION ALL SELECT NULL, 'not in a class folder', bytes FROM n""",
+)
+def _(d):
+    rejected = ingest.scan_rejects(d.spark, _labelled_folder(d))
+    return rejected.groupBy("label", "reason").agg(F.sum("length").alias("bytes"))
+
+
 _UPLOAD_OK = """WITH ok AS (SELECT u.*, d.name FROM fx_upload u JOIN fx_dataset d ON d.dataset_id = u.dataset_id
   JOIN fx_label l ON l.label_id = u.label_id)"""
 

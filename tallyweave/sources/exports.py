@@ -24,17 +24,17 @@ def export_manifest(images: DataFrame, datasets: DataFrame, labels: DataFrame, d
         ),
         "folders",
     )
-    files = (
+    # stored: the images are read once, and what follows looks at the manifest only
+    files = settle(
         images.select("image_id", "dataset_id", "label_id", "image_path")
         .join(folders, ["dataset_id", "label_id"])
         .groupBy("dataset_id", *_KEYS, basename("image_path").alias("file_name"))
         .agg(F.min(F.struct("image_id", "image_path")).alias("first"))
-        .select("dataset_id", *_KEYS, "file_name", "first.*")
+        .select("dataset_id", *_KEYS, "file_name", "first.*"),
+        "manifest",
     )
-    # two labels may share a folder name; only folder keys are compared, so a large label is no burden
-    filled = images.select("dataset_id", "label_id").distinct().join(folders, ["dataset_id", "label_id"])
     empty = folders.select("dataset_id", *_KEYS).distinct().join(
-        filled.select("dataset_id", "label_slug").distinct(), ["dataset_id", "label_slug"], "left_anti"
+        files.select("dataset_id", "label_slug").distinct(), ["dataset_id", "label_slug"], "left_anti"
     )
     return files.unionByName(empty, allowMissingColumns=True)
 

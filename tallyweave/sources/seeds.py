@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ FIELD_NAMES = {
     "image_path": "image",
     "is_default": "default",
 }
+# Junction tables that a dump keeps as arrays of its datasets.
+LINKS = [("dataset_label", "labels", "label_id"), ("dataset_shared", "shared", "study_id")]
 _TEXT = "name description notes resolution image pre_model status class_names model_path grad_cam true_label prediction"
 _LONG = "study dataset label training_session test model"
 _INT = "epochs batch_size number"
@@ -48,6 +52,34 @@ _FIELDS = ", ".join(
 DUMP_SCHEMA = f"model string, pk bigint, fields struct<{_FIELDS}>"
 
 
+def write_fixture_json(tables: dict[str, DataFrame], path: str, per_file: int = 5000) -> None:
+    """Write entities (``dataset_label`` and ``dataset_shared`` go into their datasets) as a folder of dumps.
+
+    Each file is one array of about ``per_file`` records, dealt by a hash of the key, so no task holds a whole table.
+    """
+    written = []
+    for entity, rows in tables.items():
+        if entity not in KINDS:
+            continue
+        key = PRIMARY_KEYS[entity]
+        names = [c for c in rows.columns if c != key]
+        if entity == "dataset":
+            for table, field, column in LINKS:
+                if table in tables:
+                    # bounded by the number of labels and studies
+                    linked = tables[table].groupBy("dataset_id").agg(F.array_sort(F.collect_set(column)).alias(field))
+                    rows, names = rows.join(linked, key, "left"), [*names, field]
+        fields = F.struct(*[F.col(c).alias(FIELD_NAMES.get(c, c)) for c in names])
+        record = F.struct(F.lit(KINDS[entity]).alias("model"), F.col(key).alias("pk"), fields.alias("fields"))
+        files = max(1, -(-rows.count() // per_file))
+        part = F.concat(F.lit(f"{entity}-"), F.pmod(F.xxhash64(key), F.lit(files)).cast("string"))
+        written.append(rows.select(part.alias("part"), F.to_json(record).alias("record")))
+    if written:
+        records = reduce(DataFrame.unionByName, written)
+        text = F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list("record")), F.lit("]"))
+        records.groupBy("part").agg(text.alias("value")).write.partitionBy("part").text(path)
+
+
 def load_fixture_json(spark: SparkSession, path: str | list[str]) -> dict[str, DataFrame]:
     """Every entity and both junction tables of one or more dumps; columns a dump lacks take their defaults."""
     records = spark.read.schema(DUMP_SCHEMA).option("multiLine", True).json(path)
@@ -65,6 +97,6 @@ def load_fixture_json(spark: SparkSession, path: str | list[str]) -> dict[str, D
             columns.append((value if default is None else F.coalesce(value, F.lit(default))).alias(field.name))
         tables[entity] = rows.select(*columns)
     datasets = records.filter(F.col("model") == KINDS["dataset"])
-    for table, field, column in [("dataset_label", "labels", "label_id"), ("dataset_shared", "shared", "study_id")]:
+    for table, field, column in LINKS:
         tables[table] = datasets.select(F.col("pk").alias("dataset_id"), F.explode(f"fields.{field}").alias(column)).distinct()
     return tables

@@ -129,3 +129,16 @@ def test_reading_pictures(spark, tmp_path):
     assert got["rgb.png"].label == "my class"
     assert np.array_equal(np.array(got["rgb.png"].px).reshape(2, 3, 3), rgb)
     assert list(got["rgba.png"].px) == [10, 20, 30, 128]
+
+
+def test_unreadable_pictures_are_listed(spark, tmp_path):
+    for folder in ("c++", "b/sub"):
+        (tmp_path / folder).mkdir(parents=True)
+    png(tmp_path / "c++" / "a b%.png", np.zeros((1, 1, 3), int))
+    png(tmp_path / "b" / "sub" / "deep.png", np.zeros((1, 1, 1), int))
+    (tmp_path / "c++" / "torn.png").write_bytes(b"\x89PNG\r\n")
+    (tmp_path / "top.png").write_bytes(b"no picture")
+    name = lambda r: r.path.rsplit("/", 1)[1]
+    assert sorted((name(r), r.label) for r in rs.read_images(spark, str(tmp_path)).collect()) == [("a b%.png", "c++"), ("deep.png", "b")]
+    lost = rs.unreadable_images(spark, str(tmp_path)).collect()
+    assert sorted((name(r), r.label, r.reason) for r in lost) == [("top.png", None, "not a readable image"), ("torn.png", "c++", "not a readable image")]

@@ -64,12 +64,48 @@ def test_ingest_is_all_or_nothing_per_request(spark):
 
 
 def test_labelled_folder(spark, tmp_path):
-    for name in ("b class/1.png", "a/2.JPG", "a/x.txt", "c/3.jpeg"):
+    for name in ("b class/1.png", "a/2.JPG", "a/x.txt", "c++ 50%20/sub/deep/3.jpeg", "c++ 50%20/png", "top.png", "_hidden/4.png"):
         f = tmp_path / name
-        f.parent.mkdir(exist_ok=True)
+        f.parent.mkdir(exist_ok=True, parents=True)
         f.write_bytes(b"12345")
-    got = sorted((r.label, r.class_idx, r.length) for r in ingest.scan_labelled_dir(spark, str(tmp_path)).collect())
-    assert got == [("a", 0, 5), ("b class", 1, 5), ("c", 2, 5)]
+    (tmp_path / "b_empty").mkdir()
+    short = lambda r: r.path.rsplit("/", 1)[1]
+    scan = lambda **how: sorted((short(r), r.label, r.class_idx, r.length) for r in ingest.scan_labelled_dir(spark, str(tmp_path) + "/", **how).collect())
+    refused = lambda **how: sorted((short(r), r.label, r.reason) for r in ingest.scan_rejects(spark, str(tmp_path), **how).collect())
+    assert ingest.class_folders(spark, str(tmp_path)) == ["a", "b class", "b_empty", "c++ 50%20"]
+    assert scan() == [("1.png", "b class", 1, 5), ("2.JPG", "a", 0, 5), ("3.jpeg", "c++ 50%20", 3, 5)]
+    assert refused() == [("png", "c++ 50%20", "ending not accepted"), ("top.png", None, "not in a class folder"), ("x.txt", "a", "ending not accepted")]
+    # the labels of a collection as classes
+    assert scan(classes=["z", "b class"]) == [("1.png", "b class", 0, 5)]
+    assert ("2.JPG", "a", "unknown class") in refused(classes=["z", "b class"])
+    assert scan(classes=[]) == []
+    assert [r[0] for r in scan(endings=["txt"])] == ["x.txt"]
+    empty = tmp_path / "b_empty"
+    assert ingest.scan_labelled_dir(spark, str(empty)).count() == 0 and ingest.class_folders(spark, str(empty)) == []
+
+
+def test_a_dump_written_is_the_dump_loaded(spark, tmp_path):
+    path = str(tmp_path / "dump")
+    (tmp_path / "seed.json").write_text(json.dumps(SEED))
+    first = seeds.load_fixture_json(spark, str(tmp_path / "seed.json"))
+    seeds.write_fixture_json(first, path, per_file=1)
+    again = seeds.load_fixture_json(spark, path)
+    for entity, rows in first.items():
+        assert sorted(rows.collect(), key=repr) == sorted(again[entity].collect(), key=repr), entity
+
+
+def test_the_manifest_reads_the_images_once(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 1, "x/a.png")], "image_id long, dataset_id long, label_id long, image_path string").write.parquet(str(tmp_path / "i"))
+    images = spark.read.parquet(str(tmp_path / "i"))
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: read.add(1) or x, "long").asNondeterministic()
+    datasets = spark.createDataFrame([(1, "A")], "dataset_id long, name string")
+    labels = spark.createDataFrame([(1, "L"), (2, "M")], "label_id long, name string")
+    links = spark.createDataFrame([(1, 1), (1, 2)], "dataset_id long, label_id long")
+    for _ in range(2):  # with and without an earlier export
+        exports.write_export(exports.export_manifest(images.withColumn("image_id", counted("image_id")), datasets, labels, links), str(tmp_path / "e"))
+    assert read.value == 2
+    assert sorted((r.label_slug, r.file_name) for r in exports.read_export(spark, str(tmp_path / "e")).collect()) == [("l", "a.png"), ("m", None)]
 
 
 def test_export_replaces_whole_datasets(spark, tmp_path):

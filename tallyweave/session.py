@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # operators store intermediate results, so the shuffles of a finished step are of no further use
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # the state of streams lies on disk, so its keys need not fit in memory, and batches upload their changes only
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

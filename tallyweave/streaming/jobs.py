@@ -2,16 +2,19 @@
 
 Aggregations run in update mode: each micro-batch writes the changed keys to its own folder below
 the shared directory, overwriting on a retry, so a repeated batch has no further effect. The
-current state is the newest row of every key. All jobs stop when the available input is consumed
-unless another trigger is passed.
+current state is the newest row of every key; what a stored state has replaced is removed.
+
+``start_*`` return a handle at once, whatever the trigger; ``stream_*`` consume the available input and return the state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from tallyweave.operators.evaluation import report_cells, report_from_cells
@@ -22,7 +25,25 @@ AVAILABLE_NOW = {"availableNow": True}
 COMPACT_EVERY = 64
 
 
-def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], purpose: str, trigger: dict, checkpoint: str | None):
+@dataclass(frozen=True)
+class Refresh:
+    """A started job: its query, and a reader of what it has stored so far."""
+
+    query: StreamingQuery
+    state: Callable[[], DataFrame]
+
+    def finish(self) -> DataFrame:
+        """The state after the query has ended; with an endless trigger that is after someone has stopped it."""
+        self.query.awaitTermination()
+        return self.state()
+
+    def stop(self) -> DataFrame:
+        """End the query after no further batch and return the state; another start with its checkpoint goes on."""
+        self.query.stop()
+        return self.state()
+
+
+def _start(stream: DataFrame, handle: Callable[[DataFrame, int], None], purpose: str, trigger: dict, checkpoint: str | None) -> StreamingQuery:
     spark = stream.sparkSession
     return (
         stream.writeStream.outputMode("update")
@@ -38,10 +59,29 @@ def _write(rows: DataFrame, folder: str, batch_id: int) -> None:
 
 
 def write_delta(rows: DataFrame, folder: str, keys: list[str], batch_id: int) -> None:
-    """Store a batch's changed rows, and every COMPACT_EVERY batches the whole state, so reads stay short."""
+    """Store a batch's changed rows, and every COMPACT_EVERY batches the whole state, so reads stay short.
+
+    After a new state the folders that the state before it had replaced are removed. The last two states and all changes
+    after the older one stay, for readers that began earlier and for a repeated batch: at most twice COMPACT_EVERY folders and two.
+    """
     _write(rows, f"{folder}/delta", batch_id)
     if (batch_id + 1) % COMPACT_EVERY == 0:
-        _write(latest(rows.sparkSession, folder, keys, batch_id), f"{folder}/base", batch_id)
+        spark = rows.sparkSession
+        _write(latest(spark, folder, keys, batch_id), f"{folder}/base", batch_id)
+        before = _newest(spark, f"{folder}/base", batch_id - 1)
+        if before is not None:
+            _remove(spark, f"{folder}/delta", before + 1)
+            _remove(spark, f"{folder}/base", before)
+
+
+def _remove(spark: SparkSession, folder: str, end: int) -> None:
+    """Remove the batches below ``end``; only names are listed, and those are few, as every state does this."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(path):
+        name, _, number = found.getPath().getName().partition("=")
+        if name == "batch_id" and int(number) < end:
+            files.delete(found.getPath(), True)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -84,37 +124,50 @@ def _latest_or_empty(spark: SparkSession, folder: str, keys: list[str], like: Da
     return latest(spark, folder, keys)
 
 
-def _run(stream: DataFrame, folder: str, keys: list[str], purpose: str, trigger: dict, checkpoint: str | None) -> DataFrame:
+def _refresh(stream: DataFrame, folder: str, keys: list[str], purpose: str, trigger: dict, checkpoint: str | None) -> Refresh:
     handle = lambda batch, batch_id: write_delta(batch, folder, keys, batch_id)
-    _start(stream, handle, purpose, trigger, checkpoint).awaitTermination()
-    return _latest_or_empty(stream.sparkSession, folder, keys, stream)
+    query = _start(stream, handle, purpose, trigger, checkpoint)
+    return Refresh(query, lambda: _latest_or_empty(stream.sparkSession, folder, keys, stream))
 
 
-def stream_label_counts(
+def start_label_counts(
     images: DataFrame, folder: str | None = None, trigger: dict = AVAILABLE_NOW, checkpoint: str | None = None
-) -> DataFrame:
+) -> Refresh:
     """Images per (dataset, label), refreshed by every upload."""
     counts = images.filter(F.col("dataset_id").isNotNull()).groupBy("dataset_id", "label_id").agg(
         F.count(F.lit(1)).alias("image_count")
     )
     folder = folder or scratch(images.sparkSession, "label-counts")
-    return _run(counts, folder, ["dataset_id", "label_id"], "label-counts", trigger, checkpoint)
+    return _refresh(counts, folder, ["dataset_id", "label_id"], "label-counts", trigger, checkpoint)
 
 
-def stream_status(
+def stream_label_counts(images: DataFrame, folder: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """``start_label_counts`` over the input at hand."""
+    return start_label_counts(images, folder, AVAILABLE_NOW, checkpoint).finish()
+
+
+def start_status(
     events: DataFrame, key: str = "session_id", ts: str = "ts", tie: str = "event_id", folder: str | None = None,
     trigger: dict = AVAILABLE_NOW, checkpoint: str | None = None,
-) -> DataFrame:
-    """The last status of every session or test."""
+) -> Refresh:
+    """The last status of every session or test, also if its events arrive out of order."""
     state = events.groupBy(key).agg(F.max_by("status", F.struct(ts, tie)).alias("status"), F.max(ts).alias("updated_at"))
     folder = folder or scratch(events.sparkSession, "status")
-    return _run(state, folder, [key], "status", trigger, checkpoint)
+    return _refresh(state, folder, [key], "status", trigger, checkpoint)
 
 
-def stream_test_reports(
+def stream_status(
+    events: DataFrame, key: str = "session_id", ts: str = "ts", tie: str = "event_id", folder: str | None = None,
+    checkpoint: str | None = None,
+) -> DataFrame:
+    """``start_status`` over the input at hand."""
+    return start_status(events, key, ts, tie, folder, AVAILABLE_NOW, checkpoint).finish()
+
+
+def start_test_reports(
     results: DataFrame, folder: str | None = None, trigger: dict = AVAILABLE_NOW, checkpoint: str | None = None,
     species: str | None = None, outcome: str | None = None,
-) -> DataFrame:
+) -> Refresh:
     """Reports that follow the results as they are appended.
 
     Macro metrics cannot be merged, so the state holds the confusion cells and each batch derives
@@ -132,17 +185,24 @@ def stream_test_reports(
         write_delta(report_from_cells(cells), f"{folder}/reports", ["test_id"], batch_id)
 
     cells = report_cells(results, species, outcome)
-    _start(cells, handle, "reports", trigger, checkpoint).awaitTermination()
-    return _latest_or_empty(spark, f"{folder}/reports", ["test_id"], report_from_cells(cells))
+    query = _start(cells, handle, "reports", trigger, checkpoint)
+    return Refresh(query, lambda: _latest_or_empty(spark, f"{folder}/reports", ["test_id"], report_from_cells(cells)))
 
 
-def stream_reexport(
+def stream_test_reports(
+    results: DataFrame, folder: str | None = None, checkpoint: str | None = None, species: str | None = None, outcome: str | None = None
+) -> DataFrame:
+    """``start_test_reports`` over the input at hand."""
+    return start_test_reports(results, folder, AVAILABLE_NOW, checkpoint, species, outcome).finish()
+
+
+def start_reexport(
     changes: DataFrame,
     current: Callable[[], dict[str, DataFrame]],
     path: str | None = None,
     trigger: dict = AVAILABLE_NOW,
     checkpoint: str | None = None,
-) -> DataFrame:
+) -> Refresh:
     """Export again every dataset an uploaded or deleted image belongs to.
 
     ``current()`` gives the tables ``image``, ``dataset``, ``label`` and ``dataset_label`` as of now.
@@ -165,5 +225,11 @@ def stream_reexport(
         write_export(manifest, path)
 
     query = _start(changes.filter(F.col("dataset_id").isNotNull()).select("dataset_id"), handle, "export", trigger, checkpoint)
-    query.awaitTermination()
-    return read_export(spark, path)
+    return Refresh(query, lambda: read_export(spark, path))
+
+
+def stream_reexport(
+    changes: DataFrame, current: Callable[[], dict[str, DataFrame]], path: str | None = None, checkpoint: str | None = None
+) -> DataFrame:
+    """``start_reexport`` over the changes at hand."""
+    return start_reexport(changes, current, path, AVAILABLE_NOW, checkpoint).finish()

@@ -31,6 +31,7 @@ def test_reports_follow_many_batches(spark, results, tmp_path, monkeypatch):
     got = jobs.stream_test_reports(stream, str(tmp_path / "out"))
     same(got, ev.test_report(results))
     assert spark.read.parquet(str(tmp_path / "out/cells/base")).select("batch_id").distinct().count() == 2
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
 
 
 def test_a_restarted_stream_goes_on(spark, results, tmp_path):
@@ -70,3 +71,37 @@ def test_reexport_touches_changed_datasets_only(spark, tmp_path):
     assert [(r.dataset_slug, r.file_name) for r in run().collect()] == [("a", "a.png")]
     tables["image"] = tables["image"].filter("image_id = 2")
     assert [(r.dataset_slug, r.file_name) for r in run().collect()] == [("a", None)]
+
+
+def test_many_batches_keep_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT_EVERY", 4)
+    folder, kept = str(tmp_path / "s"), lambda part: sorted(int(f.name.split("=")[1]) for f in (tmp_path / "s" / part).iterdir())
+    rows = lambda b: spark.createDataFrame([(b % 7, b)], "k int, v int").coalesce(1)
+    for b in range(30):
+        jobs.write_delta(rows(b), folder, ["k"], b)
+        assert len(kept("delta")) <= 8
+    assert kept("base") == [23, 27] and kept("delta") == list(range(24, 30))
+    newest = {r.k: r.v for r in jobs.latest(spark, folder, ["k"]).collect()}
+    assert newest == {b % 7: b for b in range(23, 30)}
+    # a batch that stored a state and is repeated finds all it needs
+    jobs.write_delta(rows(27), folder, ["k"], 27)
+    assert kept("base") == [23, 27]
+    assert {r.k: r.v for r in jobs.latest(spark, folder, ["k"]).collect()} == newest
+
+
+def test_a_started_job_returns_before_its_input_ends(spark, tmp_path):
+    images = spark.createDataFrame([(i, i % 2, 1) for i in range(10)], "image_id long, dataset_id long, label_id long")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(images.schema).parquet(str(tmp_path / "in"))
+    start = lambda: jobs.start_label_counts(stream, str(tmp_path / "out"), {"processingTime": "0 seconds"}, str(tmp_path / "cp"))
+    job = start()
+    assert job.query.isActive and job.state().count() == 0
+    images.write.mode("append").parquet(str(tmp_path / "in"))
+    job.query.processAllAvailable()
+    assert job.query.isActive and {r.dataset_id: r.image_count for r in job.state().collect()} == {0: 5, 1: 5}
+    job.stop()
+    assert not job.query.isActive
+    images.write.mode("append").parquet(str(tmp_path / "in"))
+    job = start()
+    job.query.processAllAvailable()
+    assert {r.dataset_id: r.image_count for r in job.stop().collect()} == {0: 10, 1: 10}

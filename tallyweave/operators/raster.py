@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.ranking import uniform
+from tallyweave.operators.preparation import PRIME
+from tallyweave.operators.training import stir
 from tallyweave.schemas import AUGMENTATION_FLAGS
 from tallyweave.session import settle
 from tallyweave.sources.ingest import below, class_of
@@ -152,6 +154,9 @@ NOISE_SIGMA = 0.02
 BLUR_SIGMA, BLUR_SIZE = 0.7, 3
 CUTOUT_SIZE = 20
 
+# Sets the places of a picture apart in the hash that its noise is drawn from.
+NOISE_STRIDE = 7919
+
 # Draws each step needs, in a fixed order.
 DRAWS = [
     "random_grayscale", "horizontal_flip", "vertical_flip", "random_rotation", "zoom_height", "zoom_width",
@@ -261,6 +266,15 @@ def _blur(px: np.ndarray) -> np.ndarray:
     return px
 
 
+def _noise(u: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Normal draws for every value of every picture, from its draw and its place alone (Box and Muller)."""
+    seeds = (u * 2**32).astype(np.int64)[:, None] % PRIME
+    places = np.arange(int(np.prod(shape)), dtype=np.int64)[None, :] * NOISE_STRIDE
+    mixed = stir(stir(seeds, places), 17)
+    radius = np.sqrt(-2 * np.log((stir(mixed, 31) + 0.5) / PRIME))
+    return (radius * np.cos(2 * np.pi * stir(mixed, 53) / PRIME)).reshape(len(u), *shape)
+
+
 def _cutout(px: np.ndarray, u_row: np.ndarray, u_column: np.ndarray, size: int) -> np.ndarray:
     """A zero square around a random centre, cut at the border."""
     _, h, w, _ = px.shape
@@ -297,8 +311,7 @@ def _augment_kernel(config: Augmentation) -> Callable[[np.ndarray, pd.DataFrame]
         if config.random_crop:
             px = _crop(px, u["crop_top"], u["crop_left"], config.crop_pixels)
         if config.gaussian_noise:
-            noise = [np.random.default_rng(int(s * 2**32)).normal(0, NOISE_SIGMA, px.shape[1:]) for s in u["gaussian_noise"]]
-            px = px + np.stack(noise)
+            px = px + NOISE_SIGMA * _noise(u["gaussian_noise"], px.shape[1:])
         if config.blur:
             px = _blur(px)
         if config.cutout:

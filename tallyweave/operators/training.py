@@ -57,7 +57,7 @@ class Trained:
 # ---- draws that depend on session, image and pass only ----
 
 
-def _stir(x: np.ndarray, key: np.ndarray | int) -> np.ndarray:
+def stir(x: np.ndarray, key: np.ndarray | int) -> np.ndarray:
     """One round of a hash below ``PRIME``; everything fits 64 bits."""
     y = (x + key) % PRIME
     return (y * y % PRIME * 48271 + 12345) % PRIME
@@ -65,12 +65,12 @@ def _stir(x: np.ndarray, key: np.ndarray | int) -> np.ndarray:
 
 def place_draw(session: int, images: np.ndarray, number: int) -> np.ndarray:
     """By which a pass orders the images of a block (ties by image)."""
-    return _stir(_stir(_stir(images % PRIME, session % PRIME), number), 17)
+    return stir(stir(stir(images % PRIME, session % PRIME), number), 17)
 
 
 def input_draw(places: np.ndarray, width: int) -> np.ndarray:
     """For each image (by its place draw) and input, the number below ``PRIME`` that decides about dropping it."""
-    return _stir(_stir(places[:, None], np.arange(1, width + 1, dtype=np.int64)[None, :] * 104729), 31)
+    return stir(stir(places[:, None], np.arange(1, width + 1, dtype=np.int64)[None, :] * 104729), 31)
 
 
 # ---- one block, one epoch ----

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import head as hd
 from tallyweave.operators import raster as rs
+from tallyweave.operators.preparation import PRIME
 from tallyweave.plans.head_queries import _SCORED_SESSIONS, session_rows
 from tallyweave.plans.registry import query
 
@@ -23,8 +24,8 @@ def _cells_sql(source: str, size: int, value: str, digits: int = 4) -> str:
 FROM (SELECT *, unnest(range({size})) AS k FROM {source}) x"""
 
 
-def _draw(op: str) -> str:
-    return f"(CAST('0x' || substr(md5(concat('123:1:{op}:', CAST(image_id AS VARCHAR))), 1, 8) AS BIGINT) / 4294967296.0E0)"
+def _draw(op: str, epoch: int = 1) -> str:
+    return f"(CAST('0x' || substr(md5(concat('123:{epoch}:{op}:', CAST(image_id AS VARCHAR))), 1, 8) AS BIGINT) / 4294967296.0E0)"
 
 
 _KEYS = ["image_id", "h", "w", "c", "px"]
@@ -145,6 +146,116 @@ def _(d):
     return _augmented(d, _gray(d), cutout=True, cutout_size=4)
 
 
+# The steps below state each new value of an 8 x 8 picture by the places it is read from: a step takes a source of
+# (image_id, px) and gives another, so that steps can be chained.
+def _each(value: str) -> str:
+    return f"list_transform(range(64), lambda k: {value})"
+
+
+def _within(op: str, reach: str, epoch: int) -> str:
+    return f"(2 * {_draw(op, epoch)} - 1) * {reach}"
+
+
+def _mirrored(at: str) -> str:
+    turned = f"({at} + 0.5E0 - 16 * floor(({at} + 0.5E0) / 16))"
+    return f"least(greatest(CASE WHEN {turned} < 8 THEN {turned} ELSE 16 - {turned} END - 0.5E0, 0), 7)"
+
+
+def _read(source: str, row: str, column: str, mirror: bool, **draws: str) -> str:
+    """Values read between four pixels at (row, column), which may use the named draws."""
+    named = "".join(f", {value} AS {name}" for name, value in draws.items())
+    at = _mirrored if mirror else (lambda x: x)
+    corner = lambda r, c: f"px[CAST({r} * 8 + {c} + 1 AS INTEGER)]"
+    r, c = "rs[k + 1]", "cs[k + 1]"
+    r0, c0 = f"floor({r})", f"floor({c})"
+    r1, c1 = f"least({r0} + 1, 7)", f"least({c0} + 1, 7)"
+    along = lambda row: f"({corner(row, c0)} * (1 - ({c} - {c0})) + {corner(row, c1)} * ({c} - {c0}))"
+    value = f"{along(r0)} * (1 - ({r} - {r0})) + {along(r1)} * ({r} - {r0})"
+    return f"""(SELECT image_id, {_each(value)} AS px FROM (SELECT image_id, px, {_each(at("(" + row + ")"))} AS rs, {_each(at("(" + column + ")"))} AS cs
+  FROM (SELECT image_id, px{named} FROM {source} s) named) placed)"""
+
+
+def _rotated(source: str, epoch: int = 1) -> str:
+    angle = _within("random_rotation", f"{rs.ROTATION_TURNS * 2 * math.pi!r}E0", epoch)
+    return _read(
+        source, f"cos(a) * ({_Y} - 3.5E0) + sin(a) * ({_X} - 3.5E0) + 3.5E0", f"cos(a) * ({_X} - 3.5E0) - sin(a) * ({_Y} - 3.5E0) + 3.5E0", True, a=angle
+    )
+
+
+def _zoomed(source: str, epoch: int = 1) -> str:
+    rows, columns = _within("zoom_height", "0.05E0", epoch), _within("zoom_width", "0.15E0", epoch)
+    return _read(source, f"({_Y} - 3.5E0) * (1 + a) + 3.5E0", f"({_X} - 3.5E0) * (1 + b) + 3.5E0", True, a=rows, b=columns)
+
+
+def _cropped(source: str, epoch: int = 1, pixels: int = 3) -> str:
+    side = 8 - pixels
+    inside = lambda at: f"least(greatest(({at} + 0.5E0) * {side} / 8 - 0.5E0, 0), {side - 1})"
+    corner = {name: f"floor({_draw(op, epoch)} * {pixels + 1})" for name, op in (("a", "crop_top"), ("b", "crop_left"))}
+    return _read(source, f"a + {inside(_Y)}", f"b + {inside(_X)}", False, **corner)
+
+
+def _stirred(x: str, key: str) -> str:
+    moved = f"((({x}) + {key}) % {PRIME})"
+    return f"(({moved} * {moved} % {PRIME} * 48271 + 12345) % {PRIME})"
+
+
+def _noisy(source: str, epoch: int = 1) -> str:
+    seed = f"CAST({_draw('gaussian_noise', epoch)} * 4294967296.0E0 AS BIGINT) % {PRIME}"
+    mixed = _each(_stirred(_stirred("a", f"k * {rs.NOISE_STRIDE}"), "17"))
+    drawn = f"sqrt(-2 * ln(({_stirred('m[k + 1]', '31')} + 0.5E0) / {PRIME})) * cos({2 * math.pi!r}E0 * {_stirred('m[k + 1]', '53')} / {PRIME})"
+    return f"""(SELECT image_id, {_each(f"px[k + 1] + {rs.NOISE_SIGMA}E0 * {drawn}")} AS px
+  FROM (SELECT *, {mixed} AS m FROM (SELECT image_id, px, {seed} AS a FROM {source} s) seeded) mixed)"""
+
+
+def _chained(epoch: int) -> str:
+    """All steps on grey pictures, for which the random turn to grey does nothing."""
+    step = lambda source, value, **draws: (
+        f"(SELECT image_id, {_each(value)} AS px FROM (SELECT image_id, px{''.join(f', {v} AS {n}' for n, v in draws.items())} FROM {source} s) named)"
+    )
+    clipped = lambda value: f"least(greatest({value}, 0), 255)"
+    px = step("fx_gray", f"CASE WHEN a < 0.5 THEN px[{_Y}*8 + 8 - {_X}] ELSE px[k + 1] END", a=_draw("horizontal_flip", epoch))
+    px = step(px, f"CASE WHEN a < 0.5 THEN px[(7 - {_Y})*8 + {_X} + 1] ELSE px[k + 1] END", a=_draw("vertical_flip", epoch))
+    px = _zoomed(_rotated(px, epoch), epoch)
+    px = step(px, clipped("px[k + 1] + a * 255"), a=_within("brightness", "0.1E0", epoch))
+    px = step(px, clipped("(px[k + 1] - m) * (1 + a) + m"), a=_within("contrast", "0.1E0", epoch), m="list_avg(px)")
+    px = step(_noisy(_cropped(px, epoch), epoch), _blur_sql())
+    reach = f"{_Y} >= a - 2 AND {_Y} < a + 2 AND {_X} >= b - 2 AND {_X} < b + 2"
+    rows, columns = (f"floor({_draw(op, epoch)} * 8)" for op in ("cutout_row", "cutout_column"))
+    return step(px, f"CASE WHEN {reach} THEN 0 ELSE px[k + 1] END", a=rows, b=columns)
+
+
+@query("r3_rotation", _cells_sql(_rotated("fx_gray"), 64, "px[k + 1]", 3))
+def _(d):
+    return _augmented(d, _gray(d), 3, random_rotation=True)
+
+
+@query("r3_zoom", _cells_sql(_zoomed("fx_gray"), 64, "px[k + 1]", 3))
+def _(d):
+    return _augmented(d, _gray(d), 3, zoom=True)
+
+
+@query("r3_random_crop", _cells_sql(_cropped("fx_gray"), 64, "px[k + 1]", 3))
+def _(d):
+    return _augmented(d, _gray(d), 3, random_crop=True, crop_pixels=3)
+
+
+@query("r3_gaussian_noise", _cells_sql(_noisy("fx_gray"), 64, "px[k + 1]", 3))
+def _(d):
+    return _augmented(d, _gray(d), 3, gaussian_noise=True)
+
+
+@query(
+    "r3_augment_chain_grey",
+    " UNION ALL ".join(f"SELECT *, CAST({e} AS INT) AS epoch FROM ({_cells_sql(_chained(e), 64, 'px[k + 1]', 3)}) e{e}" for e in (1, 2)),
+)
+def _(d):
+    config = rs.Augmentation(
+        random_grayscale=True, horizontal_flip=True, vertical_flip=True, random_rotation=True, zoom=True, brightness_contrast=True,
+        random_crop=True, gaussian_noise=True, blur=True, cutout=True, clip_max=255.0, crop_pixels=3, cutout_size=4,
+    )
+    return _cells(rs.augment(_gray(d), config, epochs=2), 3, "epoch")
+
+
 @query("r3_augment_chain")
 def _(d):
     config = rs.Augmentation(

@@ -92,6 +92,18 @@ def test_cutout_and_noise(spark):
     assert abs(noise.std() - 0.02) < 0.002 and abs(noise.mean()) < 0.001
 
 
+def test_noise_is_normal_and_without_pattern():
+    rng = np.random.default_rng(5)
+    drawn = rs._noise(np.floor(rng.random(400) * 2**32) / 2**32, (16, 16, 3))
+    flat = drawn.reshape(400, -1)
+    assert abs(flat.mean()) < 0.01 and abs(flat.std() - 1) < 0.01 and abs((flat**3).mean()) < 0.03 and abs((flat**4).mean() - 3) < 0.1
+    assert abs((np.abs(flat) < 1.96).mean() - 0.95) < 0.002 and np.isfinite(flat).all()
+    # no place follows its neighbour, the next row or another picture
+    for a, b in ((flat[:, 1:], flat[:, :-1]), (flat[:, 48:], flat[:, :-48]), (flat[1:], flat[:-1])):
+        assert abs((a * b).mean()) < 0.01
+    assert len(np.unique(flat)) > 0.999 * flat.size
+
+
 def test_alpha(spark):
     rgba = np.array([[[10, 20, 30, 255], [10, 20, 30, 0], [10, 20, 30, 128]]], float)
     assert arrays(rs.flatten_alpha(frame(spark, rgba)))[0].tolist() == [[[10, 20, 30], [255, 255, 255], [132, 137, 142]]]

@@ -30,6 +30,8 @@ from tallyweave.session import settle
 RANGE_ROWS = 1_000
 SAMPLED_PER_RANGE = 100
 MAX_SAMPLE = 200_000
+#: Rows that one task should sweep; it takes several ranges.
+TASK_ROWS = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -94,10 +96,11 @@ def sweep(batches, default: str):
         yield pa.RecordBatch.from_arrays([*(urls.column(c) for c in ("page_id", "host", "path")), *verdicts], ["page_id", "host", "path", "rule", "verdict"])
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", range_rows: int = RANGE_ROWS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", range_rows: int = RANGE_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """A row per row of ``pages``: page_id, host, path, rule (host and path of the winner, or null), verdict.
 
-    ``rules`` has host, path and verdict; any number of them.
+    ``rules`` has host, path and verdict; any number of them. Ranges are dealt to tasks of about ``task_rows`` rows, but
+    to all cores while there are fewer such tasks than cores.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     # the salt breaks ties of equal keys, so that one common host is spread over many ranges
@@ -128,7 +131,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     placed = urls.select(
         place_of("key", "salt").alias("place"), "key", F.lit(True).alias("is_url"), "page_id", "host", "path", F.lit("").alias("verdict")
     )
-    ordered = placed.unionByName(opened).repartition(len(cuts) + 1, "place").sortWithinPartitions("place", "key", "is_url")
+    tasks = min(len(cuts) + 1, max(pages.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows)))
+    ordered = placed.unionByName(opened).repartition(tasks, "place").sortWithinPartitions("place", "key", "is_url")
     return ordered.mapInArrow(
         lambda batches: sweep(batches, default), f"page_id {id_type}, host string, path string, rule string, verdict string"
     )

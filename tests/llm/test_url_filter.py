@@ -64,3 +64,15 @@ def test_further_columns_and_empty_table(spark):
     rules = spark.createDataFrame(URL_RULES, RULES)
     assert [tuple(r) for r in url_filter.judge_urls(pages, rules).collect()] == [(1, "a.org", "/", "org/", "allow")]
     assert url_filter.judge_urls(pages.limit(0), rules).collect() == []
+
+
+def test_many_ranges_share_few_tasks(spark):
+    pages = spark.range(40_000).selectExpr("id AS page_id", "concat('http://h', id % 9000, '.org/', id % 3) AS url")
+    rules = spark.createDataFrame([("org", "/1", "block"), ("h7.org", "/", "allow")], RULES)
+    got = url_filter.judge_urls(pages, rules, range_rows=20, task_rows=2_000)
+    assert got.rdd.getNumPartitions() <= 20
+    count = lambda where: got.filter(where).count()
+    blocked = sum(1 for i in range(40_000) if i % 3 == 1)
+    # the longest rule wins: h7.org/ over org/1
+    spared = sum(1 for i in range(40_000) if i % 3 == 1 and i % 9000 == 7)
+    assert count("verdict = 'block'") == blocked - spared and count("rule = 'h7.org/'") == sum(1 for i in range(40_000) if i % 9000 == 7)

@@ -42,6 +42,19 @@ CHOICES = [
     ("test", "status", STATUSES),
 ]
 NAMED = ["study", "label", "dataset", "model", "session", "test"]
+# Columns that must not be null, and texts besides names that keep to the limit of a name.
+REQUIRED = {
+    "study": ["name"],
+    "label": ["name"],
+    "dataset": ["name", "resolution", "base", "for_testing"],
+    "image": ["image_path", "label_id", "used_for_training", "used_for_testing"],
+    "model": ["name", "epochs", "batch_size", "validation_split", "resolution", "fine_tuning", "data_augmentation", "pre_model", "is_default"],
+    "session": ["name", "dataset_id", "model_id", "status"],
+    "epoch": ["session_id", "number", "accuracy", "loss", "val_accuracy", "val_loss"],
+    "test": ["name", "dataset_id", "session_id", "status"],
+    "result": ["test_id", "confidence"],
+}
+LIMITED = [("session", "model_path"), ("result", "true_label"), ("result", "prediction")]
 
 
 def _breach(rows: DataFrame, rule: str, entity: str, key: str) -> DataFrame:
@@ -78,7 +91,7 @@ def row_rules(df: DataFrame, entity: str, key: str, rules: dict[str, Column]) ->
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """All rules whose entity and columns are among the given tables."""
+    """All rules whose entity and columns are among the given tables; a table is read once for all rules on its rows."""
 
     def has(entity: str, column: str) -> bool:
         return entity in tables and column in tables[entity].columns
@@ -89,8 +102,10 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
         found.append(duplicated(tables["dataset"], "dataset", "dataset_id", "name"))
     for entity in tables:
         rules = {f"unknown {c}": ~F.col(c).isin(allowed) for e, c, allowed in CHOICES if e == entity and has(e, c)}
+        rules |= {f"{c} missing": F.col(c).isNull() for c in REQUIRED.get(entity, []) if has(entity, c)}
         if entity in NAMED and has(entity, "name"):
             rules["name too long"] = F.length("name") > NAME_LIMIT
+        rules |= {f"{c} too long": F.length(c) > NAME_LIMIT for e, c in LIMITED if e == entity and has(e, c)}
         if rules:
             found.append(row_rules(tables[entity], entity, key_of(entity), rules))
     for entity, column, target in REFERENCES:

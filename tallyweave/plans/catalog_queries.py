@@ -351,6 +351,23 @@ def _(d):
     )
 
 
+@query(
+    "d1_session_documents_nested",
+    """SELECT s.session_id, d.name AS dataset_name, coalesce(l.labels, '') AS labels, coalesce(h.shared, '') AS shared FROM fx_session s
+LEFT JOIN fx_dataset d ON d.dataset_id = s.dataset_id
+LEFT JOIN (SELECT dataset_id, string_agg(CAST(label_id AS VARCHAR), ',' ORDER BY label_id) AS labels FROM fx_dataset_label GROUP BY dataset_id) l
+  ON l.dataset_id = s.dataset_id
+LEFT JOIN (SELECT dataset_id, string_agg(CAST(study_id AS VARCHAR), ',' ORDER BY study_id) AS shared FROM fx_shared GROUP BY dataset_id) h
+  ON h.dataset_id = s.dataset_id""",
+)
+def _(d):
+    # the dataset comes with its labels and the studies that share it
+    datasets = lk.dataset_documents(d.fx_dataset, d.fx_dataset_label, d.fx_shared)
+    documents = lk.session_documents(d.fx_session, studies(d), datasets, d.fx_model, d.fx_epoch)
+    joined = {c: F.coalesce(F.array_join(f"dataset.{c}", ","), F.lit("")).alias(c) for c in ("labels", "shared")}
+    return documents.select("session_id", F.col("dataset.name").alias("dataset_name"), joined["labels"], joined["shared"])
+
+
 @query(
     "d2_test_documents",
     f"""SELECT t.test_id, t.status, s.session_id, s.name AS session_name, s.dataset_name, s.pre_model, s.epoch_count
@@ -693,6 +710,30 @@ def _(d):
     return quality.violations(tables)
 
 
+@query(
+    "h1_missing_and_too_long",
+    """SELECT 'name missing' AS rule, 'session' AS entity, session_id AS id FROM fx_session WHERE session_id % 7 = 0
+UNION ALL SELECT 'status missing', 'session', session_id FROM fx_session WHERE session_id % 5 = 0
+UNION ALL SELECT 'model_path too long', 'session', session_id FROM fx_session WHERE session_id > 100
+UNION ALL SELECT 'label_id missing', 'image', image_id FROM fx_image WHERE image_id % 11 = 0
+UNION ALL SELECT 'image_path missing', 'image', image_id FROM fx_image WHERE image_id % 13 = 0
+UNION ALL SELECT 'val_loss missing', 'epoch', session_id * 1000 + number FROM fx_epoch WHERE val_loss IS NULL OR number % 3 = 0
+UNION ALL SELECT 'prediction too long', 'result', image_id FROM fx_result WHERE confidence > 0.5
+UNION ALL SELECT 'confidence missing', 'result', image_id FROM fx_result WHERE test_id % 4 = 0""",
+)
+def _(d):
+    emptied = lambda df, column, when: df.withColumn(column, F.when(~F.expr(when), F.col(column)))
+    results = d.fx_result.withColumn("prediction", F.when(F.col("confidence") > 0.5, F.repeat(F.lit("é"), 101)).otherwise(F.repeat(F.lit("é"), 100)))
+    sessions = emptied(emptied(d.fx_session, "name", "session_id % 7 = 0"), "status", "session_id % 5 = 0")
+    tables = {
+        "session": sessions.withColumn("model_path", F.expr("repeat('p', cast(session_id as int))")),
+        "image": emptied(emptied(d.fx_image.drop("study_id"), "label_id", "image_id % 11 = 0"), "image_path", "image_id % 13 = 0"),
+        "epoch": emptied(d.fx_epoch, "val_loss", "number % 3 = 0").withColumn("epoch_id", F.col("session_id") * 1000 + F.col("number")),
+        "result": emptied(results, "confidence", "test_id % 4 = 0").withColumnRenamed("image_id", "result_id"),
+    }
+    return quality.violations(tables)
+
+
 _REQUEST = """SELECT *, CASE WHEN study_id IS NULL THEN 'study_id is required.'
  WHEN study_id NOT IN (SELECT r_regionkey FROM region) THEN 'study_id does not exist.'
  WHEN coalesce(hotdataset, 0) = 0 AND coalesce(dataset_id, 0) = 0 THEN 'Either ''hotdataset'' or ''dataset_id'' must be provided.'

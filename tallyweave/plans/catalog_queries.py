@@ -719,7 +719,8 @@ UNION ALL SELECT 'label_id missing', 'image', image_id FROM fx_image WHERE image
 UNION ALL SELECT 'image_path missing', 'image', image_id FROM fx_image WHERE image_id % 13 = 0
 UNION ALL SELECT 'val_loss missing', 'epoch', session_id * 1000 + number FROM fx_epoch WHERE val_loss IS NULL OR number % 3 = 0
 UNION ALL SELECT 'prediction too long', 'result', image_id FROM fx_result WHERE confidence > 0.5
-UNION ALL SELECT 'confidence missing', 'result', image_id FROM fx_result WHERE test_id % 4 = 0""",
+UNION ALL SELECT 'confidence missing', 'result', image_id FROM fx_result WHERE test_id % 4 = 0
+UNION ALL SELECT 'dangling session_id', 'epoch', session_id * 1000 + number FROM fx_epoch WHERE session_id NOT IN (SELECT session_id FROM fx_session)""",
 )
 def _(d):
     emptied = lambda df, column, when: df.withColumn(column, F.when(~F.expr(when), F.col(column)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.schemas import AUGMENTATION_FLAGS, DEFAULTS, ENTITIES, PRIMARY_KEYS
+from tallyweave.session import settle
 
 # The record kinds of a dump.
 KINDS = {
@@ -35,7 +36,7 @@ FIELD_NAMES = {
 }
 # Junction tables that a dump keeps as arrays of its datasets.
 LINKS = [("dataset_label", "labels", "label_id"), ("dataset_shared", "shared", "study_id")]
-_TEXT = "name description notes resolution image pre_model status class_names model_path grad_cam true_label prediction"
+_TEXT = "name description notes resolution pre_model status class_names model_path grad_cam true_label prediction"
 _LONG = "study dataset label training_session test model"
 _INT = "epochs batch_size number"
 _DOUBLE = "validation_split accuracy loss val_accuracy val_loss confidence"
@@ -45,7 +46,8 @@ _FIELDS = ", ".join(
     f"`{name}`: {kind}"
     for names, kind in [
         (_TEXT, "string"), (_LONG, "bigint"), (_INT, "int"), (_DOUBLE, "double"), (_FLAG, "boolean"), (_STAMP, "timestamp"),
-        ("labels shared", "array<bigint>"),
+        # a path or an id: read as a string, Spark would open the file again for every number
+        ("labels shared", "array<bigint>"), ("image", "variant"),
     ]
     for name in names.split()
 )
@@ -77,12 +79,18 @@ def write_fixture_json(tables: dict[str, DataFrame], path: str, per_file: int =
     if written:
         records = reduce(DataFrame.unionByName, written)
         text = F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list("record")), F.lit("]"))
-        records.groupBy("part").agg(text.alias("value")).write.partitionBy("part").text(path)
+        # a file per array, all in one folder
+        records.groupBy("part").agg(text.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
 def load_fixture_json(spark: SparkSession, path: str | list[str]) -> dict[str, DataFrame]:
-    """Every entity and both junction tables of one or more dumps; columns a dump lacks take their defaults."""
-    records = spark.read.schema(DUMP_SCHEMA).option("multiLine", True).json(path)
+    """Every entity and both junction tables of one or more dumps; columns a dump lacks take their defaults.
+
+    The dumps are parsed once, when this is called; the tables read the stored records.
+    """
+    records = spark.read.schema(DUMP_SCHEMA).option("multiLine", True).json(path).filter(F.col("model").isNotNull())
+    image = F.col("fields.image").cast("string")
+    records = settle(records.withColumn("fields", F.col("fields").withField("image", image)), "dump-records")
     tables: dict[str, DataFrame] = {}
     for entity, kind in KINDS.items():
         key = PRIMARY_KEYS[entity]

@@ -26,6 +26,12 @@ from tallyweave.session import scratch, settle
 DROPOUT = 0.2
 # Numbers of a block: 8 MB of features, so that a task holds a few blocks whatever their width.
 BLOCK_VALUES = 1 << 20
+# Sessions that read a block together; inputs of a step, so that they fit a core's cache; heads a task holds.
+TOGETHER = 32
+STEP_VALUES = 1 << 16
+HELD_HEADS = 4096
+# Heads and blocks of a plan meet in this many parts, so that a plan is no single task.
+PARTS = 16
 
 # What blocks have in common: sessions of equal dataset, batch size and split read the same blocks.
 _PLAN = ["dataset_id", "batch_size", "training"]
@@ -76,84 +82,145 @@ def input_draw(places: np.ndarray, width: int) -> np.ndarray:
 # ---- one block, one epoch ----
 
 
-def _figures(x: np.ndarray, y: np.ndarray, w: np.ndarray, smoothing: float) -> tuple[np.ndarray, float, int]:
-    """(probabilities - targets, summed loss, hits) of rows whose last input is the constant 1."""
-    z = x @ w.T
-    z = z - z.max(axis=1, keepdims=True)
-    log_p = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-    target = np.full(z.shape, smoothing / z.shape[1])
-    target[np.arange(len(y)), y] += 1 - smoothing
-    return np.exp(log_p) - target, float(-(target * log_p).sum()), int((z.argmax(axis=1) == y).sum())
-
-
-def descend(
-    session: int, images: np.ndarray, y: np.ndarray, x: np.ndarray, w: np.ndarray, speed: np.ndarray, epoch: int, batch: int,
+def _kept(places: np.ndarray, width: int, dropout: float) -> np.ndarray:
+    """Which inputs stay: ``input_draw(places, width) >= dropout * PRIME``, with remainders taken by shifts."""
+    prime, bits = np.uint64(PRIME), np.uint64(PRIME.bit_length())
+    keys = (np.arange(1, width + 1, dtype=np.int64) * 104729 % PRIME).astype(np.uint64)
+    x = places.astype(np.uint64)[..., None] + keys
+    high = np.empty_like(x)
+    for following in (12345 + 31, 12345):
+        # 2 ** 31 leaves 1, so the bits above the lowest 31 are added to these
+        for times, plus in ((x, 0), (np.uint64(48271), following)):
+            np.multiply(x, times, out=x)
+            if plus:
+                np.add(x, np.uint64(plus), out=x)
+            np.right_shift(x, bits, out=high)
+            np.bitwise_and(x, prime, out=x)
+            np.add(x, high, out=x)
+    np.subtract(x, prime, out=high)  # wraps to a large number where x is below
+    np.minimum(x, high, out=x)
+    return x >= np.uint64(np.ceil(dropout * PRIME))
+
+
+def _figures(z: np.ndarray, y: np.ndarray, smoothing: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probabilities - targets, loss, hit) by logits (..., classes) and class indexes (...)."""
+    z = z - z.max(axis=-1, keepdims=True)
+    log_p = z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+    target = np.full(z.shape, smoothing / z.shape[-1])
+    np.put_along_axis(target, y[..., None], smoothing / z.shape[-1] + (1 - smoothing), axis=-1)
+    return np.exp(log_p) - target, -(target * log_p).sum(axis=-1), z.argmax(axis=-1) == y
+
+
+def _penalty(w: np.ndarray, how: Descent) -> np.ndarray:
+    return how.l2 * (w[..., :-1] ** 2).sum(axis=(-2, -1))
+
+
+def descend_many(
+    sessions: np.ndarray, images: np.ndarray, y: np.ndarray, x: np.ndarray, w: np.ndarray, speed: np.ndarray, epoch: int, batch: int,
     how: Descent,
-) -> tuple[np.ndarray, np.ndarray, int, float, int]:
-    """The steps of one block in one epoch (from 0): (w, speed, rows seen, summed loss with penalty, hits).
+) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+    """The steps of one block in one epoch (from 0) for several sessions at once: (w, speed, rows seen, summed losses with penalty, hits).
 
     Passes over the block follow each other without end, each in its own order and with a short last batch; an epoch takes
-    the next ``rows // batch`` batches of them, so what one epoch leaves is first in the next. ``w`` has the biases last.
+    the next ``rows // batch`` batches of them, so what one epoch leaves is first in the next. ``w`` and ``speed`` are
+    (session, class, input) with the biases last; every session has its own orders and drops its own inputs.
     """
     rows, width = x.shape
     steps, per_pass = rows // batch, -(-rows // batch)
-    seen, total, hits, order, number = 0, 0.0, 0, None, -1
+    seen, total, hits, number = 0, np.zeros(len(sessions)), np.zeros(len(sessions), np.int64), -1
+    scaled = x / (1 - how.dropout)
     for at in range(epoch * steps, (epoch + 1) * steps):
         if at // per_pass != number:
             number = at // per_pass
-            draws = place_draw(session, images, number)
-            order = np.lexsort((images, draws))
+            draws = stir(stir(stir((images % PRIME)[None, :], (sessions % PRIME)[:, None]), number), 17)
+            order = np.lexsort((np.broadcast_to(images, draws.shape), draws))
         start = at % per_pass * batch
-        chosen = order[start : start + batch]
-        kept = input_draw(draws[chosen], width) >= how.dropout * PRIME
-        inputs = np.hstack([np.where(kept, x[chosen] / (1 - how.dropout), 0.0), np.ones((len(chosen), 1))])
-        gap, loss, hit = _figures(inputs, y[chosen], w, how.smoothing)
-        penalty = how.l2 * float((w[:, :-1] ** 2).sum())
-        grad = gap.T @ inputs / len(chosen)
-        grad[:, :-1] += 2 * how.l2 * w[:, :-1]
+        chosen = order[:, start : start + batch]
+        inputs = np.ones((*chosen.shape, width + 1))
+        kept = _kept(np.take_along_axis(draws, chosen, axis=1), width, how.dropout)
+        np.multiply(scaled[chosen], kept, out=inputs[..., :-1])
+        gap, loss, hit = _figures(inputs @ w.transpose(0, 2, 1), y[chosen], how.smoothing)
+        n = chosen.shape[1]
+        penalty = _penalty(w, how)
+        grad = gap.transpose(0, 2, 1) @ inputs / n
+        grad[..., :-1] += 2 * how.l2 * w[..., :-1]
         speed = how.momentum * speed - how.lr * grad
         w = w + speed
-        seen, total, hits = seen + len(chosen), total + loss + penalty * len(chosen), hits + hit
+        seen, total, hits = seen + n, total + loss.sum(axis=1) + penalty * n, hits + hit.sum(axis=1)
     return w, speed, seen, total, hits
 
 
+def descend(
+    session: int, images: np.ndarray, y: np.ndarray, x: np.ndarray, w: np.ndarray, speed: np.ndarray, epoch: int, batch: int,
+    how: Descent,
+) -> tuple[np.ndarray, np.ndarray, int, float, int]:
+    """``descend_many`` for one session."""
+    w, speed, n, loss, hits = descend_many(np.array([session], np.int64), images, y, x, w[None], speed[None], epoch, batch, how)
+    return w[0], speed[0], n, float(loss[0]), int(hits[0])
+
+
+def _judge(y: np.ndarray, x: np.ndarray, w: np.ndarray, how: Descent) -> tuple[np.ndarray, np.ndarray]:
+    """(summed losses with penalty, hits) of several heads on the same rows, a bounded number of rows at a time."""
+    total, hits = _penalty(w, how) * len(y), np.zeros(len(w), np.int64)
+    each = max(1, (1 << 18) // (w.shape[0] * w.shape[1]))
+    for a in range(0, len(y), each):
+        part = x[a : a + each]
+        z = (np.hstack([part, np.ones((len(part), 1))]) @ w.reshape(-1, w.shape[2]).T).reshape(len(part), *w.shape[:2])
+        _, loss, hit = _figures(z, np.repeat(y[a : a + each, None], len(w), axis=1), how.smoothing)
+        total, hits = total + loss.sum(axis=0), hits + hit.sum(axis=0)
+    return total, hits
+
+
 def _numbers(cell: pa.ListScalar) -> np.ndarray:
     return cell.values.to_numpy(zero_copy_only=False)
 
 
+_PASS_ARROW = pa.schema(
+    [("session_id", pa.int64()), ("part", pa.string()), ("n", pa.int64()), ("loss", pa.float64()),
+     ("correct", pa.int64()), ("w", pa.list_(pa.float64())), ("speed", pa.list_(pa.float64()))]
+)
+
+
 def _block_pass(epoch: int, how: Descent) -> Callable:
-    """Per (block, session): train on the block, or judge the head on it."""
+    """Per (block, group of sessions): train on the block, or judge the heads on it. Heads of a session are averaged over a task's blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, str], list] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 cell = {name: batch.column(name)[i] for name in batch.schema.names}
-                session, part, classes = cell["session_id"].as_py(), cell["part"].as_py(), cell["classes"].as_py()
-                images, y = _numbers(cell["images"]), _numbers(cell["class_idx"])
+                part, classes, size = cell["part"].as_py(), cell["classes"].as_py(), cell["batch_size"].as_py()
+                sessions, images, y = _numbers(cell["sessions"]), _numbers(cell["images"]), _numbers(cell["class_idx"])
                 x = _numbers(cell["x"]).reshape(len(images), -1)
-                w = _numbers(cell["w"]).reshape(classes, -1)
-                if part == "training":
-                    speed = _numbers(cell["speed"]).reshape(classes, -1)
-                    w, speed, n, loss, hits = descend(
-                        session, images, y, x, w, speed, epoch, cell["batch_size"].as_py(), how
-                    )
-                    head = (w.ravel().tolist(), speed.ravel().tolist())
-                else:
-                    n = len(images)
-                    _, loss, hits = _figures(np.hstack([x, np.ones((n, 1))]), y, w, how.smoothing)
-                    loss += how.l2 * float((w[:, :-1] ** 2).sum()) * n
-                    head = (None, None)
-                yield pa.RecordBatch.from_pydict(
-                    {"session_id": [session], "part": [part], "n": [n], "loss": [loss], "correct": [hits], "w": [head[0]], "speed": [head[1]]},
-                    schema=pa.schema(
-                        [("session_id", pa.int64()), ("part", pa.string()), ("n", pa.int64()), ("loss", pa.float64()),
-                         ("correct", pa.int64()), ("w", pa.list_(pa.float64())), ("speed", pa.list_(pa.float64()))]
-                    ),
-                )
+                w = _numbers(cell["w"]).reshape(len(sessions), classes, -1)
+                speed = _numbers(cell["speed"]).reshape(len(sessions), classes, -1) if part == "training" else None
+                each = max(1, STEP_VALUES // (size * x.shape[1]))
+                for a in range(0, len(sessions), each):
+                    some, head = sessions[a : a + each], w[a : a + each]
+                    if part == "training":
+                        head, fast, n, loss, hits = descend_many(some, images, y, x, head, speed[a : a + each], epoch, size, how)
+                    else:
+                        n, (loss, hits) = len(images), _judge(y, x, head, how)
+                    for k, session in enumerate(some.tolist()):
+                        new = [n, loss[k], hits[k], *((head[k].ravel() * n, fast[k].ravel() * n) if part == "training" else ())]
+                        old = sums.get((session, part))
+                        sums[session, part] = new if old is None else [p + q for p, q in zip(old, new, strict=True)]
+            if len(sums) >= HELD_HEADS:
+                yield from _given(sums)
+                sums = {}
+        yield from _given(sums)
 
     return run
 
 
+def _given(sums: dict[tuple[int, str], list]) -> Iterator[pa.RecordBatch]:
+    """The rows of a pass; sums of heads become averages by the rows seen."""
+    for (session, part), (n, loss, hits, *heads) in sums.items():
+        w, speed = [h / n for h in heads] or (None, None)
+        row = [[session], [part], [n], [float(loss)], [int(hits)], [w], [speed]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _PASS_ARROW, strict=True)], schema=_PASS_ARROW)
+
+
 # ---- what is to be trained ----
 
 
@@ -214,11 +281,24 @@ def _blocks(rows: DataFrame, ready: DataFrame, how: Descent) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("image_id", "class_idx", "features"))).alias("_rows")
     )
     return packed.select(
-        *_PLAN, "part",
+        *_PLAN, "part", F.pmod(F.xxhash64(*_PLAN, "part", "block"), F.lit(PARTS)).alias("dealt"),
         F.col("_rows.image_id").alias("images"), F.col("_rows.class_idx").alias("class_idx"), F.flatten("_rows.features").alias("x"),
     )
 
 
+def _stacks(heads: DataFrame) -> DataFrame:
+    """One row per group of sessions with all their heads, for each part of the blocks."""
+    speed = F.when(F.col("part") == "training", F.col("speed"))
+    # a group has about TOGETHER sessions
+    stacks = heads.groupBy(*_PLAN, "classes", "part", "group").agg(
+        F.array_sort(F.collect_list(F.struct("session_id", "w", speed.alias("speed")))).alias("_heads")
+    )
+    return stacks.select(
+        *_PLAN, "classes", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("dealt"),
+        F.col("_heads.session_id").alias("sessions"), F.flatten("_heads.w").alias("w"), F.flatten("_heads.speed").alias("speed"),
+    )
+
+
 def _averaged(trained: DataFrame) -> DataFrame:
     """Heads and speeds of a session's blocks, averaged by the rows they saw; summed before the shuffle."""
     cells = trained.select("session_id", "n", F.posexplode(F.arrays_zip("w", "speed")).alias("pos", "cell"))
@@ -266,15 +346,19 @@ def train_sessions(sessions: DataFrame, images: DataFrame, features: DataFrame,
 
     folder = scratch(spark, "training")
     plan = ready.select("session_id", "epochs", *_PLAN, F.size("classes").alias("classes"), "width")
+    groups = plan.groupBy(*_PLAN).agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("groups"))
+    plan = plan.join(groups, _PLAN).withColumn("group", F.pmod(F.xxhash64("session_id"), "groups")).drop("groups")
+    plan = settle(plan, "training-sessions")
     nothing = F.array_repeat(F.lit(0.0), (F.col("classes") * (F.col("width") + 1)).cast("int"))
     plan.select("session_id", nothing.alias("w"), nothing.alias("speed")).write.parquet(f"{folder}/heads/done=0")
     longest = plan.agg(F.max("epochs")).first()[0] or 0
     for number in range(longest + 1):
         heads = spark.read.schema(_HEAD).parquet(f"{folder}/heads/done={number}").join(plan, "session_id")
         # a session's last pass only judges its head
-        due = ((F.col("part") == "training") & (F.col("epochs") > number)) | ((F.col("part") == "validation") & F.lit(number > 0))
-        joined = blocks.join(heads, _PLAN).filter(due)
-        joined = joined.select("session_id", "part", "batch_size", "classes", "images", "class_idx", "x", "w", "speed")
+        parts = F.array(F.when(F.col("epochs") > number, "training"), F.when(F.lit(number > 0), "validation"))
+        stacks = _stacks(heads.withColumn("part", F.explode(F.array_compact(parts))))
+        joined = blocks.join(settle(stacks, "training-stacks"), [*_PLAN, "part", "dealt"])
+        joined = joined.select("sessions", "part", "batch_size", "classes", "images", "class_idx", "x", "w", "speed")
         done = f"{folder}/passes/pass={number}"
         joined.mapInArrow(_block_pass(number, how), _PASS).write.parquet(done)
         if number < longest:

@@ -204,3 +204,32 @@ def test_training_learns_and_scores(spark, tables):
 def test_nothing_to_train(spark, tables):
     trained = tr.train_sessions(one(spark, (1, "One", 7, "Completed", 1, 16, 0.2)), *tables)
     assert trained.weights.count() == trained.epochs.count() == trained.updates.count() == 0
+
+
+def test_sessions_that_share_a_block_take_the_steps_each_takes_alone():
+    rng = np.random.default_rng(3)
+    images, y, x = np.arange(70, dtype=np.int64) * 3, rng.integers(0, 3, 70), rng.normal(size=(70, 5))
+    w, speed, sessions = rng.normal(size=(4, 3, 6)), rng.normal(size=(4, 3, 6)), np.array([1, 9, 2**40, 77], np.int64)
+    together = tr.descend_many(sessions, images, y, x, w, speed, 1, 16, tr.Descent())
+    for k, session in enumerate(sessions.tolist()):
+        alone = tr.descend(session, images, y, x, w[k], speed[k], 1, 16, tr.Descent())
+        for a, b in zip(together, alone, strict=True):
+            assert np.allclose(a if np.ndim(a) == 0 else a[k], b, rtol=1e-12)
+
+
+@pytest.mark.parametrize("dropout", [0.0, 1e-9, 0.2, 0.999999])
+def test_inputs_are_kept_by_the_same_draws(dropout):
+    places = np.concatenate([np.arange(40), pp.PRIME - 1 - np.arange(40), np.arange(3, pp.PRIME, 9_999_991)]).astype(np.int64)
+    expected = tr.input_draw(places, 3000) >= dropout * pp.PRIME
+    assert (tr._kept(places, 3000, dropout) == expected).all()
+
+
+def test_a_task_gives_one_row_for_all_blocks_of_a_session():
+    import pyarrow as pa
+
+    rng, blocks, sessions = np.random.default_rng(3), 6, list(range(40))
+    one = {"sessions": sessions, "part": "training", "batch_size": 8, "classes": 2, "w": [0.0] * 240, "speed": [0.0] * 240}
+    rows = [one | {"images": list(range(b * 20, b * 20 + 20)), "class_idx": [0, 1] * 10, "x": rng.normal(size=40).tolist()} for b in range(blocks)]
+    out = list(tr._block_pass(0, tr.Descent())([pa.RecordBatch.from_pylist(rows)]))
+    assert sorted(r["session_id"] for b in out for r in b.to_pylist()) == sessions
+    assert {r["n"] for b in out for r in b.to_pylist()} == {blocks * 16}

@@ -1,6 +1,6 @@
 """Streaming queries: each consumes a table as a file stream and returns the final state.
 
-Those ``in_batches`` take one file of several a batch; half of the rows arrive after a first run has ended, and a second
+Those ``in_batches`` take one of several parts a batch; half of the rows arrive after a first run has ended, and a second
 run goes on from its checkpoint.
 """
 
@@ -14,17 +14,20 @@ from tallyweave.plans.registry import query
 from tallyweave.session import scratch
 from tallyweave.streaming import jobs
 
-FILES = 2
+#: Batches of a run, and rows of a file: a batch takes as many files as its rows need.
+BATCHES = 2
+FILE_ROWS = 1 << 20
 
 
 def arriving(d, table: str, run: Callable[..., DataFrame], view: str) -> DataFrame:
     """The state that ``run`` leaves after both halves of ``table`` have arrived."""
     rows, inbox, folder, checkpoint = d.table(table), *(scratch(d.spark, f"{table}-{use}") for use in ("inbox", "state", "checkpoint"))
     half = F.pmod(F.hash(*rows.columns), F.lit(2))
+    each = max(1, -(-rows.count() // (2 * BATCHES * FILE_ROWS)))
     state = None
     for n in (0, 1):
-        rows.filter(half == n).repartition(FILES).write.mode("append").parquet(inbox)
-        stream = d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        rows.filter(half == n).repartition(BATCHES * each).write.mode("append").parquet(inbox)
+        stream = d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(inbox)
         state = run(d.sql(f"SELECT * FROM {view}", **{table: stream}), folder=folder, checkpoint=checkpoint)
     return state
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import evaluation as ev
 from tallyweave.plans.domain import Domain
+from tallyweave.session import scratch
 from tallyweave.streaming import jobs
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -105,3 +106,17 @@ def test_a_started_job_returns_before_its_input_ends(spark, tmp_path):
     job = start()
     job.query.processAllAvailable()
     assert {r.dataset_id: r.image_count for r in job.stop().collect()} == {0: 10, 1: 10}
+
+
+def test_a_batch_takes_more_files_as_rows_grow(spark, monkeypatch):
+    from tallyweave.plans import stream_queries as sq
+
+    d, made = Domain(spark, "/root/testdata/sf0.001"), []
+    make = lambda s, purpose: made.append(scratch(s, purpose)) or made[-1]
+    rows = d.lineitem.count()
+    monkeypatch.setattr(sq, "FILE_ROWS", -(-rows // 12))
+    monkeypatch.setattr(sq, "scratch", make)
+    counts = sq.arriving(d, "lineitem", jobs.stream_test_reports, "fx_result")
+    assert len(spark.read.parquet(made[0]).inputFiles()) == 12
+    batches = spark.read.parquet(f"{made[1]}/reports/delta").select("batch_id").distinct().count()
+    assert batches == 4 and counts.agg(F.sum("rows")).first()[0] == rows

@@ -98,8 +98,8 @@ def _labelled_folder(d) -> str:
     placed = d.fx_image.filter("dataset_id IS NOT NULL").select("image_id", "dataset_id", "label_id")
     placed.write.partitionBy("dataset_id", "label_id").option("extension", "png").csv(root)
     ids = d.fx_image.select(F.col("image_id").cast("string"))
-    ids.coalesce(1).write.text(f"{root}/a class of notes")
-    ids.coalesce(1).write.mode("append").text(root)
+    ids.write.text(f"{root}/a class of notes")
+    ids.write.mode("append").text(root)
     return root
 
 

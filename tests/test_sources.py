@@ -169,3 +169,28 @@ def test_weights_are_replaced_per_session(spark, tmp_path):
     sinks.write_weights(frame.filter("session_id = 1").withColumn("b", F.lit(9.0)), path)
     assert {r.session_id: r.b for r in sinks.read_weights(spark, path).collect()} == {1: 9.0, 2: 0.5}
     assert sinks.read_weights(spark, path, "two").first().w == [3.0, 4.0]
+
+
+def test_a_dump_is_parsed_once_and_lies_in_one_folder(spark, tmp_path):
+    path = tmp_path / "dump"
+    results = spark.createDataFrame([(i, 7, 100 + i, "a", "b", 0.5) for i in range(50)], "result_id long, test_id long, image_id long, true_label string, prediction string, confidence double")
+    images = spark.createDataFrame([(1, 2, 3, "x/1.png")], "image_id long, dataset_id long, label_id long, image_path string")
+    seeds.write_fixture_json({"result": results, "image": images}, str(path), per_file=10)
+    assert not [p for p in path.iterdir() if p.is_dir()]
+    for file in path.glob("part-*.txt"):
+        assert json.loads(file.read_text())
+    loaded = seeds.load_fixture_json(spark, str(path))
+    assert [r.image_path for r in loaded["image"].collect()] == ["x/1.png"]
+    assert sorted(r.image_id for r in loaded["result"].collect()) == list(range(100, 150))
+    for entity, rows in loaded.items():
+        assert "FileScan json" not in rows._jdf.queryExecution().toString(), entity
+
+
+def test_notes_of_a_labelled_folder_are_written_by_all_tasks(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tallyweave.plans import catalog_queries
+
+    images = spark.range(40).selectExpr("id AS image_id", "id % 2 AS dataset_id", "id % 3 AS label_id").repartition(4)
+    root = catalog_queries._labelled_folder(SimpleNamespace(spark=spark, fx_image=images))
+    assert spark.read.format("binaryFile").load(f"{root}/a class of notes").count() == 4

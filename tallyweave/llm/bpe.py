@@ -15,12 +15,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,11 @@ RUN_PIECES = 150_000
 RUN_CHARS = 750_000
 #: Longer pieces are merged one by one with a heap, as a padded matrix would take a round per merge.
 MATRIX_BYTES = 128
+#: Cells and rows of a matrix at most.
+MATRIX_CELLS = 1 << 18
+MATRIX_ROWS = 20_000
 NO_RANK = np.int32(2**31 - 1)
+DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -50,7 +56,6 @@ class PairTable:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
         keys = np.fromiter(pairs.keys(), np.uint64, len(pairs))
         values = np.fromiter(pairs.values(), np.int32, len(pairs))
         self.bits = max(4, int(np.ceil(np.log2(max(len(pairs), 1)))) + 3)
@@ -67,6 +72,12 @@ class PairTable:
             self.keys[at[won]], self.values[at[won]] = keys[pending[won]], values[pending[won]]
             pending, self.probes = pending[~won], self.probes + 1
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The pairs as a dict, for merges one at a time."""
+        used = self.keys != np.uint64(2**64 - 1)
+        return dict(zip(self.keys[used].tolist(), self.values[used].tolist(), strict=True))
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -92,7 +103,6 @@ class Coder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.table = PairTable(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         size = max(ranks.values()) + 1
         tokens = [b""] * size
@@ -102,6 +112,11 @@ class Coder:
         self.token_names = Ragged.of([b"%d " % i for i in range(size)])
         self._empty_cache()
 
+    @cached_property
+    def table(self) -> PairTable:
+        """Made by the first merge; workers that only decode do without."""
+        return PairTable(self.ranks)
+
     def _empty_cache(self) -> None:
         self.cache: dict[str, int] = {}
         self.store, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -171,9 +186,10 @@ class Coder:
                 result[k] = self._merge_long(piece)
             else:
                 buckets.setdefault((len(piece) + 3) // 4, []).append(k)
-        for members in buckets.values():
-            for a in range(0, len(members), 20_000):
-                part = members[a : a + 20_000]
+        for quarter, members in buckets.items():
+            each = max(1, min(MATRIX_ROWS, MATRIX_CELLS // (4 * quarter)))
+            for a in range(0, len(members), each):
+                part = members[a : a + each]
                 for k, ids in zip(part, self._merge_matrix([pieces[k] for k in part]), strict=True):
                     result[k] = ids
         return result
@@ -274,14 +290,12 @@ def _cuts(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the token ids of each whole text, in the order of ``docs``' partitions, without a shuffle.
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    ``ranks`` is the content of a rank file, whose size bounds what is sent to the workers.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_type = plain.schema["doc_id"].dataType.simpleString()
+
+def _encoding(sent: Broadcast, pattern: str) -> Callable:
+    """From batches (doc_id, text) to batches (doc_id, ids)."""
 
     def run(batches):
         coder = _coder(sent.value, pattern)
@@ -296,18 +310,34 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         coder._empty_cache()  # workers live on after the task
         pa.default_memory_pool().release_unused()
 
-    return plain.mapInArrow(run, f"doc_id {id_type}, ids array<int>")
+    return run
+
+
+def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids): the token ids of each whole text, in the order of ``docs``' partitions, without a shuffle.
+
+    ``ranks`` is the content of a rank file, whose size bounds what is sent to the workers.
+    """
+    plain = _plain(docs, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    return plain.mapInArrow(_encoding(sent, pattern), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def encode_and_check(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256): the ids of each text with digests of them and of the bytes they decode to."""
-    encoded = encode(docs, ranks, pattern, id_col, text_col)
-    return _decoded(encoded, ranks, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", keep=True)
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256): the ids of each text with digests of them and of the bytes they decode to.
+
+    A batch is encoded and decoded by one worker, where ``encode`` and ``decode_digests`` in turn keep two for each task.
+    """
+    plain = _plain(docs, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    encoding, decoding = _encoding(sent, pattern), _decoding(sent, pattern, whole=False, keep=True)
+    id_type = plain.schema["doc_id"].dataType.simpleString()
+    return plain.mapInArrow(lambda batches: decoding(encoding(batches)), f"doc_id {id_type}, ids array<int>, {DIGESTS}")
 
 
 def decode_digests(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids), decoding the ids."""
-    return _decoded(encoded, ranks, pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _decoded(encoded, ranks, pattern, DIGESTS)
 
 
 def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -315,10 +345,15 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     return _decoded(encoded, ranks, pattern, "decoded binary")
 
 
-def _decoded(encoded: DataFrame, ranks: bytes, pattern: str, columns: str, keep: bool = False) -> DataFrame:
+def _decoded(encoded: DataFrame, ranks: bytes, pattern: str, columns: str) -> DataFrame:
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
     id_type = encoded.schema["doc_id"].dataType.simpleString()
-    whole = columns.startswith("decoded")
+    run = _decoding(sent, pattern, whole=columns.startswith("decoded"))
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, {columns}")
+
+
+def _decoding(sent: Broadcast, pattern: str, whole: bool, keep: bool = False) -> Callable:
+    """From batches (doc_id, ids) to batches of the decoded bytes, or of digests, beside the ids if they are kept."""
 
     def run(batches):
         coder = _coder(sent.value, pattern)
@@ -336,7 +371,7 @@ def _decoded(encoded: DataFrame, ranks: bytes, pattern: str, columns: str, keep:
                 held = [batch.column(0), ids][: 1 + keep]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in held), *columns_out], [*["doc_id", "ids"][: 1 + keep], *names])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, {'ids array<int>, ' if keep else ''}{columns}")
+    return run
 
 
 def _one(coder: Coder, ids: np.ndarray, whole: bool) -> tuple:

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from tallyweave.llm import bpe
@@ -53,3 +54,24 @@ def test_null_ids_and_empty_table(spark, no_docs):
     rows = spark.createDataFrame([(1, None), (2, [])], "doc_id int, ids array<int>")
     assert {r.doc_id: bytes(r.decoded) for r in bpe.decode(rows, RANKS, PATTERN).collect()} == {1: b"", 2: b""}
     assert bpe.decode_digests(bpe.encode(no_docs, RANKS, PATTERN), RANKS, PATTERN).collect() == []
+
+
+def test_a_worker_that_decodes_makes_no_table_and_matrices_are_bounded(public, monkeypatch):
+    coder, cells = bpe.Coder(bpe.parse_ranks(RANKS), PATTERN), []
+    text = " ".join("x" * (i % 90) + str(i) for i in range(3_000))
+    ids = public.encode_ordinary(text)
+    assert bpe._one(coder, np.array(ids, np.int64), True)[0] == text.encode()
+    assert "table" not in vars(coder)
+    merge = coder._merge_matrix
+    monkeypatch.setattr(bpe, "MATRIX_CELLS", 4_000)
+    monkeypatch.setattr(coder, "_merge_matrix", lambda part: cells.append(len(part) * max(map(len, part))) or merge(part))
+    assert coder.encode_many([text])[0].tolist() == ids
+    assert len(cells) > 10 and max(cells) <= 4_000
+
+
+def test_encoding_and_decoding_share_a_worker(spark, odd_docs):
+    both = bpe.encode_and_check(odd_docs, RANKS, PATTERN)
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = bpe.decode_digests(bpe.encode(odd_docs, RANKS, PATTERN), RANKS, PATTERN)
+    key = lambda rows: sorted((tuple(r) for r in rows.collect()), key=repr)
+    assert key(both.drop("ids")) == key(apart)

@@ -233,3 +233,54 @@ def test_a_task_gives_one_row_for_all_blocks_of_a_session():
     out = list(tr._block_pass(0, tr.Descent())([pa.RecordBatch.from_pylist(rows)]))
     assert sorted(r["session_id"] for b in out for r in b.to_pylist()) == sessions
     assert {r["n"] for b in out for r in b.to_pylist()} == {blocks * 16}
+
+
+@pytest.mark.parametrize("width", [3, 64, 130])
+def test_a_table_of_draws_keeps_the_same_inputs(width):
+    draws = tr._Draws(width, 0.2)
+    draws._tabulate(end=9)  # only the rows of the first remainders
+    longest = pp.PRIME // tr.INPUT_STEP
+    places = np.array([r + tr.INPUT_STEP * q for r in range(9) for q in (0, 1, 62, 63, 64, 5000, longest - width, longest - 1, longest)])
+    places = places[places < pp.PRIME].reshape(-1, 3)
+    for some in (draws, tr._Draws(width, 0.2)):
+        assert (np.unpackbits(some.bits(places), axis=-1, bitorder="little")[..., :width] == tr._kept(places, width, 0.2)).all()
+
+
+def test_a_worker_makes_the_table_once_it_has_drawn_as_much(monkeypatch):
+    made = []
+    monkeypatch.setattr(tr._Draws, "_tabulate", lambda self: made.append(self.drawn))
+    draws = tr._Draws(64, 0.2, least=64 * 100)
+    for _ in range(3):
+        draws.bits(np.arange(40).reshape(4, 10))
+    assert made == [64 * 120]
+
+
+def test_blocks_that_travel_together_are_trained_apart():
+    import pyarrow as pa
+
+    rng, sessions = np.random.default_rng(3), [4, 9]
+    base = {"sessions": sessions, "part": "training", "batch_size": 8, "classes": 2, "w": [0.0] * 12, "speed": [0.0] * 12}
+    rows = [
+        {"images": list(range(b * 50, b * 50 + 20)), "class_idx": [0, 1] * 10, "block": [b] * 20, "x": rng.normal(size=40).tolist()} for b in range(3)
+    ]
+    bundle = base | {name: [v for row in rows for v in row[name]] for name in rows[0]}
+    apart, together = (
+        {r["session_id"]: r for b in tr._block_pass(0, tr.Descent())([pa.RecordBatch.from_pylist(given)]) for r in b.to_pylist()}
+        for given in ([base | row for row in rows], [bundle])
+    )
+    for session in sessions:
+        assert together[session]["n"] == apart[session]["n"] == 3 * 16
+        assert np.allclose(together[session]["w"], apart[session]["w"], rtol=1e-12)
+        assert math.isclose(together[session]["loss"], apart[session]["loss"], rel_tol=1e-12)
+
+
+def test_bundles_and_groups_of_sessions_change_nothing(spark, tables, monkeypatch):
+    sessions = one(spark, *[(s, f"S {s}", 7, "Pending", 2, 8, 0.2) for s in range(1, 6)])
+    how = tr.Descent(lr=0.1, block_values=16 * 4)  # 15 blocks of 16 images
+    plain = heads(tr.train_sessions(sessions, *tables, how))
+    monkeypatch.setattr(tr, "BUNDLE_VALUES", 16 * 4 * 2)
+    monkeypatch.setattr(tr, "PARTS", 3)
+    monkeypatch.setattr(tr, "TOGETHER", 2)
+    dealt = heads(tr.train_sessions(sessions, *tables, how))
+    assert sorted(plain) == sorted(dealt) == [1, 2, 3, 4, 5]
+    assert all(np.allclose(plain[s], dealt[s], rtol=1e-10) for s in plain)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +57,9 @@ DUMP_SCHEMA = f"model string, pk bigint, fields struct<{_FIELDS}>"
 
 
 def write_fixture_json(tables: dict[str, DataFrame], path: str, per_file: int = 5000) -> None:
-    """Write entities (``dataset_label`` and ``dataset_shared`` go into their datasets) as a folder of dumps.
+    """Write entities (``dataset_label`` and ``dataset_shared`` go into their datasets) as a folder of compressed dumps.
 
-    Each file is one array of about ``per_file`` records, dealt by a hash of the key, so no task holds a whole table.
+    Each file is one array of ``per_file`` records, or of the rest of a task, which holds the records of one file at a time.
     """
     written = []
     for entity, rows in tables.items():
@@ -73,14 +75,34 @@ def write_fixture_json(tables: dict[str, DataFrame], path: str, per_file: int =
                     rows, names = rows.join(linked, key, "left"), [*names, field]
         fields = F.struct(*[F.col(c).alias(FIELD_NAMES.get(c, c)) for c in names])
         record = F.struct(F.lit(KINDS[entity]).alias("model"), F.col(key).alias("pk"), fields.alias("fields"))
-        files = max(1, -(-rows.count() // per_file))
-        part = F.concat(F.lit(f"{entity}-"), F.pmod(F.xxhash64(key), F.lit(files)).cast("string"))
-        written.append(rows.select(part.alias("part"), F.to_json(record).alias("record")))
+        written.append(rows.select(F.to_json(record).alias("record")))
     if written:
         records = reduce(DataFrame.unionByName, written)
-        text = F.concat(F.lit("["), F.concat_ws(",\n", F.collect_list("record")), F.lit("]"))
-        # a file per array, all in one folder
-        records.groupBy("part").agg(text.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+        # a file per array, all in one folder; as text is long, it is compressed
+        files = records.mapInArrow(_arrays(per_file), "value string").write.option("maxRecordsPerFile", 1)
+        # tasks move their own files to the folder, where the driver would move all of them one by one; a second
+        # attempt gives as many files of the same names
+        files = files.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        files.option("compression", "gzip").text(path)
+
+
+def _arrays(per_file: int) -> Callable:
+    """Joins a task's records to JSON arrays as they come, without a shuffle."""
+
+    def joined(records: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(["[" + ",\n".join(records) + "]"], pa.string())], names=["value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            while len(held) >= per_file:
+                yield joined(held[:per_file])
+                held = held[per_file:]
+        if held:
+            yield joined(held)
+
+    return run
 
 
 def load_fixture_json(spark: SparkSession, path: str | list[str]) -> dict[str, DataFrame]:

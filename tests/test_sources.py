@@ -186,6 +186,21 @@ def test_a_dump_is_parsed_once_and_lies_in_one_folder(spark, tmp_path):
         assert "FileScan json" not in rows._jdf.queryExecution().toString(), entity
 
 
+def test_dumps_are_compressed_arrays_that_no_shuffle_made(spark, tmp_path):
+    import gzip
+
+    results = spark.range(0, 95, 1, 3).selectExpr("id AS result_id", "id + 100 AS image_id", "id % 7 AS test_id")
+    tracker, before = spark.sparkContext.statusTracker(), set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    seeds.write_fixture_json({"result": results}, str(tmp_path / "dump"), per_file=10)
+    jobs = set(tracker.getJobIdsForGroup()) - before
+    assert [len(tracker.getJobInfo(job).stageIds) for job in jobs] == [1]
+    arrays = [json.loads(gzip.open(file).read()) for file in (tmp_path / "dump").glob("part-*.gz")]
+    assert sorted(len(array) for array in arrays) == [1, 2, 2] + [10] * 9
+    assert sorted(record["pk"] for array in arrays for record in array) == list(range(95))
+    loaded = seeds.load_fixture_json(spark, str(tmp_path / "dump"))["result"]
+    assert sorted(r.image_id for r in loaded.collect()) == list(range(100, 195))
+
+
 def test_notes_of_a_labelled_folder_are_written_by_all_tasks(spark, tmp_path):
     from types import SimpleNamespace
 
